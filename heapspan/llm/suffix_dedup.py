@@ -1,9 +1,9 @@
 """Removal of long repeated byte strings by prefix-free parsing.
 
-A rolling hash over GRAM-byte strings places triggers: the trigger of a window of `width` bytes is its leftmost
-smallest hash, so it depends on the window's bytes alone, every window has one, and equal windows have equal ones
-at the same offset. Window starts that share a trigger occurrence form a phrase; its text overlaps the next one's, so
-no phrase is a prefix of another. The dictionary is the set of distinct phrases with counts, the parse is their order
+A rolling hash over GRAM-byte strings places triggers: the trigger of a window of `width` bytes is its string of
+smallest hash, so it depends on the window's bytes alone, every window has one, and equal windows have equal ones.
+A run of window starts with one smallest hash forms a phrase, whose text reaches to the end of its last window and so overlaps the
+next phrase's. The dictionary is the set of distinct phrases with counts, the parse is their order
 in each document:
 
 1. Documents are packed into blocks (Arrow, zstd) in the shared folder. Each block sends its distinct (trigger,
@@ -63,37 +63,44 @@ class Rolling:
         np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=self.sums[1:])
         self.undo = _powers(_INVERSE, len(data) + 1)
 
+    def raw(self, size: int) -> np.ndarray:
+        """Unscrambled hashes of all substrings of one size."""
+        return (self.sums[size:] - self.sums[:-size]) * self.undo[: len(self.sums) - size]
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.undo[start] + (end - start).astype(np.uint64))
 
 
-def _slide(x: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
-    """op over every run of width values, in linear time."""
-    n = len(x)
-    padded = np.full(-(-n // width) * width, fill, dtype=x.dtype)
-    padded[:n] = x
-    rows = padded.reshape(-1, width)
-    ahead = op.accumulate(rows, axis=1).ravel()
-    behind = op.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(behind[: n - width + 1], ahead[width - 1 : n])
+def _slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op (of min and max) over every run of width values, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        x = op(x[:-size], x[size:])
+        size *= 2
+    return x if size == width else op(x[: len(x) - width + size], x[width - size :])
 
 
 def _segment(data: np.ndarray, width: int, gram: int) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The rolling hash, and of each phrase the trigger's hash and position, the first and the last window start."""
+    """The rolling hash, and of each phrase the trigger's hash, the first and the last window start, and whether it holds
+    its trigger twice, without which none of its windows can equal another."""
     rolling, run = Rolling(data), width - gram + 1
-    at = np.arange(len(data) - gram + 1)
-    grams = rolling(at, at + gram)
-    least = _slide(grams, run, np.minimum, 2**64 - 1)
-    edge = np.zeros(run - 1, dtype=np.uint64)
-    places = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), run, np.maximum, 0) == grams)
-    k = np.searchsorted(places, np.arange(len(least)))
-    owner = places[k]
-    while len(off := np.flatnonzero(grams[owner] != least)):
+    grams = rolling.raw(gram)
+    high = (grams >> np.uint64(32)).astype(np.uint32)
+    least = _slide(high, run, np.minimum)
+    changed = np.ones(len(least), dtype=bool)
+    np.not_equal(least[1:], least[:-1], out=changed[1:])
+    first = np.flatnonzero(changed)
+    last = np.append(first[1:], len(least)) - 1
+    around = np.zeros(len(least) + 2 * (run - 1), dtype=np.uint32)
+    around[run - 1 : len(around) - run + 1] = least
+    places = np.flatnonzero(_slide(around, run, np.maximum) == high)
+    value = high[places]
+    k = np.searchsorted(places, first)
+    while len(off := np.flatnonzero(value[k] != least[first])):
         k[off] += 1
-        owner[off] = places[k[off]]
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    last = np.r_[first[1:], len(owner)] - 1
-    return rolling, grams[owner[first]], owner[first], first, last
+    nearby = np.minimum(k + 1, len(places) - 1)
+    twice = (nearby > k) & (value[nearby] == least[first]) & (places[nearby] < last + run)
+    return rolling, mix64(grams[places[k]]), first, last, twice
 
 
 class Parse:
@@ -103,12 +110,11 @@ class Parse:
         array, parts = np.frombuffer(data, dtype=np.uint8), []
         self.segments: list[tuple[int, Rolling]] = []
         for at in range(0, len(array) - width + 1, SEGMENT):
-            rolling, trigger, place, first, last = _segment(array[at : at + SEGMENT + width - 1], width, gram)
-            whole = mix64(rolling(first, last + width) + (place - first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-            parts.append((trigger, whole, place - first, first + at, last + at, np.full(len(first), len(self.segments))))
+            rolling, trigger, first, last, twice = _segment(array[at : at + SEGMENT + width - 1], width, gram)
+            parts.append((trigger, rolling(first, last + width), first + at, last + at, twice, np.full(len(first), len(self.segments))))
             self.segments.append((at, rolling))
-        empty = [np.zeros(0, dtype=d) for d in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
-        self.trigger, self.whole, self.before, self.first, self.last, self.segment = (np.concatenate(x) for x in zip(*parts)) if parts else empty
+        empty = [np.zeros(0, dtype=d) for d in (np.uint64, np.uint64, np.int64, np.int64, bool, np.int64)]
+        self.trigger, self.whole, self.first, self.last, self.twice, self.segment = (np.concatenate(x) for x in zip(*parts)) if parts else empty
         self.width = width
 
     def windows(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,14 +156,19 @@ def _blocks(text_col: str, block_bytes: int):
     return run
 
 
-def _distinct(keys: np.ndarray, extra: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Distinct pairs dealt into parts by key: keys, extras, flag for repeats, (part, from, to) of each part."""
-    pairs = np.rec.fromarrays([keys % np.uint64(parts), keys, extra], names="part,key,extra")
-    found, count = np.unique(pairs, return_counts=True)
-    cuts = np.flatnonzero(np.r_[True, found.part[1:] != found.part[:-1], True]) if len(found) else np.zeros(1, dtype=np.int64)
-    return found.key, found.extra, count > 1, [(int(found.part[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:])]
-
-
+def _distinct(keys: np.ndarray, extra: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+    """Distinct pairs in order, dealt into parts by key: keys, extras, flag for repeats, (part, from, to) of each part, and
+    the place of each pair that was given."""
+    part = ((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+    order = np.argsort((part << np.uint64(48)) | (mix64(keys + extra * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(16)), kind="stable")
+    k, e, part = keys[order], extra[order], part[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
+    place = np.empty(len(k), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    k, e, part = k[new], e[new], part[new]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(k) else np.zeros(1, dtype=np.int64)
+    return k, e, np.bincount(place, minlength=len(k)) > 1, [(int(part[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:])], place
 
 
 ASK = T.StructType([T.StructField("part", T.LongType()), T.StructField("block", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("extra", T.BinaryType()), T.StructField("again", T.BinaryType())])
@@ -165,7 +176,7 @@ TELL = T.StructType([T.StructField("block", T.StringType()), T.StructField("part
 
 
 def _ask(block: str, keys: np.ndarray, extra: np.ndarray, parts: int) -> pa.RecordBatch:
-    key, more, again, cuts = _distinct(keys, extra, parts)
+    key, more, again, cuts, _ = _distinct(keys, extra, parts)
     rows = {"part": [p for p, _, _ in cuts], "block": [block] * len(cuts), "key": [key[a:b].tobytes() for _, a, b in cuts], "extra": [more[a:b].tobytes() for _, a, b in cuts], "again": [again[a:b].tobytes() for _, a, b in cuts]}
     return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.int64()), ("block", pa.string()), ("key", pa.binary()), ("extra", pa.binary()), ("again", pa.binary())]))
 
@@ -179,7 +190,12 @@ def _answer(width: int):
         key = np.frombuffer(b"".join(part["key"].to_pylist()), dtype=np.uint64)
         extra = np.frombuffer(b"".join(part["extra"].to_pylist()), dtype=f"u{width}").astype(np.uint64)
         again = np.frombuffer(b"".join(part["again"].to_pylist()), dtype=bool)
-        order = np.lexsort((extra, key))
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        same = np.zeros(len(k) + 1, dtype=bool)
+        np.equal(k[1:], k[:-1], out=same[1:-1])
+        tied = np.flatnonzero(same[1:] | same[:-1])
+        order[tied] = order[tied][np.lexsort((extra[order[tied]], k[tied]))]
         k, e, twice = key[order], extra[order], again[order]
         new_key = np.r_[True, k[1:] != k[:-1]]
         new_pair = new_key | np.r_[True, e[1:] != e[:-1]]
@@ -199,11 +215,9 @@ def _told(told: pa.Table, keys: np.ndarray, extra: np.ndarray, parts: int) -> tu
     """The answers for each of the block's pairs, in the block's order."""
     if not len(keys):
         return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
-    key, more, _, cuts = _distinct(keys, extra, parts)
+    _, _, _, cuts, place = _distinct(keys, extra, parts)
     got = {p: (a, b) for p, a, b in zip(told["part"].to_pylist(), told["pair"].to_pylist(), told["send"].to_pylist())}
     flags = [np.concatenate([np.unpackbits(np.frombuffer(got[p][n], dtype=np.uint8), count=b - a) for p, a, b in cuts]).astype(bool) for n in (0, 1)]
-    pairs = np.rec.fromarrays([keys % np.uint64(parts), keys, extra], names="part,key,extra")
-    _, place = np.unique(pairs, return_inverse=True)
     return flags[0][place], flags[1][place]
 
 
@@ -220,7 +234,7 @@ def _join(parses: list[Parse], name: str) -> np.ndarray:
 def _edges(told: pa.Table, parses: list[Parse], ends: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Whether each phrase occurs again; of each text the windows of the phrases whose suffixes are to be compared."""
     again, send = _told(told, _join(parses, "trigger"), _join(parses, "whole"), parts)
-    return again, [p.windows(np.flatnonzero(send[a:b])) for p, a, b in zip(parses, ends[:-1], ends[1:])]
+    return again, [p.windows(np.flatnonzero(send[a:b] | p.twice)) for p, a, b in zip(parses, ends[:-1], ends[1:])]
 
 
 def _low(trigger: np.ndarray) -> np.ndarray:
