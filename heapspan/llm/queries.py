@@ -15,6 +15,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, learn
 
@@ -37,6 +43,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge, rule_table
+
+    return judge(table(spark, sf_dir, "pages"), rule_table(spark))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import link
+
+    return link(table(spark, sf_dir, "conversations"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -54,4 +72,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontam, url_filter
+
+    return {"op3_decontam": decontam.ORACLE, "op7_url_filter": url_filter.ORACLE}
