@@ -32,9 +32,9 @@ class HeapAnalysis:
     def totals(self) -> dict[str, int]:
         return graph.heap_totals(self.tree).first().asDict()
 
-    @property
+    @cached_property
     def total(self) -> int:
-        return self.totals["total_heap_size"] or 0
+        return self.nodes.agg(F.sum("shallow_size")).first()[0] or 0
 
     @property
     def reachable(self) -> int:
