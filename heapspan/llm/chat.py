@@ -80,3 +80,31 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     known = parent.join(up, ["conv_id", "turn"])
     out = read.join(known, ["conv_id", "turn"], "left")
     return out.select(F.col("conv_id").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("own").alias(text_col), F.col("levels").cast("int").alias("quote_levels"), F.greatest(F.size(F.coalesce("runs", F.expr("cast(array() as array<struct<level:int,text:string>>)"))), F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("int").alias("n_linked"), "reply_to", F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
+
+
+ORACLE = r"""
+with recursive m as (select row_number() over () as r, conv_id, turn, role, text, coalesce(regexp_matches(text, '(?m)^[ \t]*>'), false) as quotes from conversations),
+cut as (select r, conv_id, turn, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as n from m where quotes),
+marked as (select r, conv_id, turn, n, length(regexp_replace(regexp_extract(raw, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g')) as level, regexp_replace(raw, '^[ \t]*(?:>[ \t]*)+', '') as line from cut),
+ahead as (select *, coalesce(lead(level) over (partition by r order by n), 0) as next from marked),
+lines as (select * from ahead where not (level = 0 and regexp_matches(line, 'wrote:[ \t]*$') and next > 0)),
+steps as (select *, case when lag(level) over (partition by r order by n) = level then 0 else 1 end as new from lines),
+runs as (select *, sum(new) over (partition by r order by n) as run from steps),
+passages as (select r, conv_id, turn, run, level, string_agg(line, chr(10) order by n) as t from runs where level > 0 group by all having trim(string_agg(line, chr(10) order by n), ' ') <> ''),
+numbered as (select *, row_number() over (partition by r order by run) as k, trim(regexp_replace(lower(t), '[ \t\r\n]+', ' ', 'g')) as h from passages),
+own as (select m.*, case when quotes then trim(coalesce((select string_agg(line, chr(10) order by n) from lines where lines.r = m.r and level = 0), ''), chr(10)) else text end as own,
+  coalesce((select max(level) from lines where lines.r = m.r), 0) as levels from m),
+known as (select conv_id, turn, unnest(list_concat([own], list_filter(regexp_split_to_array(own, '\n[ \t]*\n'), lambda p: trim(p, ' ') <> ''))) as u from own where own is not null and conv_id is not null and turn is not null),
+first as (select conv_id, trim(regexp_replace(lower(u), '[ \t\r\n]+', ' ', 'g')) as h, min(turn) as source from known group by all),
+single as (select conv_id, turn, unnest(list_filter(string_split(own, chr(10)), lambda p: trim(p, ' ') <> '')) as u from own where own is not null and conv_id is not null and turn is not null),
+firstline as (select conv_id, trim(regexp_replace(lower(u), '[ \t\r\n]+', ' ', 'g')) as h, min(turn) as source from single group by all),
+whole as (select p.*, case when source < turn then source end as source from numbered p left join first using (conv_id, h)),
+pieces as (select conv_id, turn, k, level, unnest(list_filter(string_split(t, chr(10)), lambda p: trim(p, ' ') <> '')) as u from whole where source is null),
+partly as (select p.conv_id, p.turn, k, level, max(source) as source from pieces p join firstline f on f.conv_id = p.conv_id and f.h = trim(regexp_replace(lower(u), '[ \t\r\n]+', ' ', 'g')) where source < turn group by all),
+links as (select conv_id, turn, k, level, source from whole where source is not null union all select * from partly),
+parent as (select conv_id, turn, arg_max(source, 1e9 * -level + source) as reply_to, count(distinct k) as n_linked from links group by all),
+thread as (select conv_id, turn, reply_to as head, 1 as depth from parent union all select t.conv_id, t.turn, p.reply_to, t.depth + 1 from thread t join parent p on p.conv_id = t.conv_id and p.turn = t.head),
+ends as (select conv_id, turn, min(head) as thread_turn, max(depth) as depth from thread group by all)
+select o.conv_id, o.turn, o.role, o.own as text, o.levels::int as quote_levels, (select count(*) from passages p where p.r = o.r)::int as n_quotes, coalesce(n_linked, 0)::int as n_linked, reply_to, coalesce(thread_turn, o.turn) as thread_turn, coalesce(depth, 0)::int as depth
+from own o left join parent using (conv_id, turn) left join ends using (conv_id, turn)
+"""

@@ -78,6 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam, url_filter
+    from . import chat, decontam, url_filter
 
-    return {"op3_decontam": decontam.ORACLE, "op7_url_filter": url_filter.ORACLE}
+    return {"op3_decontam": decontam.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_chat": chat.ORACLE}

@@ -1,4 +1,8 @@
-from heapspan.llm.chat import link
+import random
+
+import duckdb
+
+from heapspan.llm.chat import ORACLE, link
 
 
 def rows(spark, data):
@@ -45,3 +49,23 @@ def test_long_chain_and_empty(spark):
 def test_quoting_what_comes_later_or_itself(spark):
     got = {r.turn: r for r in link(rows(spark, [(1, 0, "a", "> later\nx", None), (1, 1, "b", "later", None), (1, 2, "b", "> same\nsame", None)])).collect()}
     assert got[0].reply_to is None and got[2].reply_to is None and got[2].n_quotes == 1
+
+
+def test_sql(spark):
+    r = random.Random(2)
+    said = ["Hello  there", "fine.", "how are\nyou", "one\n\ntwo two", "and so on", ""]
+    data = []
+    for conv in range(12):
+        for turn in range(r.randint(1, 9)):
+            text = r.choice(said)
+            for _ in range(r.choice([0, 0, 1, 2])):
+                mark = r.choice(["> ", ">", ">> ", "> > "])
+                text = r.choice(["", "x wrote:\n"]) + "\n".join(mark + x for x in r.choice(said).upper().split("\n")) + "\n" + text
+            data.append((conv, turn, r.choice("ab"), text, None))
+    data += [(1, 1, None, "> fine.", None), (3, None, "a", "> fine.", None), (None, 3, "a", "fine.", None), (4, 20, "a", None, None)]
+    df = rows(spark, data)
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", [x[:4] for x in data])
+    want = con.sql(ORACLE).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in link(df).collect())
