@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # makes pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
