@@ -196,3 +196,25 @@ def accumulation_point(tree: DataFrame, nid: int, share: float = 0.7, steps: int
             break
         nid = row.child
     return nid
+
+
+def labelled_children(tree: DataFrame, edges: DataFrame, nid: int) -> DataFrame:
+    """The older policy: idom children without any class node, with the field of the direct edge, else of the first labelled referrer.
+    edges need `field`."""
+    found = tree.where((F.col("idom") == nid) & (F.col("retained_size") > 0) & (F.col("node_type") != CLASS)).select(*REPORT, "nid")
+    named = edges.where("field is not null").select(F.col("dst").alias("nid"), F.struct((F.col("src") != nid).alias("other"), "src").alias("k"), "field")
+    first = named.groupBy("nid").agg(F.min_by("field", "k").alias("field"))
+    return found.join(first, "nid", "left").orderBy(*by_retained())
+
+
+def labelled_referrers(tree: DataFrame, edges: DataFrame, nid: int) -> DataFrame:
+    """The older policy: referring objects, no roots or class nodes, with the field; largest first."""
+    back = edges.where(F.col("dst") == nid).groupBy(F.col("src").alias("nid")).agg(F.min("field").alias("field"))
+    return tree.where(F.col("node_type").isin(INSTANCE, ARRAY)).join(back, "nid").select(*REPORT, "nid", "field").orderBy(*by_retained())
+
+
+def top_layers(tree: DataFrame, depth: int, most: int) -> DataFrame:
+    """Objects of the first `depth` levels of the dominator tree, level by level, at most `most`; class and empty nodes aren't shown
+    but looked through."""
+    shown = tree.where((F.size("path") - 1).between(1, depth) & F.col("node_type").isin(INSTANCE, ARRAY) & (F.col("retained_size") > 0))
+    return shown.orderBy("depth", *by_retained()).limit(most).select("depth", *REPORT)
