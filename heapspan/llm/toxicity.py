@@ -97,9 +97,10 @@ def _times(of: np.ndarray, column: np.ndarray, value: np.ndarray, w: np.ndarray,
     return np.bincount(of, weights=w[column] * value, minlength=n) if len(of) else np.zeros(n)
 
 
-def fit(rows: list[list[int]], toxic: list[int], changes: list[list[tuple[int, int]]], width: int, l1: float = 5e-5, balance: float = 1.0, rounds: int = 400) -> tuple[float, np.ndarray]:
+def fit(rows: list[list[int]], toxic: list[int], changes: list[list[tuple[int, int]]], width: int, l1: float = 5e-4, balance: float = 1.0, lift: float = 3.0, rounds: int = 400) -> tuple[float, np.ndarray]:
     """Base and weights: accelerated proximal gradient on the mean log loss, plus balance times the mean squared change of
-    the log-odds over the counterfactual pairs, plus l1 times the weights' sum. changes: of each pair (column, +1 or -1)."""
+    the log-odds over the counterfactual pairs, plus l1 times the weights' sum. Toxic rows count `lift` times, as they are
+    few and missing one is worse than a second look. changes: of each pair (column, +1 or -1)."""
     n, m, y = len(rows), max(1, len(changes)), np.array(toxic, dtype=float)
     of = np.repeat(np.arange(n), [len(r) for r in rows])
     column = np.array([c for r in rows for c in r], dtype=np.int64)
@@ -108,18 +109,19 @@ def fit(rows: list[list[int]], toxic: list[int], changes: list[list[tuple[int, i
     moved = np.array([c for r in changes for c, _ in r], dtype=np.int64)
     sign = np.array([s for r in changes for _, s in r], dtype=float)
     most = lambda o, c, v, k: _largest(o, c, v, k, width)
-    step = 1 / (0.25 * (most(of, column, one, n) / n + 1) + 2 * balance * most(pair, moved, sign, m) / m + 1e-9)
+    cost = 1 + (lift - 1) * y
+    step = 1 / (0.25 * max(1.0, lift) * (most(of, column, one, n) / n + 1) + 2 * balance * most(pair, moved, sign, m) / m + 1e-9)
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     base, w = float(np.log(rate / (1 - rate))), np.zeros(width)
     ahead_b, ahead_w, t = base, w.copy(), 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(ahead_b + _times(of, column, one, ahead_w, n), -30, 30)))
-        g = np.bincount(column, weights=(p - y)[of], minlength=width) / n
+        g = np.bincount(column, weights=((p - y) * cost)[of], minlength=width) / n
         if len(pair):
             g = g + 2 * balance / m * np.bincount(moved, weights=_times(pair, moved, sign, ahead_w, m)[pair] * sign, minlength=width)
         new = ahead_w - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        new_b = ahead_b - step * float((p - y).mean())
+        new_b = ahead_b - step * float(((p - y) * cost).mean())
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead_w, ahead_b = new + (t - 1) / t_next * (new - w), new_b + (t - 1) / t_next * (new_b - base)
         w, base, t = new, new_b, t_next
@@ -140,7 +142,7 @@ def _largest(of: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, widt
     return size * 1.05
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, keep: int = 4096, groups: tuple[tuple[str, ...], ...] = IDENTITY, l1: float = 5e-5, balance: float = 1.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, keep: int = 4096, groups: tuple[tuple[str, ...], ...] = IDENTITY, l1: float = 5e-4, balance: float = 1.0) -> Model:
     """From labels(id, label 0 or 1) and the documents' texts."""
     store, swap = Store(docs.sparkSession, "toxicity"), swaps(groups)
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
