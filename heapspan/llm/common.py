@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -67,3 +69,10 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * m
     return h ^ (h >> np.uint64(32))
+
+
+def trim() -> None:
+    """Give freed memory back, as a Python worker stays for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

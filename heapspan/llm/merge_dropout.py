@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, trim
 from .pieces import SPACE, default_model, exact_pre_tokens, load, model_bytes
 
 SHORT = 32
-KNOWN = 300_000
+KNOWN = 200_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -60,6 +60,11 @@ class Codec:
                 if a is not None and b is not None:
                     pairs[(a << 32) | b] = i
         self.pairs = pairs
+        self.table = np.arange(self.n, self.n + 0x110000, dtype=np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.table[ord(piece)] = i
+        self.table[ord(" ")], self.table[ord(SPACE)] = self.ids[SPACE], self.n + ord(SPACE)
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.made = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
         self.key = np.uint64(xxhash.xxh64_intdigest(f"merge {seed}"))
@@ -74,9 +79,9 @@ class Codec:
         """A piece's id, or for a character that is none a number above all ids."""
         return self.ids.get(text, self.n + ord(text) if len(text) == 1 else None)
 
-    def symbols(self, token: str) -> list[int]:
-        ids, n = self.ids, self.n
-        return [ids[SPACE] if c == " " else n + 0x2581 if c == SPACE else ids.get(c, n + ord(c)) for c in token]
+    def symbols(self, text: str) -> np.ndarray:
+        """Of each character: the id of the piece that it is, or a number above all ids."""
+        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
     def unit(self, variant: int, token: str) -> int:
         return xxhash.xxh64_intdigest(token, int(self.key) ^ variant)
@@ -92,7 +97,7 @@ class Codec:
 
     def encode_long(self, variant: int, token: str) -> list[int]:
         """One pre-token with an agenda of its own."""
-        symbol, unit = self.symbols(token), np.uint64(self.unit(variant, token))
+        symbol, unit = self.symbols(token).tolist(), np.uint64(self.unit(variant, token))
         after, before = list(range(1, len(symbol))) + [-1], list(range(-1, len(symbol) - 1))
         agenda: list[tuple[int, int, int, int, int]] = []
 
@@ -125,12 +130,12 @@ class Codec:
         out |= self.skipped(unit, start, piece)
         return np.where(out, _NONE, self.rank[piece]), piece
 
-    def encode_short(self, variants: list[int], tokens: list[str]) -> list[np.ndarray]:
-        """Many short pre-tokens, one merge in each at every step."""
-        n, width = len(tokens), max(map(len, tokens)) + 1
+    def encode_short(self, variants: list[int], tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short pre-tokens, one after another, and how many each has. One merge is made in each at every step."""
+        n, sizes = len(tokens), np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        width = int(sizes.max()) + 1
         sym = np.full((n, width), -1, dtype=np.int32)
-        for i, t in enumerate(tokens):
-            sym[i, : len(t)] = self.symbols(t)
+        sym[np.arange(width) < sizes[:, None]] = self.symbols("".join(tokens))
         units = np.array([self.unit(v, t) for v, t in zip(variants, tokens)], dtype=np.uint64)
         start = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
         rank = np.full((n, width), _NONE, dtype=np.int32)
@@ -157,24 +162,32 @@ class Codec:
                 ok = here >= 0
                 k, h = rows[ok], here[ok]
                 rank[k, h], piece[k, h] = self._lookup(sym[k, h], sym[k, h + 1], units[k], start[k, h])
-        whole = (done >= self.n).any(axis=1)
-        return [np.array(self.bytes_of([s for s in row if s >= 0]), dtype=np.int32) if odd else np.array([s for s in row if s >= 0], dtype=np.int32) for row, odd in zip(done.tolist(), whole.tolist())]
-
-    def encode(self, units: list[tuple[int, str]]) -> list[np.ndarray]:
-        """Ids of each (variant, pre-token)."""
-        out: list[np.ndarray | None] = [None] * len(units)
+        held = done >= 0
+        flat, sizes = done[held], held.sum(axis=1)
+        if (flat >= self.n).any():
+            spelled = [[x] if x < self.n else self.bytes_of([x]) for x in flat.tolist()]
+            own = np.repeat(np.arange(n), sizes)
+            sizes = np.bincount(own, weights=[len(x) for x in spelled], minlength=n).astype(np.int64)
+            flat = np.array([y for x in spelled for y in x], dtype=np.int32)
+        return flat, sizes
+
+    def encode(self, units: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all (variant, pre-token), and where each one's begin and how many they are."""
+        at, size, parts, end = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64), [np.zeros(0, dtype=np.int32)], 0
         by_size: dict[int, list[int]] = {}
         for i, (v, t) in enumerate(units):
             if len(t) > SHORT:
-                out[i] = np.array(self.encode_long(v, t), dtype=np.int32)
+                parts.append(np.array(self.encode_long(v, t), dtype=np.int32))
+                at[i], size[i], end = end, len(parts[-1]), end + len(parts[-1])
             else:
-                by_size.setdefault((len(t) + 3) // 4, []).append(i)
+                by_size.setdefault((len(t) + 1) // 2, []).append(i)
         for some in by_size.values():
-            for at in range(0, len(some), 20_000):
-                part = some[at : at + 20_000]
-                for i, ids in zip(part, self.encode_short([units[i][0] for i in part], [units[i][1] for i in part])):
-                    out[i] = ids
-        return out
+            for k in range(0, len(some), 20_000):
+                part = some[k : k + 20_000]
+                flat, sizes = self.encode_short([units[i][0] for i in part], [units[i][1] for i in part])
+                parts.append(flat)
+                at[part], size[part], end = end + np.cumsum(sizes) - sizes, sizes, end + len(flat)
+        return np.concatenate(parts), at, size
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of a document's ids; the space put before it goes."""
@@ -189,25 +202,26 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[tuple[int, str], int] = {}
+        self.code: list[dict[str, int]] = [{} for _ in range(self.variants)]
         self.flat, self.at, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def __call__(self, documents: list[str]) -> list[np.ndarray]:
-        keyed = [(xxhash.xxh64_intdigest(d, int(self.codec.key)) % self.variants, exact_pre_tokens(d)) for d in documents]
-        if len(self.code) > self.known:
+        if len(self.at) > self.known:
             self.forget()
-        code = self.code
-        new = list({(v, t): None for v, tokens in keyed for t in tokens if (v, t) not in code})
-        if new:
-            ids = self.codec.encode(new)
-            code.update(zip(new, range(len(code), len(code) + len(new))))
-            size = np.array([len(x) for x in ids], dtype=np.int64)
-            self.at = np.r_[self.at, len(self.flat) + np.cumsum(size) - size]
-            self.size = np.r_[self.size, size]
-            self.flat = np.concatenate([self.flat, *ids])
+        keyed = [(xxhash.xxh64_intdigest(d, int(self.codec.key)) % self.variants, exact_pre_tokens(d)) for d in documents]
+        new: list[set[str]] = [set() for _ in self.code]
+        for v, tokens in keyed:
+            new[v].update(tokens)
+        units = [(v, t) for v, some in enumerate(new) for t in some.difference(self.code[v])]
+        if units:
+            flat, at, size = self.codec.encode(units)
+            for n, (v, t) in enumerate(units, len(self.at)):
+                self.code[v][t] = n
+            self.at, self.size = np.concatenate([self.at, len(self.flat) + at]), np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, flat])
         out = []
         for v, tokens in keyed:
-            c = np.array([code[v, t] for t in tokens], dtype=np.int64)
+            c = np.fromiter(map(self.code[v].__getitem__, tokens), dtype=np.int64, count=len(tokens))
             out.append(_gather(self.flat, self.at[c], self.size[c]) if len(c) else np.zeros(0, dtype=np.int32))
         return out
 
@@ -243,6 +257,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 decoded = [encoder.codec.decode(x) if len(x) else b"" for x in ids]
                 columns = [pa.array([len(x) for x in raw], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded]), pa.array([a == b for a, b in zip(raw, decoded)])]
                 yield pa.RecordBatch.from_arrays([who, *columns], names=["id", "n_bytes", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"])
+        del encoder
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     tail = "ids array<int>" if emit == "ids" else "n_bytes long, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean"

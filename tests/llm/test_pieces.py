@@ -53,8 +53,9 @@ def test_short_as_long(dropout):
     codec = Codec(MODEL, 7, dropout)
     tokens = sorted({t for x in more(6) for t in x.replace("\n", " ").split(" ") if t})
     for v in (0, 1):
-        got = codec.encode_short([v] * len(tokens), tokens)
-        assert [x.tolist() for x in got] == [codec.encode_long(v, t) for t in tokens]
+        flat, sizes = codec.encode_short([v] * len(tokens), tokens)
+        ends = np.cumsum(sizes)
+        assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes)] == [codec.encode_long(v, t) for t in tokens]
 
 
 def test_varied_and_lossless(spark):
