@@ -27,6 +27,8 @@ import pyarrow.compute  # makes pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 RUN = 256
 LETTERS = 62
 _PLANES = 0x110000
@@ -218,5 +220,6 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", most_
                 part = batch.slice(at, 256)
                 found = predict(part.column(text_col).to_pylist(), own, code)
                 yield part.filter(pa.array([lang != "und" and bits <= most_bits for lang, _, bits in found], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

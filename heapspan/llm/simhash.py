@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, mix64, texts
+from .common import Store, mix64, texts, trim
 from .components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -119,6 +119,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             found = np.array([signature(x, shingle) for x in texts(batch.column(1))], dtype=np.int64).reshape(-1, 2 * CODES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in found.T.copy())], names=["id", *names])
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
@@ -157,5 +158,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     store = Store(docs.sparkSession, "kept")
     kept = store.put(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("copies")), "ids")
     repeated = kept.where(F.col(id_col).isNotNull() & (F.col("copies") > 1)).limit(1).count()
-    out = docs.alias("d").join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"k.{id_col}")), "left_semi")
+    # the same join at every size: what is kept grows with the documents
+    out = docs.alias("d").join(kept.hint("merge").alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"k.{id_col}")), "left_semi")
     return out if not repeated else out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Store, mix64, partitions, texts
+from .common import Store, mix64, partitions, texts, trim
 
 GRAM = 64
 SEGMENT = 1 << 20
@@ -275,6 +275,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
                 _, parses, _ = _parses(_unpack(data), text_col, width, gram)
                 yield _ask(block, _join(parses, "trigger"), _join(parses, "whole"), parts)
+        trim()
 
     def suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -307,6 +308,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left_over = [None if x is None else y.decode("utf-8", "ignore") for x, y in zip(table[text_col].to_pylist(), kept)]
                 values = [left_over if name == text_col else table[name] for name in target.names]
             out.append(pa.table([v.combine_chunks().cast(f.type) if isinstance(v, pa.ChunkedArray) else pa.array(v, f.type) for v, f in zip(values, target)], schema=target))
+        trim()
         return pa.concat_tables(out) if out else target.empty_table()
 
     first = store.put(blocks.mapInArrow(phrases, ASK).groupBy("part").applyInArrow(_answer(8), TELL), "phrases")
