@@ -29,14 +29,26 @@ _TOKENS = r"transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+', 0),
 _COUNT = "size(tokens)"
 
 
+def _seed(mask: int, at: str) -> str:
+    return f"xxhash64({mask}, {', '.join(f'get(tokens, {at} + {k})' for k in MASKS[mask])})"
+
+
 def _seeds(mask: int) -> str:
     """SQL: the seed of every position, in order."""
-    kept = ", ".join(f"get(tokens, i + {k})" for k in MASKS[mask])
-    return f"IF({_COUNT} < {SPAN}, cast(array() as array<bigint>), transform(sequence(0, {_COUNT} - {SPAN}), i -> xxhash64({mask}, {kept})))"
+    return f"IF({_COUNT} < {SPAN}, cast(array() as array<bigint>), transform(sequence(0, {_COUNT} - {SPAN}), i -> {_seed(mask, 'i')}))"
+
+
+def _seed_at(at: str) -> str:
+    """SQL: the seed under the row's mask at a position."""
+    return "CASE mask " + " ".join(f"WHEN {m} THEN {_seed(m, at)}" for m in range(len(MASKS))) + " END"
+
+
+#: Shifts of a seed that choose its three bits in a word of the filter.
+_SHIFTS = (32, 40, 48)
 
 
 def _bits(seed: str) -> str:
-    return f"(shiftleft(1L, cast(shiftrightunsigned({seed}, 32) & 63L as int)) | shiftleft(1L, cast(shiftrightunsigned({seed}, 40) & 63L as int)) | shiftleft(1L, cast(shiftrightunsigned({seed}, 48) & 63L as int)))"
+    return "(" + " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({seed}, {n}) & 63L as int))" for n in _SHIFTS) + ")"
 
 
 def tokens(df: DataFrame, text_col: str) -> DataFrame:
@@ -54,14 +66,15 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     seeds = tests.withColumnRenamed("theirs", "tokens").selectExpr("item", "tokens as theirs", f"inline(flatten(array({', '.join(f'transform({_seeds(m)}, (s, i) -> struct(s as seed, i as there))' for m in range(len(MASKS)))})))")
     n = seeds.count()
     slots = min(words, max(64, 1 << (n // 4).bit_length()))
-    slot = f"cast(pmod(seed, {slots}) as int)"
+    slot = f"cast(seed & {slots - 1}L as int)"
     filled = {r.slot: r.bits for r in seeds.groupBy(F.expr(slot).alias("slot")).agg(F.expr(f"bit_or({_bits('seed')})").alias("bits")).collect()}
     literal = f"array({', '.join(_long(filled.get(i, 0)) for i in range(slots))})"
-    found = f"element_at({literal}, {slot} + 1) & {_bits('seed')} = {_bits('seed')}"
+    # bit by bit, as nearly all positions fail at the first; positions and not seeds are kept, so nothing is allocated for them
+    held = " AND ".join(f"bit_get(element_at({literal}, {slot} + 1), cast(shiftrightunsigned(seed, {k}) & 63L as int)) = 1" for k in _SHIFTS).replace("seed", "s")
     read = tokens(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").selectExpr("id", "xxhash64(text) as text_hash", "tokens")
-    passing = ", ".join(f"filter(transform({_seeds(m)}, (s, i) -> struct(s as seed, i as here)), x -> {found.replace('seed', 'x.seed')})" for m in range(len(MASKS)))
+    passing = ", ".join(f"transform(filter(transform({_seeds(m)}, (s, i) -> IF({held}, i, -1)), x -> x >= 0), x -> struct({m} as mask, x as here))" for m in range(len(MASKS)))
     near = f"slice(tokens, greatest(here - {window - 1}, 0) + 1, {2 * window + SPAN})"
-    hits = read.where(f"{_COUNT} >= {SPAN}").selectExpr("id", "text_hash", "tokens", f"inline(concat({passing}))").selectExpr("id", "text_hash", "seed", "here", f"greatest(here - {window - 1}, 0) as ours_from", f"{near} as ours")
+    hits = read.where(f"{_COUNT} >= {SPAN}").selectExpr("id", "text_hash", "tokens", f"inline(concat({passing}))").selectExpr("id", "text_hash", f"{_seed_at('here')} as seed", "here", f"greatest(here - {window - 1}, 0) as ours_from", f"{near} as ours")
     listed = F.broadcast(seeds) if n <= small else seeds
     met = hits.join(listed, "seed").selectExpr("id", "text_hash", "item", "here - there as at", "here", "there", "ours", "ours_from", "theirs")
     # positions of the item from which a window that holds the seed may reach, and whether they are equal
