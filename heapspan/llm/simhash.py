@@ -33,7 +33,9 @@ from .components import components
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _RUN = 1 << 16
-CODES = 4
+SMALL = 16
+SAMPLE, OFTEN = 8, 2000
+SEEN = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -82,62 +84,165 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _named(marked, "fp", classes, links, store).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _majority(hashes: np.ndarray, words: int) -> list[int]:
-    """`words` 64-bit integers whose bits are set in over half of the hashes, each word scrambled anew."""
-    total = np.zeros((words, 64), dtype=np.int64)
-    for at in range(0, len(hashes), _RUN):
-        for n in range(words):
-            mixed = mix64(hashes[at : at + _RUN] + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)).astype(">u8")
-            total[n] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(hashes), axis=1).view(">i8").ravel().tolist()
-
-
-def signature(text: bytes, shingle: int = 5) -> list[int]:
-    """CODES integers of the distinct words, then CODES of the shingles (repeats included)."""
+def _hashes(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
+    """A 64-bit hash of the sequence of words (0: no words) and the sorted distinct hashes of the shingles, a shorter text being one."""
     words = _WORD.findall(text.translate(_LOWER))
     if not words:
-        return [0] * (2 * CODES)
-    shingles = [b" ".join(words)] if len(words) < shingle else list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+        return 0, np.zeros(1, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
-    return [code for some in (set(words), shingles) for code in _majority(np.array([digest(x, 42) for x in some], dtype=np.uint64), CODES)]
+    whole = digest(b" ".join(words), 42)
+    n = len(words) - shingle + 1
+    if n < 1:
+        return whole, np.array([whole], dtype=np.uint64)
+    one, out = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words)), np.zeros(n, dtype=np.uint64)
+    for i in range(shingle):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + one[i : i + n])
+    return whole, np.unique(out)
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _common(docs: DataFrame, shingle: int, store: Store) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in many documents of a sample, sorted, and in how many. Only the order of the index depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_hashes(x, shingle)[1] for x in texts(batch.column(0))]
+            h, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), len(found)], pa.int64())], names=["h", "n"])
+        trim()
+
+    rows = docs.where(f"pmod(xxhash64(text), {SAMPLE}) = 0").select("text").mapInArrow(run, "h long, n long")
+    counts = store.put(rows.groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4 or h is null"), "common")
+    size = counts.where("h is null").first()
+    found = counts.where(F.col("h").isNotNull() & (F.col("n") * OFTEN >= (size.n if size else 0))).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _within(sizes: np.ndarray, places: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether pairs whose first shared shingle is this one can be similar enough, by their sizes and what follows it."""
+    rest = np.minimum(sizes[i] - places[i], sizes[j] - places[j])
+    return rest >= (sizes[i] + sizes[j]) * (similarity / (1 + similarity)) - 1e-6
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id and component_id of each row, linking texts whose word shingles have a Jaccard similarity of `similarity` or more.
-
-    At 0.8 the SimHash of five-word shingles differs in some 15 % of its bits, too many for an equality join on
-    segments, while that of the distinct words differs in few: over 90 % of such texts lie within 3 bits on at least one of CODES
-    independent 64-bit codes. So candidates come from the pigeonring chains of the word codes (budgets 0 and 1), and the full
-    Hamming check is made on the 64 * CODES bits of the shingles, at the distance that the similarity has there on average
-    plus one standard deviation. In each cell of the index all texts are linked to one, the centre, so a group of thousands of near
-    copies gives as many candidates as it has texts, not pairs.
+    """id and component_id of each row, linking texts whose distinct word shingles have a Jaccard similarity of `similarity` or more.
+
+    Candidates come from a prefix filter: shingles are ordered, those of many documents last, and a text of n shingles is filed
+    under its first n - ceil(similarity * n) + 1. Texts that are similar enough share one of these cells, whatever the order
+    is; sizes and the places of the shared shingle leave out more pairs, none of which can be similar enough. Every candidate's
+    similarity is then computed from the two sets of 64-bit shingle hashes.
+
+    In cells of up to SMALL texts all pairs are candidates. In a larger one each text is compared with one, the centre
+    so a group of thousands of near copies gives as many candidates as it has texts, not pairs.
     """
     store = Store(docs.sparkSession, "similar")
-    names = [f"{k}{n}" for k in "ws" for n in range(CODES)]
+    kind = docs.schema[id_col].dataType.simpleString()
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_common(read, shingle, store))  # at most OFTEN times the shingles of a document
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = shared.value
+        seen: set[int] = set()
         for batch in batches:
-            found = np.array([signature(x, shingle) for x in texts(batch.column(1))], dtype=np.int64).reshape(-1, 2 * CODES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in found.T.copy())], names=["id", *names])
+            sigs, sizes, cells = [], [], []
+            for text in texts(batch.column(1)):
+                whole, hashes = _hashes(text, shingle)
+                n = len(hashes)
+                sigs.append(_signed(whole))
+                sizes.append(n)
+                if whole in seen:  # copies are filed once a task
+                    cells.append(None)
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(whole)
+                count = n - math.ceil(similarity * n - 1e-9) + 1
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                    hashes = hashes[np.argsort(np.where(common[at] == hashes, often[at], 0), kind="stable")]
+                cells.append(hashes[:count].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "sig", "n", "cells"])
         trim()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
-    marked = store.put(read.withColumn("sig", F.xxhash64(*names)), "signatures")
-    classes = store.put(marked.groupBy("sig").agg(F.min("id").alias("least"), *(F.first(n).alias(n) for n in names)), "classes")
-    ring = "transform(sequence(0, 3), i -> struct(i as i, (shiftrightunsigned(fp, 16 * i) | IF(i = 0, 0L, shiftleft(fp, 64 - 16 * i))) & 4294967295L as k))"
-    cell = "shiftleft(cast(4 * t + s.i as bigint), 32) | s.k"
-    codes = classes.selectExpr("sig", f"posexplode(array({', '.join(names[:CODES])})) as (t, fp)")
-    centres = codes.selectExpr("sig", f"explode(transform({ring}, s -> {cell})) as cell").groupBy("cell").agg(F.min("sig").alias("centre"))
-    asked = codes.selectExpr("sig", f"explode(flatten(transform({ring}, s -> transform(filter(sequence(15, 31), j -> j = 15 OR (s.k & shiftleft(1L, j)) = 0), j -> ({cell}) | IF(j = 15, 0L, shiftleft(1L, j)))))) as cell")
-    met = store.put(asked.join(centres, "cell").where("sig <> centre").select("sig", "centre").distinct(), "met")
-    bits, angle = 64 * CODES, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = int(bits * angle + math.sqrt(bits * angle * (1 - angle)))
-    shingles = classes.select("sig", *names[CODES:])
-    other = shingles.select(F.col("sig").alias("centre"), *(F.col(n).alias(f"c{n}") for n in names[CODES:]))
-    apart = " + ".join(f"bit_count({n} ^ c{n})" for n in names[CODES:])
-    links = store.put(met.join(shingles, "sig").join(other, "centre").where(f"{apart} <= {most}").select(F.col("sig").alias("a"), F.col("centre").alias("b")), "links")
-    return _named(marked, "sig", classes, links, store).select(F.col("id").alias(id_col), "component_id")
+    marked = store.put(read.mapInArrow(filed, f"id {kind}, sig long, n int, cells array<long>"), "signatures")
+    classes = store.put(marked.groupBy("sig").agg(F.min("id").alias("least")), "classes")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b) of small cells; of large ones each text a with the centre b, its cell, size and place."""
+        columns = [[b.column(c).to_numpy() for c in range(4)] for b in batches]
+        if not columns:
+            return
+        cell, sig, n, place = (np.concatenate(c) for c in zip(*columns))
+        del columns
+        order = np.lexsort((sig, cell))
+        cell, sig, n, place = cell[order], sig[order], n[order], place[order]
+        new = np.r_[True, (cell[1:] != cell[:-1]) | (sig[1:] != sig[:-1])]  # copies filed by several tasks
+        cell, sig, n, place = cell[new], sig[new], n[new], place[new]
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        sizes = np.diff(np.r_[first, len(cell)])
+        pairs = [np.zeros((2, 0), dtype=np.int64)]
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+            begin = first[sizes == size]
+            for a in range(size):
+                for b in range(a + 1, size):
+                    i, j = begin + a, begin + b
+                    ok = _within(n, place, i, j, similarity)
+                    pairs.append(np.stack([sig[i[ok]], sig[j[ok]]]))
+        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        large = np.repeat(sizes > SMALL, sizes)
+        centre = np.repeat(sig[first], sizes)[large]
+        none = pa.nulls(len(a), pa.int64())
+        for c in ((pa.array(a), pa.array(b), none, none, none), (pa.array(sig[large]), pa.array(centre), pa.array(cell[large]), pa.array(n[large], pa.int64()), pa.array(place[large], pa.int64()))):
+            yield from pa.table(list(c), names=["a", "b", "cell", "n", "place"]).to_batches(max_chunksize=100_000)
+        trim()
+
+    index = marked.where("cells is not null").selectExpr("sig", "n", "posexplode(cells) as (place, cell)").select("cell", "sig", "n", "place")
+    met = store.put(index.repartition("cell").mapInArrow(meet, "a long, b long, cell long, n long, place long"), "met")
+    star = store.put(met.where("a <> b").select("a", "b").distinct(), "pairs")
+    wanted = star.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            out = []
+            for text in texts(batch.column(0)):
+                words = _WORD.findall(text.translate(_LOWER))
+                whole = xxhash.xxh64_intdigest(b" ".join(words), 42) if words else 0
+                if whole not in seen:
+                    out.append((_signed(whole), text))
+                    if len(seen) < SEEN:
+                        seen.add(whole)
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], names=["sig", "text"])
+        trim()
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_hashes(x, shingle)[1].tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["sig", "hashes"])
+        trim()
+
+    found = read.select("text").mapInArrow(keyed, "sig long, text binary").join(wanted.hint("merge"), "sig", "left_semi")
+    sets = store.put(found.mapInArrow(whole_sets, "sig long, hashes binary").dropDuplicates(["sig"]), "sets")
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                both = len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), assume_unique=True))
+                ok.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        trim()
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose sets are similar."""
+        left, right = sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
+        return store.put(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"), name)
+
+    links = similar(star, "links")
+    return _named(marked.select("id", "sig"), "sig", classes, links, store).select(F.col("id").alias(id_col), "component_id")
 
 
 def _named(marked: DataFrame, node: str, classes: DataFrame, links: DataFrame, store: Store) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heapspan.llm.simhash import close_pairs, fingerprint, fingerprints, near_duplicates, one_of_each
+from heapspan.llm.simhash import close_pairs, fingerprint, fingerprints, near_duplicates, one_of_each, similar_documents
 
 
 def test_fingerprint_by_definition(spark):
@@ -89,3 +89,36 @@ def test_one_of_each(spark):
     want = sorted(str(x) for x in [*(g[0] for g in groups), 1000, None])
     assert len(set(got) ^ set(want)) <= 2 and set(want) <= set(got)
     assert one_of_each(df.limit(0)).collect() == []
+
+
+def sets(text, shingle=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+
+def groups(texts):
+    """Smallest position of each text's component, by brute-force Jaccard similarities."""
+    found, root = [sets(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(found[i] & found[j])
+            if both and 5 * both >= 4 * (len(found[i]) + len(found[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+def test_similar_by_brute_force(spark):
+    r = random.Random(21)
+    words = ["u%d" % i for i in range(2000)]
+    texts = []
+    for n in [5, 6, 7, 9, 12, 15, 20, 30, 45, 60, 90, 150, 300] * 12:
+        t = [r.choice(words) for _ in range(n)]
+        texts.append(" ".join(t))
+        extra = [r.choice(words) for _ in range(r.randint(0, max(1, n // 5)))]
+        t[r.randrange(n)] = r.choice(words) if n > 40 else t[0]
+        texts.append(" ".join(t + extra))
+        texts.append(" ".join(t + t[: n // 3]))  # repeats
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in similar_documents(df).collect()}
+    assert [got[i] for i in range(len(texts))] == groups(texts)
