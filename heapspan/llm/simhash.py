@@ -137,8 +137,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is; sizes and the places of the shared shingle leave out more pairs, none of which can be similar enough. Every candidate's
     similarity is then computed from the two sets of 64-bit shingle hashes.
 
-    In cells of up to SMALL texts all pairs are candidates. In a larger one each text is compared with one, the centre
-    so a group of thousands of near copies gives as many candidates as it has texts, not pairs.
+    In cells of up to SMALL texts all pairs are candidates. In a larger one each text is compared with one, the centre, and
+    after that with all texts of the cell that these links have not joined to it. So a group of thousands of near copies gives about
+    as many candidates as it has texts, not pairs, and no pair is lost: two texts are compared or in one component already.
     """
     store = Store(docs.sparkSession, "similar")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -242,6 +243,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return store.put(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"), name)
 
     links = similar(star, "links")
+    roots = components(links, Store(docs.sparkSession, "stars")).select(F.col("node").alias("sig"), "root")
+    large = met.where("cell is not null").select("cell", F.col("a").alias("sig"), "n", "place").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    mixed = large.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    rows = store.put(large.join(mixed, "cell"), "mixed")
+    one, two = (rows.select("cell", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "place", "root"))) for k in "ab")
+    near = f"least(n_a - place_a, n_b - place_b) >= (n_a + n_b) * {similarity / (1 + similarity)}D - 1e-6D"
+    rest = one.join(two.hint("merge"), "cell").where(f"sig_a < sig_b and root_a <> root_b and {near}").select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
+    links = store.put(links.unionByName(similar(store.put(rest, "rest"), "others")), "all")
     return _named(marked.select("id", "sig"), "sig", classes, links, store).select(F.col("id").alias(id_col), "component_id")
 
 

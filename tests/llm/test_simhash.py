@@ -122,3 +122,24 @@ def test_similar_by_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in similar_documents(df).collect()}
     assert [got[i] for i in range(len(texts))] == groups(texts)
+
+
+def test_similar_beside_others(spark):
+    r = random.Random(22)
+    words, texts = ["u%d" % i for i in range(3000)], []
+    for others in (0, 1, 5, 20, 40):  # other texts of the same words
+        for _ in range(6):
+            t = [r.choice(words) for _ in range(80)]
+            texts += [" ".join(t), " ".join([*t[:-2], "x", "y"])] + [" ".join(r.sample(t, 80)) for _ in range(others)]
+    # chains in large cells: each text is similar to the next, few to the centre
+    for _ in range(3):
+        t = [r.choice(words) for _ in range(120)]
+        for k in range(30):
+            t = [*t[:k], f"v{r.random()}", *t[k + 1 :]]
+            texts.append(" ".join(t))
+    for _ in range(40):  # a long passage of many texts, by which they are not similar, with a near copy each
+        t = ["passage%d" % i for i in range(60)] + [r.choice(words) for _ in range(40)]
+        texts += [" ".join(t), " ".join([*t, r.choice(words), r.choice(words)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in similar_documents(df).collect()}
+    assert [got[i] for i in range(len(texts))] == groups(texts)
