@@ -34,7 +34,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _RUN = 1 << 16
 SMALL = 16
-SAMPLE, OFTEN = 8, 2000
+SAMPLE, OFTEN = 8, 10_000
 SEEN = 1_000_000
 
 
@@ -134,8 +134,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Candidates come from a prefix filter: shingles are ordered, those of many documents last, and a text of n shingles is filed
     under its first n - ceil(similarity * n) + 1. Texts that are similar enough share one of these cells, whatever the order
-    is; sizes and the places of the shared shingle leave out more pairs, none of which can be similar enough. Every candidate's
-    similarity is then computed from the two sets of 64-bit shingle hashes.
+    is; sizes, how many cells they share and the places of a shared shingle leave out more pairs, none of which can be similar enough.
+    Every candidate's similarity is then computed from the two sets of 64-bit shingle hashes.
 
     In cells of up to SMALL texts all pairs are candidates. In a larger one each text is compared with one, the centre, and
     after that with all texts of the cell that these links have not joined to it. So a group of thousands of near copies gives about
@@ -173,7 +173,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = store.put(marked.groupBy("sig").agg(F.min("id").alias("least")), "classes")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b) of small cells; of large ones each text a with the centre b, its cell, size and place."""
+        """Pairs (a, b) of small cells, their sizes and how many cells they share; of large ones each text a with the centre b, its cell, size and place."""
         columns = [[b.column(c).to_numpy() for c in range(4)] for b in batches]
         if not columns:
             return
@@ -185,25 +185,36 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         cell, sig, n, place = cell[new], sig[new], n[new], place[new]
         first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         sizes = np.diff(np.r_[first, len(cell)])
-        pairs = [np.zeros((2, 0), dtype=np.int64)]
+        pairs = [np.zeros((4, 0), dtype=np.int64)]
         for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
             begin = first[sizes == size]
             for a in range(size):
                 for b in range(a + 1, size):
                     i, j = begin + a, begin + b
-                    ok = _within(n, place, i, j, similarity)
-                    pairs.append(np.stack([sig[i[ok]], sig[j[ok]]]))
-        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+                    ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
+                    pairs.append(np.stack([sig[i[ok]], sig[j[ok]], n[i[ok]], n[j[ok]]]))
+        a, b, n_a, n_b = np.concatenate(pairs, axis=1)
+        order = np.lexsort((b, a))
+        a, b, n_a, n_b = a[order], b[order], n_a[order], n_b[order]
+        begin = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+        shares = np.diff(np.r_[begin, len(a)])
+        a, b, n_a, n_b = a[begin], b[begin], n_a[begin], n_b[begin]
         large = np.repeat(sizes > SMALL, sizes)
         centre = np.repeat(sig[first], sizes)[large]
-        none = pa.nulls(len(a), pa.int64())
-        for c in ((pa.array(a), pa.array(b), none, none, none), (pa.array(sig[large]), pa.array(centre), pa.array(cell[large]), pa.array(n[large], pa.int64()), pa.array(place[large], pa.int64()))):
-            yield from pa.table(list(c), names=["a", "b", "cell", "n", "place"]).to_batches(max_chunksize=100_000)
+        none, void = pa.nulls(len(a), pa.int64()), pa.nulls(int(large.sum()), pa.int64())
+        for c in ((pa.array(a), pa.array(b), none, pa.array(n_a, pa.int64()), none, pa.array(n_b, pa.int64()), pa.array(shares, pa.int64())), (pa.array(sig[large]), pa.array(centre), pa.array(cell[large]), pa.array(n[large], pa.int64()), pa.array(place[large], pa.int64()), void, void)):
+            yield from pa.table(list(c), names=["a", "b", "cell", "n", "place", "n_b", "shares"]).to_batches(max_chunksize=100_000)
         trim()
 
     index = marked.where("cells is not null").selectExpr("sig", "n", "posexplode(cells) as (place, cell)").select("cell", "sig", "n", "place")
-    met = store.put(index.repartition("cell").mapInArrow(meet, "a long, b long, cell long, n long, place long"), "met")
-    star = store.put(met.where("a <> b").select("a", "b").distinct(), "pairs")
+    met = store.put(index.repartition("cell").mapInArrow(meet, "a long, b long, cell long, n long, place long, n_b long, shares long"), "met")
+    # shared shingles are in both prefixes, or among those that follow one text's; how many of a large cell's are shared isn't known
+    in_large = met.where("cell is not null").groupBy("a").agg(F.count("*").alias("m"))
+    small = met.where("cell is null").groupBy("a", "b").agg(F.first("n").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("shares").alias("k"))
+    small = small.join(in_large, "a", "left").join(in_large.select(F.col("a").alias("b"), F.col("m").alias("m_b")), "b", "left")
+    most = f"k + least(coalesce(m, 0), coalesce(m_b, 0)) + ceil({similarity}D * greatest(n_a, n_b) - 1e-9D) - 1"
+    small = small.where(f"{most} >= (n_a + n_b) * {similarity / (1 + similarity)}D - 1e-6D").select("a", "b")
+    star = store.put(small.unionByName(met.where("cell is not null and a <> b").select("a", "b")).distinct(), "pairs")
     wanted = star.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +232,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         trim()
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            sigs = batch.column(0).to_pylist()
+            new = [s != t for s, t in zip(sigs, [last, *sigs])]  # the merge join leaves copies side by side
+            last = sigs[-1] if sigs else last
+            batch = batch.filter(pa.array(new, pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_hashes(x, shingle)[1].tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["sig", "hashes"])
         trim()
 
     found = read.select("text").mapInArrow(keyed, "sig long, text binary").join(wanted.hint("merge"), "sig", "left_semi")
-    sets = store.put(found.mapInArrow(whole_sets, "sig long, hashes binary").dropDuplicates(["sig"]), "sets")
+    sets = store.put(found.mapInArrow(whole_sets, "sig long, hashes binary"), "sets")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
