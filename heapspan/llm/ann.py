@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a graph by NN-descent, queries by greedy search on it.
 
 Equal vectors form one class, which stands in the graph once; so a vector that many rows share costs no more than
-any other. Class vectors are quantised to bytes for building and searching; scores are computed at the end, in double precision, on the
-original vectors.
+any other. Class vectors are quantised to 16 bits a component for building and searching; scores are computed at the end, in double precision, on the
+original vectors, of all visited classes that the quantisation error leaves a chance to be among the k nearest.
 
 Graph: every class starts with its nearest in the cells of `trees` random hyperplane partitions, cells of about `leaf`
 classes (larger ones are split by a hash). A round of NN-descent joins each class's neighbours, forward and reverse,
@@ -38,7 +38,7 @@ STATE = "q long, qv binary, ids array<long>, sims array<float>, done array<long>
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """Unit vectors from their bytes."""
-    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.int8).reshape(-1, dim).astype(np.float32)
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.int16).reshape(-1, dim).astype(np.float32)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -78,6 +78,16 @@ def frontier(ids: np.ndarray, sims: np.ndarray, done: np.ndarray, beam: int) ->
     return top[~np.isin(top, done)]
 
 
+def leaders(ids: np.ndarray, sims: np.ndarray, k: int, least: int, slack: float) -> np.ndarray:
+    """All that can be among the k best if angles are wrong by half of slack each; the `least` best at least."""
+    order = np.lexsort((ids, -sims))
+    if len(order) <= least:
+        return ids[order]
+    angle = np.arccos(np.clip(sims[order].astype(np.float64), -1, 1))
+    # 0.001: what float32 loses near a cosine of 1
+    return ids[order[: max(least, int(np.searchsorted(angle, angle[k - 1] + slack + 0.001, side="right")))]]
+
+
 def classes(vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """vid (smallest id), vec, ids (the k + 1 smallest) and n of each distinct usable vector."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
@@ -101,12 +111,15 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pa.compute.list_flatten(batch.column(1)).to_numpy().astype(np.float64).reshape(-1, dim)
-            x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+            exact = x / np.abs(x).max(axis=1, keepdims=True) * 32767
+            x = np.rint(exact).astype(np.int16)
+            off = np.arcsin(np.minimum(1, np.linalg.norm(exact - x, axis=1) / np.linalg.norm(exact, axis=1)))  # the angle between them, or more
             side = (x.astype(np.float32) @ planes > 0).reshape(len(x), trees, bits)
             cells = (side * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), _ragged(cells.ravel(), np.full(len(x), trees), pa.int64())], names=["vid", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), _ragged(cells.ravel(), np.full(len(x), trees), pa.int64()), pa.array(off)], names=["vid", "v", "cells", "off"])
 
-    v = store.put(own.select("vid", "vec").mapInArrow(quantise, "vid long, v binary, cells array<long>"), "vectors")
+    v = store.put(own.select("vid", "vec").mapInArrow(quantise, "vid long, v binary, cells array<long>, off double"), "vectors")
+    off = v.agg(F.max("off")).first()[0] or 0.0
 
     def block(table: pa.Table) -> pa.Table:
         ids, x = table["vid"].to_numpy(), _matrix(table["v"], dim)
@@ -210,7 +223,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             a, b = np.searchsorted(q, me), np.searchsorted(q, me, side="right")
             ids, sims, done = np.array(ids, dtype=np.int64), np.array(sims, dtype=np.float32), np.array(done, dtype=np.int64)
             went = np.concatenate([done, frontier(ids, sims, done, beam)])
-            mine = np.frombuffer(qv, dtype=np.int8).astype(np.float32)
+            mine = np.frombuffer(qv, dtype=np.int16).astype(np.float32)
             for c, value in zip(out, (me, qv, np.concatenate([ids, node[a:b]]), np.concatenate([sims, x[a:b] @ (mine / np.linalg.norm(mine))]), went)):
                 out[c].append(value)
         kinds = {"q": pa.int64(), "qv": pa.binary(), "ids": pa.list_(pa.int64()), "sims": pa.list_(pa.float32()), "done": pa.list_(pa.int64())}
@@ -226,7 +239,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.array(i, dtype=np.int64)[np.lexsort((i, -np.array(s, dtype=np.float32)))[:rerank]] for i, s in zip(batch.column("ids").to_pylist(), batch.column("sims").to_pylist())]
+            found = [leaders(np.array(i, dtype=np.int64), np.array(s, dtype=np.float32), k, rerank, 4 * off) for i, s in zip(batch.column("ids").to_pylist(), batch.column("sims").to_pylist())]
             q = np.repeat(batch.column("q").to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["q", "node"])
 

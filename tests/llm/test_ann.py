@@ -57,3 +57,14 @@ def test_copies_and_cases(spark):
     few = nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>"), every=1).collect()
     assert len(few) == 6
     assert nearest(df.limit(0)).collect() == [] and nearest(spark.createDataFrame(odd, df.schema).where("vec_id = 100")).collect() == []
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.001])
+def test_near_copies(spark, noise):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.standard_normal((400, 32)), r.standard_normal(32) + noise * r.standard_normal((600, 32))]).astype(np.float32)
+    ids = list(range(1000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    want = {q: f for q, f in brute(ids, x, 5, 25).items() if q >= 400}
+    got = [g for g in nearest(df, every=25).collect() if g.query_id >= 400]
+    assert compare(got, want) >= 0.9
