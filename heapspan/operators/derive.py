@@ -17,10 +17,7 @@ def shallow_histogram(nodes: DataFrame) -> DataFrame:
 
 def topmost(tree: DataFrame) -> DataFrame:
     """Reachable nodes without a node of their own class above them in the dominator tree."""
-    own = tree.where(F.col("reachable") & (F.col("nid") != 0)).select("nid", "class_name", F.slice("path", 1, F.size("path") - 1).alias("above"))
-    above = own.select("nid", "class_name", F.explode("above").alias("up")).join(tree.select(F.col("nid").alias("up"), F.col("class_name").alias("up_class"), F.col("node_type").alias("up_type")), "up")
-    inner = above.where((F.col("class_name") == F.col("up_class")) & (F.col("up_type") != graph.SUPER)).select("nid").distinct()
-    return tree.where(F.col("reachable")).join(inner, "nid", "left_anti")
+    return tree.where("reachable and not inner")
 
 
 def retained_histogram(tree: DataFrame, total: int | None = None) -> DataFrame:

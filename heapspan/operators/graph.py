@@ -2,8 +2,13 @@
 
 nodes: nid long (dense; 0 is the super root), object_id decimal(20,0), node_type, class_name, shallow_size long.
 edges: src long, dst long, label int (smaller wins between two nodes).
-tree (from `dominators`): nodes plus idom, path (dominators from the super root down to the node), depth, reachable,
-retained_size. An unreachable node hangs under the super root with retained size 0.
+tree (from `dominators`): nodes plus idom, line, depth, reachable, retained_size and inner (a node of the same class dominates it).
+An unreachable node hangs under the super root with retained size 0.
+
+line: where a node hangs, as entries (head, pos, name) from the super root down. In a tree of up to 2 ** PLAIN levels it holds every
+dominator (pos 0, the hash of its class name). In a deeper one the tree is cut into heavy paths, each from a head down through the
+child with the largest subtree, and an entry is the lowest place of such a path that dominates the node: log2(nodes) entries at most,
+so a list of a million nodes needs no million ids a node.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from pyspark.sql import functions as F
 from ..store import Rounds
 
 SUPER, ROOT, CLASS, INSTANCE, ARRAY = "SuperRoot", "Root", "Class", "Instance", "Array"
+PLAIN = 6
+ENTRY = "struct<head:long,pos:int,name:long>"
 
 
 def first_definitions(records: DataFrame, key: str = "object_id", position: str = "position", root: str = "is_root") -> DataFrame:
@@ -35,67 +42,195 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("nid", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("nid", "src"), "src", "left_semi").select("src", "dst", "label")
 
 
-def reachable(edges: DataFrame, start: int = 0, most: int = 1_000_000) -> DataFrame:
-    """nid, level and path (ids from the start) of every node reached, by breadth-first search; the path goes through the smallest
-    parent of the level before."""
-    spark = edges.sparkSession
-    rounds, out = Rounds(spark), edges.select("src", "dst").distinct()
-    step = rounds.cut(out)
-    seen = level = spark.createDataFrame([(start, 0, [start])], "nid long, level int, path array<long>")
-    for n in range(1, most):
-        found = step.join(level.select(F.col("nid").alias("src"), "path"), "src").groupBy("dst").agg(F.min_by("path", "src").alias("path"))
-        fresh = found.join(seen.select(F.col("nid").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("nid"), F.lit(n).alias("level"), F.concat("path", F.array("dst")).alias("path"))
-        level = rounds.cut(fresh)
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
-    return rounds.cut(seen)
+def _inner(edges: DataFrame) -> DataFrame:
+    return edges.where("src <> dst and dst <> 0").select("src", "dst").distinct()
+
 
+def _settle(rounds: Rounds, pointers: DataFrame, most: int) -> DataFrame:
+    """(nid, p) with p followed to the first node that has no pointer itself, by doubling; nodes that never get there, as they hang on a
+    cycle, go. most: how many pointers there are."""
+    now, reach = pointers.select("nid", "p", (F.col("p") == 0).alias("done")), 1
+    while True:
+        step = now.select(F.col("nid").alias("p"), F.col("p").alias("q"), F.col("done").alias("there"))
+        moved = now.where("not done").join(step, "p", "left").select("nid", F.coalesce("q", "p").alias("p"), F.coalesce("there", F.lit(True)).alias("done"))
+        now = rounds.cut(moved.unionByName(now.where("done")))
+        reach *= 2
+        if reach > most or now.where("not done").isEmpty():
+            return now.where("done").select("nid", "p")
 
-def dominator_paths(edges: DataFrame, most: int = 200) -> DataFrame:
-    """nid and path, the node's dominators from the super root to itself, of every reachable node.
 
-    Every path starts as a breadth-first one and is then cut down to what the paths of all predecessors share, until none
-    changes. An element is shared if as many predecessors hold it as there are: a count, so a node with any number of
-    predecessors is no hot group. Nodes with one predecessor just extend its path.
+def spanning_tree(edges: DataFrame) -> DataFrame:
+    """(nid, parent): a tree of edges that reaches every node that 0 reaches; also some rows that don't hang below 0. edges: src, dst,
+    distinct, no loops, none to 0.
+
+    A round merges every node that has one predecessor, or one that is known to be reached, into that predecessor's group; chains of
+    merges are followed by pointer doubling, so lists and trees of any depth take one round of log2(depth) steps. What is left are
+    edges between groups. It ends when the group of 0 has no way out.
     """
     rounds = Rounds(edges.sparkSession)
-    now = reachable(edges).select("nid", "path")
-    inner = edges.select("src", "dst").where("src <> dst and dst <> 0").distinct().join(now.select(F.col("nid").alias("src")), "src", "left_semi")
-    count = inner.groupBy("dst").agg(F.count("*").alias("preds"), F.min("src").alias("src"))
-    several = rounds.cut(inner.join(count.where("preds > 1").select("dst", "preds"), "dst"))
-    single = rounds.cut(count.where("preds = 1").select("dst", "src"))
-    digest = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("nid", F.array_join(F.col("path").cast("array<string>"), ",")))).first()
-    before = digest(now)
-    for _ in range(most):
-        held = now.select(F.col("nid").alias("src"), "path")
-        shared = several.join(held, "src").select("dst", "preds", F.posexplode("path").alias("pos", "x")).groupBy("dst", "x").agg(F.count("*").alias("n"), F.max("pos").alias("pos"), F.first("preds").alias("preds")).where("n = preds")
-        merged = shared.groupBy("dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s.x).alias("path"))
-        chained = single.join(held, "src").select("dst", "path")
-        root = now.where("nid = 0")
-        now = rounds.cut(merged.unionByName(chained).select(F.col("dst").alias("nid"), F.concat("path", F.array("dst")).alias("path")).unionByName(root))
-        after = digest(now)
-        if after == before:
-            return now
-        before = after
-    raise RuntimeError(f"dominators did not settle in {most} rounds")
+    now, parts = edges.withColumn("via", F.col("src")), []
+    while True:
+        # 0 is the smallest id: a node that the group of 0 points to has it as its smallest predecessor
+        met = rounds.cut(now.groupBy("dst").agg(F.count("*").alias("n"), F.min(F.struct("src", "via")).alias("m")).select("dst", "n", "m.src", "m.via"))
+        merged = met.where("n = 1 or src = 0")
+        parts.append(merged.select(F.col("dst").alias("nid"), F.col("via").alias("parent")))
+        left = rounds.cut(now.join(met.where("n > 1 and src <> 0").select("dst"), "dst", "left_semi"))
+        if left.isEmpty() or met.where("src = 0").isEmpty():
+            break
+        groups = _settle(rounds, merged.select(F.col("dst").alias("nid"), F.col("src").alias("p")), merged.count())
+        named = left.join(groups.select(F.col("nid").alias("src"), "p"), "src", "left").select(F.coalesce("p", "src").alias("src"), "dst", "via")
+        now = rounds.cut(named.where("src <> dst").groupBy("src", "dst").agg(F.min("via").alias("via")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounds.last(out)
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """nid of every node that 0 reaches, and its parent in a spanning tree."""
+    tree = spanning_tree(_inner(edges))
+    return _settled(tree.select("nid", "parent"))
+
+
+def _settled(tree: DataFrame) -> DataFrame:
+    rounds = Rounds(tree.sparkSession)
+    ends = _settle(rounds, tree.select("nid", F.col("parent").alias("p")), tree.count()).where("p = 0").select("nid")
+    top = tree.sparkSession.createDataFrame([(0, None)], "nid long, parent long")
+    return rounds.last(tree.join(ends, "nid").unionByName(top))
+
+
+def fold(tree: DataFrame, sums: list[str], sets: list[str] = ()) -> DataFrame:
+    """tree (nid, parent and more; the parent of 0 is null) with each of `sums` added up over the node's subtree, and each of `sets`
+    (arrays) united over the node's ancestors, without its own. By doubling: log2(depth) rounds; adding up is combined before the
+    shuffle, and nodes whose pointer has passed the super root take no further part, so neither it nor a hub is a hot group."""
+    rounds = Rounds(tree.sparkSession)
+    above = tree.where("nid <> 0").select(F.col("nid").alias("parent"), *(F.col(c).alias(f"up_{c}") for c in sets))
+    now = tree.join(above, "parent", "left") if sets else tree
+    now = rounds.cut(now.withColumn("ptr", F.col("parent")).select(*tree.columns, "ptr", *(F.coalesce(f"up_{c}", F.expr("array()").cast(tree.schema[c].dataType)).alias(f"up_{c}") for c in sets)))
+    while True:
+        active = now.where("ptr is not null")
+        if active.isEmpty():
+            break
+        added = active.groupBy(F.col("ptr").alias("nid")).agg(*(F.sum(c).alias(f"more_{c}") for c in sums))
+        step = now.where("nid <> 0").select(F.col("nid").alias("ptr"), F.col("ptr").alias("next"), *(F.col(f"up_{c}").alias(f"far_{c}") for c in sets))
+        rest = [c for c in tree.columns if c not in sums]
+        own = [F.array_union(f"up_{c}", f"far_{c}").alias(f"up_{c}") for c in sets]
+        moved = active.where("ptr <> 0").join(step, "ptr").select(*rest, *sums, F.col("next").alias("ptr"), *own)
+        stay = now.where("ptr is null or ptr = 0").withColumn("ptr", F.lit(None).cast("long")).select(*moved.columns)
+        whole = moved.unionByName(stay).join(added, "nid", "left")
+        now = rounds.cut(whole.select(*rest, *((F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in sums), "ptr", *(f"up_{c}" for c in sets)))
+    return rounds.last(now.drop("ptr"))
+
+
+def _heavy_lines(tree: DataFrame) -> DataFrame:
+    """nid, parent and line in a deep tree (nid, parent; 0 and all below it), by heavy paths."""
+    rounds = Rounds(tree.sparkSession)
+    sized = fold(tree.withColumn("n", F.lit(1).cast("long")), ["n"])
+    heavy = sized.where("parent is not null").groupBy("parent").agg(F.max_by("nid", F.struct("n", "nid")).alias("nid")).select("nid", F.lit(True).alias("heavy"))
+    # rank in the heavy path: pointers up to its head, doubled
+    at = sized.select("nid", "parent").join(heavy, "nid", "left")
+    now = rounds.cut(at.select("nid", "parent", F.when(F.col("heavy"), F.col("parent")).otherwise(F.col("nid")).alias("head"), F.when(F.col("heavy"), 1).otherwise(0).alias("pos"), F.coalesce(~F.col("heavy"), F.lit(True)).alias("done")))
+    while not now.where("not done").isEmpty():
+        step = now.select(F.col("nid").alias("head"), F.col("head").alias("top"), F.col("pos").alias("more"), F.col("done").alias("there"))
+        moved = now.where("not done").join(step, "head").select("nid", "parent", F.col("top").alias("head"), (F.col("pos") + F.col("more")).alias("pos"), F.col("there").alias("done"))
+        now = rounds.cut(moved.unionByName(now.where("done")))
+    none = F.lit(None).cast("long").alias("name")
+    # heads: the places above them, doubled along the tree of heads
+    place = now.select(F.col("nid").alias("parent"), F.col("head").alias("top"), F.struct(F.col("head").alias("head"), F.col("pos").alias("pos"), none).alias("place"))
+    heads = rounds.cut(now.where("pos = 0").select("nid", "parent").join(place, "parent", "left").select("nid", "top", F.when(F.col("place").isNull(), F.expr("array()").cast(f"array<{ENTRY}>")).otherwise(F.array("place")).alias("above")))
+    while not heads.where("top is not null").isEmpty():
+        step = heads.select(F.col("nid").alias("top"), F.col("top").alias("next"), F.col("above").alias("upper"))
+        moved = heads.where("top is not null").join(step, "top").select("nid", F.col("next").alias("top"), F.concat("upper", "above").alias("above"))
+        heads = rounds.cut(moved.unionByName(heads.where("top is null")))
+    own = F.array(F.struct(F.col("head"), F.col("pos"), none))
+    return rounds.last(now.join(heads.select(F.col("nid").alias("head"), "above"), "head").select("nid", "parent", F.concat("above", own).alias("line")))
+
+
+def lines(tree: DataFrame) -> tuple[DataFrame, bool]:
+    """nid, parent and line of every node below 0 and of 0, and whether the lines are plain. tree: nid, parent, name."""
+    rounds = Rounds(tree.sparkSession)
+    top = tree.sparkSession.createDataFrame([(0, None, None, [(0, 0, None)])], f"nid long, parent long, ptr long, line array<{ENTRY}>")
+    zero = F.struct(F.lit(0).cast("long").alias("head"), F.lit(0).alias("pos"), F.lit(None).cast("long").alias("name"))
+    own = F.struct(F.col("nid").alias("head"), F.lit(0).alias("pos"), "name")
+    now = tree.where("nid <> 0").select("nid", "parent", F.when(F.col("parent") != 0, F.col("parent")).alias("ptr"), F.when(F.col("parent") == 0, F.array(zero, own)).otherwise(F.array(own)).alias("line"))
+    now = rounds.cut(now.unionByName(top))
+    for _ in range(PLAIN):
+        if now.where("ptr is not null").isEmpty():
+            return now.drop("ptr"), True
+        step = now.select(F.col("nid").alias("ptr"), F.col("ptr").alias("next"), F.col("line").alias("upper"))
+        moved = now.where("ptr is not null").join(step, "ptr").select("nid", "parent", F.col("next").alias("ptr"), F.concat("upper", "line").alias("line"))
+        now = rounds.cut(moved.unionByName(now.where("ptr is null")))
+    done = now.where("ptr is null")
+    below = _settled(tree.where("nid <> 0").select("nid", "parent"))
+    if done.count() == below.count():  # what is left hangs on cycles
+        return done.drop("ptr"), True
+    return _heavy_lines(below), False
+
+
+#: what two lines share, the smaller one first: equal entries, and the upper place if they part on one heavy path
+_SHARED = """transform(array(coalesce(array_min(filter(sequence(0, least(size(low), size(high)) - 1), i -> low[i].head <> high[i].head or low[i].pos <> high[i].pos)), least(size(low), size(high)))),
+ j -> slice(low, 1, j + IF(j < least(size(low), size(high)) and low[j].head = high[j].head, 1, 0)))[0]"""
+
+
+def dominator_lines(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
+    """nid, parent (the immediate dominator) and line of every reachable node, and whether the lines are plain.
+
+    From a spanning tree on, each node of several predecessors moves up to where their lines part, all at once, until none moves; the
+    fixed point is the dominator tree. The lines' smallest and largest part where all of them do, so a node of many predecessors is a
+    min and a max, combined before the shuffle. Without a move of a node that has successors no further round is needed.
+    """
+    rounds = Rounds(nodes.sparkSession)
+    inner = rounds.cut(_inner(edges))
+    several = rounds.cut(inner.join(inner.groupBy("dst").count().where("count > 1").select("dst"), "dst", "left_semi"))
+    names = nodes.select("nid", F.when(~F.col("node_type").isin(SUPER, ROOT), F.xxhash64("class_name")).alias("name"))
+    tree = rounds.cut(spanning_tree(inner).join(names, "nid"))
+    while True:
+        now, plain = lines(tree)
+        met = several.join(now.select(F.col("nid").alias("src"), "line"), "src").groupBy(F.col("dst").alias("nid")).agg(F.min("line").alias("low"), F.max("line").alias("high"))
+        met = met.select("nid", F.expr(_SHARED).alias("shared"))
+        if plain:
+            met = met.withColumn("idom", F.element_at("shared", -1)["head"])
+        else:
+            ends = now.select(F.element_at("line", -1)["head"].alias("head"), F.element_at("line", -1)["pos"].alias("pos"), F.col("nid").alias("idom"))
+            met = met.withColumns({"head": F.element_at("shared", -1)["head"], "pos": F.element_at("shared", -1)["pos"]}).join(ends, ["head", "pos"]).drop("head", "pos")
+        moved = rounds.cut(met.join(now.select("nid", "parent"), "nid").where("idom <> parent").select("nid", "idom", "shared"))
+        if moved.isEmpty():
+            return now, plain
+        tree = rounds.cut(tree.join(moved.select("nid", "idom"), "nid", "left").select("nid", F.coalesce("idom", "parent").alias("parent"), "name"))
+        if moved.join(inner.select(F.col("src").alias("nid")), "nid", "left_semi").isEmpty():
+            if not plain:
+                return lines(tree)
+            own = F.array(F.element_at("line", -1))
+            return now.join(moved, "nid", "left").select("nid", F.coalesce("idom", "parent").alias("parent"), F.when(F.col("idom").isNull(), F.col("line")).otherwise(F.concat("shared", own)).alias("line")), True
 
 
 def dominators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The tree: idom, path, depth, reachable and retained_size of every node."""
+    """The tree: idom, line, depth, reachable, retained_size and inner of every node."""
     rounds = Rounds(nodes.sparkSession)
-    paths = dominator_paths(edges)
-    held = nodes.join(paths, "nid", "left")
-    sums = paths.join(nodes.select("nid", "shallow_size"), "nid").select(F.explode("path").alias("nid"), "shallow_size").groupBy("nid").agg(F.sum("shallow_size").alias("retained_size"))
-    on = F.col("path").isNotNull()
-    out = held.join(sums, "nid", "left").select(
+    found, plain = dominator_lines(nodes, edges)
+    held = nodes.join(found, "nid", "left")
+    if plain:
+        held = rounds.cut(held)
+        sums = held.where("line is not null").select(F.explode("line.head").alias("nid"), "shallow_size").groupBy("nid").agg(F.sum("shallow_size").alias("retained_size"))
+        name = F.element_at("line", -1)["name"]
+        inner = F.exists(F.slice("line", 1, F.size("line") - 1), lambda e: e["name"] == name)
+        held = held.join(sums, "nid", "left").withColumn("inner", inner)
+    else:
+        shown = ~F.col("node_type").isin(SUPER, ROOT)
+        name = F.when(shown, F.array(F.xxhash64("class_name"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        summed = fold(held.where("line is not null").select("nid", "parent", F.col("shallow_size").alias("retained_size"), name.alias("name")), ["retained_size"], ["name"])
+        held = held.join(summed.select("nid", "retained_size", F.arrays_overlap("name", "up_name").alias("inner")), "nid", "left")
+    on = F.col("line").isNotNull()
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("head"), F.lit(0).alias("pos"), F.lit(None).cast("long").alias("name")), F.struct(F.col("nid").alias("head"), F.lit(0).alias("pos"), F.lit(None).cast("long").alias("name")))
+    out = held.select(
         *nodes.columns,
-        F.when(F.col("nid") == 0, F.lit(None).cast("long")).when(on, F.element_at("path", -2)).otherwise(F.lit(0).cast("long")).alias("idom"),
-        F.when(on, F.col("path")).otherwise(F.array(F.lit(0).cast("long"), F.col("nid"))).alias("path"),
+        F.when(F.col("nid") == 0, F.lit(None).cast("long")).when(on, F.col("parent")).otherwise(F.lit(0).cast("long")).alias("idom"),
+        F.when(on, F.col("line")).otherwise(alone).alias("line"),
         on.alias("reachable"),
         F.coalesce("retained_size", F.lit(0).cast("long")).alias("retained_size"),
+        F.coalesce("inner", F.lit(False)).alias("inner"),
     )
-    return rounds.cut(out.withColumn("depth", F.size("path") - 1))
+    return rounds.last(out.withColumn("depth", F.expr("aggregate(line, -1, (a, e) -> a + e.pos + 1)")))
 
 
 def heap_totals(tree: DataFrame) -> DataFrame:
@@ -163,39 +298,63 @@ def root_path(tree: DataFrame, edges: DataFrame, nid: int, depth: int = 100) ->
 
 
 def subtree(tree: DataFrame, nid: int, depth: int = 6, width: int = 20, most: int = 10_000) -> DataFrame:
-    """The dominator tree below nid: path, depth, report columns, and a row "[N others]" with the sum of each node's children past `width`."""
-    inner = tree.where((F.col("node_type") != CLASS) & (F.col("retained_size") > 0) & (F.col("nid") != nid))
-    below = inner.where(F.array_contains("path", nid))
-    ranked = below.withColumn("rank", F.row_number().over(Window.partitionBy("idom").orderBy(*by_retained())))
+    """The dominator tree below nid: path, depth, report columns, and a row "[N others]" with the sum of each node's children past `width`.
+
+    Children are ranked in salted groups first, so a hub's are never in one task; its rest is its total less the shown ones.
+    """
+    rounds = Rounds(tree.sparkSession)
+    inner = tree.where((F.col("node_type") != CLASS) & (F.col("retained_size") > 0) & (F.col("nid") != nid)).select("nid", "idom", *REPORT)
     level = tree.where(F.col("nid") == nid).select("nid", F.array("nid").alias("trail"), *REPORT)
-    out = level
+    out, sizes = level, ("shallow_size", "retained_size")
     for _ in range(depth):
         up = level.select(F.col("nid").alias("idom"), F.col("trail").alias("up"))
-        got = ranked.join(up, "idom")
-        level = got.where(F.col("rank") <= width).select("nid", F.concat("up", F.array("nid")).alias("trail"), *REPORT)
-        tail = got.where(F.col("rank") > width).groupBy("idom").agg(F.first("up").alias("up"), F.count("*").alias("n"), F.sum("shallow_size").alias("shallow_size"), F.sum("retained_size").alias("retained_size"))
-        tail = tail.select(F.lit(-1).cast("long").alias("nid"), F.concat("up", F.array(F.lit(-1).cast("long"))).alias("trail"), F.lit(0).cast("decimal(20,0)").alias("object_id"), F.lit("Instance").alias("node_type"), F.concat(F.lit("["), "n", F.lit(" others]")).alias("class_name"), "shallow_size", "retained_size")
+        got = inner.join(up, "idom")
+        dealt = Window.partitionBy("idom", F.pmod(F.xxhash64("nid"), F.lit(256))).orderBy(*by_retained())
+        some = got.withColumn("rank", F.row_number().over(dealt)).where(F.col("rank") <= width)
+        best = rounds.cut(some.withColumn("rank", F.row_number().over(Window.partitionBy("idom").orderBy(*by_retained()))).where(F.col("rank") <= width))
+        level = best.select("nid", F.concat("up", F.array("nid")).alias("trail"), *REPORT)
+        whole = got.groupBy("idom").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sizes))
+        top = best.groupBy("idom").agg(F.first("up").alias("up"), F.count("*").alias("m"), *(F.sum(c).alias(f"top_{c}") for c in sizes))
+        tail = whole.join(top, "idom").where("n > m").select("up", (F.col("n") - F.col("m")).alias("n"), *((F.col(c) - F.col(f"top_{c}")).alias(c) for c in sizes))
+        tail = tail.select(F.lit(-1).cast("long").alias("nid"), F.concat("up", F.array(F.lit(-1).cast("long"))).alias("trail"), F.lit(0).cast("decimal(20,0)").alias("object_id"), F.lit("Instance").alias("node_type"), F.concat(F.lit("["), "n", F.lit(" others]")).alias("class_name"), *sizes)
         out = out.unionByName(level).unionByName(tail)
     return out.withColumn("depth", F.size("trail") - 1).orderBy("depth", F.col("retained_size").desc(), "object_id").limit(most)
 
 
 def covered(tree: DataFrame, loaders: list[int]) -> Column:
-    """Whether a node is one of the loaders or below one in the dominator tree."""
-    return F.arrays_overlap("path", F.array(*[F.lit(x).cast("long") for x in loaders])) if loaders else F.lit(False)
-
-
-def accumulation_point(tree: DataFrame, nid: int, share: float = 0.7, steps: int = 1000, last: bool = False) -> int:
-    """From nid down to the child that retains most, while it has at least (for last: more than) `share` of its parent."""
+    """Whether a node is one of the loaders (a handful) or below one in the dominator tree."""
+    places = [r.e for r in tree.where(F.col("nid").isin(loaders) & F.col("reachable")).select(F.element_at("line", -1).alias("e")).collect()] if loaders else []
+    held = F.lit(False)
+    for place in places:
+        held = held | F.exists("line", lambda e, p=place: (e["head"] == p.head) & (e["pos"] >= p.pos))
+    return held
+
+
+def accumulation_points(tree: DataFrame, nids: list[int], share: float = 0.7, steps: int = 1000, last: bool = False) -> dict[int, int]:
+    """From each of a handful of nodes down to the child that retains most, while it has at least (for last: more than) `share` of its
+    parent, at most `steps` times. Pointers to that child are doubled, so a chain takes log2(steps) rounds."""
+    rounds = Rounds(tree.sparkSession)
     pick = F.max_by("nid", F.struct("retained_size", "nid" if last else -F.col("nid")))
     heavy = tree.where("idom is not null and retained_size > 0").groupBy("idom").agg(pick.alias("child"), F.max("retained_size").alias("most"))
     line = heavy.join(tree.select(F.col("nid").alias("idom"), F.col("retained_size").alias("own")), "idom").where(F.col("most") > F.col("own") * share if last else F.col("most") >= F.col("own") * share).select("idom", "child")
-    held = Rounds(tree.sparkSession).cut(line)
-    for _ in range(steps):
-        row = held.where(F.col("idom") == nid).first()
-        if row is None:
+    jumps = [rounds.cut(line)]
+    while 2 ** len(jumps) <= steps:
+        now = jumps[-1]
+        further = rounds.cut(now.join(now.select(F.col("idom").alias("child"), F.col("child").alias("next")), "child").select("idom", F.col("next").alias("child")))
+        if further.isEmpty():
             break
-        nid = row.child
-    return nid
+        jumps.append(further)
+    at, left = {n: n for n in nids}, {n: steps for n in nids}
+    for k, jump in reversed(list(enumerate(jumps))):
+        told = {r.idom: r.child for r in jump.where(F.col("idom").isin(list(at.values()))).collect()} if at else {}
+        for n in at:
+            if 2**k <= left[n] and at[n] in told:
+                at[n], left[n] = told[at[n]], left[n] - 2**k
+    return at
+
+
+def accumulation_point(tree: DataFrame, nid: int, share: float = 0.7, steps: int = 1000, last: bool = False) -> int:
+    return accumulation_points(tree, [nid], share, steps, last)[nid]
 
 
 def labelled_children(tree: DataFrame, edges: DataFrame, nid: int) -> DataFrame:
@@ -216,5 +375,5 @@ def labelled_referrers(tree: DataFrame, edges: DataFrame, nid: int) -> DataFrame
 def top_layers(tree: DataFrame, depth: int, most: int) -> DataFrame:
     """Objects of the first `depth` levels of the dominator tree, level by level, at most `most`; class and empty nodes aren't shown
     but looked through."""
-    shown = tree.where((F.size("path") - 1).between(1, depth) & F.col("node_type").isin(INSTANCE, ARRAY) & (F.col("retained_size") > 0))
+    shown = tree.where(F.col("depth").between(1, depth) & F.col("node_type").isin(INSTANCE, ARRAY) & (F.col("retained_size") > 0))
     return shown.orderBy("depth", *by_retained()).limit(most).select("depth", *REPORT)

@@ -155,9 +155,9 @@ def graph_edges_dedup(spark, sf_dir):
     return graph.unique_edges(tables.edges(spark, sf_dir)).where(F.col("label") == tables.ELEMENT)
 
 
-@query("graph_reachable", over("select nid, case when nid = 0 then 0 else nid // 1000000000000 end::int as level from tree where reachable"))
+@query("graph_reachable", over("select nid from tree where reachable"))
 def graph_reachable(spark, sf_dir):
-    return graph.reachable(heap(spark, sf_dir).edges).select("nid", "level")
+    return graph.reachable(heap(spark, sf_dir).edges).select("nid")
 
 
 @query("graph_idom", over("select nid, idom from tree"))

@@ -12,11 +12,13 @@ _LOCAL: list[str] = []
 
 class Rounds:
     """Cuts lineage by tables in the folder that driver and executors share (spark.checkpoint.dir), so that a lost executor costs a
-    reread; a temporary folder only where that is unset."""
+    reread. A temporary folder stands in for it where it is unset, in local mode only: on a cluster that is an error."""
 
     def __init__(self, spark: SparkSession) -> None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             if not _LOCAL:
                 _LOCAL.append("file://" + tempfile.mkdtemp(prefix="heapspan-rounds-"))
             path = _LOCAL[0]
@@ -27,3 +29,12 @@ class Rounds:
         path = f"{self.base}/{self.n}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """df as a table, the only one left of these rounds."""
+        out = self.cut(df)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for n in range(1, self.n):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}")
+            path.getFileSystem(conf).delete(path, True)
+        return out
