@@ -51,10 +51,10 @@ def loader_suspects(tree: DataFrame, loaders: DataFrame, reachable: int, n: int
     return found.orderBy(*graph.by_retained()).limit(n).select("nid", "class_name", "object_id", "retained_size", percentage("retained_size", reachable).alias("retained_percentage"), F.format_string("Class loader %s retains %.1f%% of the heap (%.2f MB)", "class_name", percentage("retained_size", reachable), F.col("retained_size") / F.lit(float(MB))).alias("description"))
 
 
-def class_suspects(histogram: DataFrame, reachable: int) -> DataFrame:
+def class_suspects(histogram: DataFrame, reachable: int, percent: float = 10) -> DataFrame:
     """Classes of several objects that together retain over 10 %."""
     share = percentage("retained_size", reachable)
-    return histogram.where((share > 10) & (F.col("instance_count") > 1)).select("class_name", F.lit(0).cast("decimal(20,0)").alias("object_id"), "retained_size", F.least(share, F.lit(99.9)).alias("retained_percentage"), F.format_string("%d instances of %s retain %.1f%% of the heap (%.2f MB)", "instance_count", "class_name", F.least(share, F.lit(99.9)), F.col("retained_size") / F.lit(float(MB))).alias("description"))
+    return histogram.where((share > percent) & (F.col("instance_count") > 1)).select("class_name", F.lit(0).cast("decimal(20,0)").alias("object_id"), "retained_size", F.least(share, F.lit(99.9)).alias("retained_percentage"), F.format_string("%d instances of %s retain %.1f%% of the heap (%.2f MB)", "instance_count", "class_name", F.least(share, F.lit(99.9)), F.col("retained_size") / F.lit(float(MB))).alias("description"))
 
 
 def object_candidates(tree: DataFrame, reachable: int, n: int = 10) -> DataFrame:

@@ -19,7 +19,7 @@ def histogram_delta(baseline: DataFrame, current: DataFrame) -> DataFrame:
     delta = {n: (F.coalesce(F.col(n), F.lit(0)) - F.coalesce(F.col(f"b_{n}"), F.lit(0))).alias(f"{n}_delta") for n in ("instance_count", "shallow_size", "retained_size")}
     kept = F.coalesce("retained_size", F.lit(0)) - F.coalesce("b_retained_size", F.lit(0))
     kind = F.when(F.col("b").isNull(), "new").when(F.col("c").isNull(), "removed").when(kept > 0, "grew").when(kept < 0, "shrank").otherwise("unchanged")
-    return met.select("class_name", *delta.values(), F.coalesce("b_retained_size", F.lit(0)).cast("long").alias("baseline_retained_size"), F.coalesce("retained_size", F.lit(0)).cast("long").alias("current_retained_size"), kind.alias("change_type")).orderBy(F.abs("retained_size_delta").desc(), "class_name")
+    return met.select("class_name", *delta.values(), F.coalesce("b_retained_size", F.lit(0)).cast("long").alias("baseline_retained_size"), F.coalesce("retained_size", F.lit(0)).cast("long").alias("current_retained_size"), F.coalesce("instance_count", F.lit(0)).cast("long").alias("current_instance_count"), kind.alias("change_type")).orderBy(F.abs("retained_size_delta").desc(), "class_name")
 
 
 def largest_changes(delta: DataFrame, n: int = 10) -> DataFrame:
@@ -27,12 +27,12 @@ def largest_changes(delta: DataFrame, n: int = 10) -> DataFrame:
 
 
 def suspect_changes(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """persisted, new or resolved by class name. Both need `position`; of equal names the baseline's last counts, every current
-    row is shown."""
-    last = baseline.groupBy("class_name").agg(*(F.max_by(c, "position").alias(f"b_{c}") for c in ("retained_size", "retained_percentage", "description")), F.lit(1).alias("b"))
+    """persisted, new or resolved by class name, and the place in the list that the row is from. Both need `position`; of equal names the
+    baseline's last counts, every current row is shown."""
+    last = baseline.groupBy("class_name").agg(*(F.max_by(c, "position").alias(f"b_{c}") for c in ("retained_size", "retained_percentage", "description")), F.max("position").alias("b_position"), F.lit(1).alias("b"))
     met = current.join(last, "class_name", "left")
-    live = met.select("class_name", F.when(F.col("b").isNull(), "new").otherwise("persisted").alias("status"), "description", "retained_size", (F.col("retained_size") - F.coalesce("b_retained_size", F.lit(0))).alias("retained_size_delta"))
-    gone = last.join(current.select("class_name").distinct(), "class_name", "left_anti").select("class_name", F.lit("resolved").alias("status"), F.concat(F.lit("Previously: "), "b_description").alias("description"), F.lit(0).cast("long").alias("retained_size"), (-F.col("b_retained_size")).alias("retained_size_delta"))
+    live = met.select("class_name", F.when(F.col("b").isNull(), "new").otherwise("persisted").alias("status"), "description", "retained_size", (F.col("retained_size") - F.coalesce("b_retained_size", F.lit(0))).alias("retained_size_delta"), "position")
+    gone = last.join(current.select("class_name").distinct(), "class_name", "left_anti").select("class_name", F.lit("resolved").alias("status"), F.concat(F.lit("Previously: "), "b_description").alias("description"), F.lit(0).cast("long").alias("retained_size"), (-F.col("b_retained_size")).alias("retained_size_delta"), F.col("b_position").alias("position"))
     return live.unionByName(gone)
 
 
@@ -81,40 +81,72 @@ def class_lines(histograms: DataFrame, n: int = 10) -> DataFrame:
 
 
 def alerts(delta: DataFrame, suspects: DataFrame, baseline_total: int, current_total: int, percent: float = 25.0) -> DataFrame:
-    """rule, severity, subject: the heap grew by over `percent`, suspects that are new or resolved, classes that more than doubled
-    and retain over a MiB."""
-    spark = delta.sparkSession
-    grew = (current_total - baseline_total) * 100.0 / baseline_total if baseline_total else 0.0
-    heap = spark.createDataFrame([("heap_growth", "warning", f"heap grew by {grew:.1f}%")] if grew > percent else [], "rule string, severity string, subject string")
-    found = suspects.where("status <> 'persisted'").select(F.concat("status", F.lit("_suspect")).alias("rule"), F.when(F.col("status") == "new", "warning").otherwise("info").alias("severity"), F.col("class_name").alias("subject"))
-    double = delta.where((F.col("baseline_retained_size") > 0) & (F.col("current_retained_size") > 2 * F.col("baseline_retained_size")) & (F.col("current_retained_size") > MIB)).select(F.lit("class_doubled").alias("rule"), F.lit("warning").alias("severity"), F.col("class_name").alias("subject"))
-    return heap.unionByName(found).unionByName(double)
-
-
-# Parts of class names, and the advice they call for.
-ADVICE = (("cache", "Bound the cache and evict what is old."), ("session", "Expire idle sessions."), ("listener", "Remove listeners that are done."), ("threadlocal", "Clear thread locals after use."), ("pool", "Check the pool's size."), ("byte[]", "Look for buffers that are kept."), ("string", "Share equal strings."), ("map", "Look for maps that only grow."), ("list", "Look for lists that only grow."))
-
-
-def advice(name: Column) -> Column:
-    out = F.lit("See what keeps these objects from the root.")
-    for word, text in reversed(ADVICE):
-        out = F.when(F.lower(name).contains(word), text).otherwise(out)
+    """id, severity and message of each rule that fires: the heap grew by over `percent`; suspects are new; a class has at least as many
+    new instances as it had before, none included, and retains over a MiB (the one whose retained size changed most); suspects are
+    resolved. Of suspects the first three are named."""
+    spark, grown = delta.sparkSession, current_total - baseline_total
+    heap = spark.createDataFrame([("heap-growth", "warning", f"Heap grew by {grown * 100.0 / baseline_total:.0f}% (+{grown / MIB:.1f} MB)")] if baseline_total and grown * 100.0 / baseline_total > percent else [], "id string, severity string, message string")
+
+    def listed(status: str, id_: str, severity: str, text: str) -> DataFrame:
+        found = suspects.where(F.col("status") == status).select("class_name", F.struct("position", "class_name").alias("at"))
+        first = found.orderBy("at").limit(3).agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list("at")), lambda x: x["class_name"])).alias("names"))
+        many = found.agg(F.count("*").alias("n")).where("n > 0").crossJoin(F.broadcast(first))  # a row each
+        return many.select(F.lit(id_).alias("id"), F.lit(severity).alias("severity"), F.concat(F.col("n").cast("string"), F.lit(text), "names", F.when(F.col("n") > 3, F.format_string(" and %d more", F.col("n") - 3)).otherwise("")).alias("message"))
+
+    burst = delta.where((F.col("instance_count_delta") > 0) & (F.col("current_instance_count") > 0) & (F.col("instance_count_delta") >= F.col("current_instance_count") - F.col("instance_count_delta")) & (F.col("current_retained_size") > MIB))
+    most = burst.orderBy(F.abs("retained_size_delta").desc(), "class_name").limit(1).select(F.lit("class-explosion").alias("id"), F.lit("warning").alias("severity"), F.format_string("%s has %d more instances, twice as many or more, and retains %.1f MB", "class_name", "instance_count_delta", F.col("current_retained_size") / F.lit(float(MIB))).alias("message"))
+    return heap.unionByName(listed("new", "new-leak-suspects", "warning", " new leak suspect(s): ")).unionByName(most).unionByName(listed("resolved", "resolved-leaks", "info", " leak suspect(s) resolved: "))
+
+
+# Parts of class names in the order they are looked for, and the kind of advice they call for; the first that fits counts.
+ADVICE = (("cach", "cache"), ("pool", "connections"), ("connection", "connections"), ("datasource", "connections"), ("session", "session"), ("queue", "backpressure"), ("buffer", "backpressure"), ("blocking", "backpressure"), ("thread", "threads"))
+# Parts of class names that make a large class a finding.
+PATTERNS = ("cache", "pool", "connection", "session", "queue", "buffer")
+SAYS = {
+    "cache": "Bound it, or let old entries expire.",
+    "cache, critical": "It holds too much: see what evicts from it, and bound it.",
+    "connections": "See that connections are closed, and how large the pool may grow.",
+    "session": "See when sessions expire and what they hold.",
+    "backpressure": "Its consumers may be too slow, or its capacity unbounded.",
+    "threads": "See thread-locals and how many threads are kept.",
+    "arrays": "See that streams are closed and buffers are no larger than needed.",
+    "arrays, critical": "Look for unclosed streams, whole bodies in memory or much building of strings.",
+    "other": "See whether so many objects of this size are expected.",
+    "other, critical": "See what keeps these objects from being collected.",
+    "count": "See whether these objects pile up.",
+}
+
+
+def advice(name: Column, severity: Column) -> Column:
+    """The kind of advice for a class; SAYS has its words."""
+    critical = F.when(severity == "critical", ", critical").otherwise("")
+    out = F.when(name.isin("byte[]", "char[]"), F.concat(F.lit("arrays"), critical)).otherwise(F.concat(F.lit("other"), critical))
+    for word, kind in reversed(ADVICE):
+        out = F.when(F.lower(name).contains(word), F.concat(F.lit(kind), critical) if kind == "cache" else F.lit(kind)).otherwise(out)
     return out
 
 
 def diagnosis(histogram: DataFrame, suspects: DataFrame, reachable: int) -> DataFrame:
-    """Findings: class_name, severity (critical, warning, info), share, advice; the first rule that fits a class wins."""
+    """Findings: severity, confidence, title, advice; critical ones first, then as found.
+
+    Suspects above 20 % (50 %: critical) come first, then, by retained size, large arrays, large classes of a telling name and classes of
+    many instances. One whose class name is in the title of an earlier one is left out; that is a window over the few classes that
+    meet a rule at all, which takes 3 % of the heap.
+    """
     share = F.col("retained_size") * 100.0 / F.lit(float(max(1, reachable)))
-    named = F.lower("class_name").rlike("cache|session|listener|threadlocal|pool")
-    s = suspects.select("class_name", F.col("retained_percentage").alias("share"), F.when(F.col("retained_percentage") > 50, "critical").when(F.col("retained_percentage") > 20, "warning").alias("severity"), F.lit(0).alias("rule"))
-    h = histogram.withColumn("share", share)
-    arrays = h.where(F.col("class_name").isin("byte[]", "char[]") & (F.col("share") > 20)).select("class_name", "share", F.lit("warning").alias("severity"), F.lit(1).alias("rule"))
-    names = h.where(named & (F.col("share") > 10)).select("class_name", "share", F.when(F.col("share") > 30, "critical").otherwise("warning").alias("severity"), F.lit(2).alias("rule"))
-    many = h.where((F.col("instance_count") > 100_000) & (F.col("share") > 3)).select("class_name", "share", F.lit("info").alias("severity"), F.lit(3).alias("rule"))
-    all_ = s.where("severity is not null").unionByName(arrays).unionByName(names).unionByName(many)
-    first = all_.groupBy("class_name").agg(F.min_by(F.struct("severity", "share"), F.struct("rule", -F.col("share"))).alias("f"))
-    level = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return first.select("class_name", "f.severity", "f.share").withColumn("advice", advice(F.col("class_name"))).orderBy(level, F.desc("share"), "class_name")
+    s = suspects.select("class_name", F.col("retained_percentage").alias("share"), F.when(F.col("retained_percentage") > 50, "critical").otherwise("warning").alias("severity"), F.lit("high").alias("confidence"), F.format_string("%s retains %.1f%% of heap", "class_name", "retained_percentage").alias("title"), F.lit(0).alias("part"), F.col("position").cast("double").alias("place"), F.lit(0).alias("rule")).where("share > 20")
+    h = histogram.select("class_name", "instance_count", share.alias("share")).where("share > 3")
+    level = F.when(F.col("share") > 30, "critical").otherwise("warning")
+    row = lambda df, severity, confidence, title, rule: df.select("class_name", "share", severity.alias("severity"), F.lit(confidence).alias("confidence"), title.alias("title"), F.lit(1).alias("part"), (-F.col("share")).alias("place"), F.lit(rule).alias("rule"))
+    arrays = row(h.where(F.col("class_name").isin("byte[]", "char[]") & (F.col("share") > 20)), F.lit("warning"), "medium", F.format_string("%s occupies %.1f%% of heap", "class_name", "share"), 0)
+    names = row(h.where(F.lower("class_name").rlike("|".join(PATTERNS)) & (F.col("share") > 10)), level, "medium", F.format_string("%s pattern detected (%.1f%% heap)", "class_name", "share"), 1)
+    many = row(h.where("instance_count > 100000"), F.lit("info"), "low", F.format_string("%s instances of %s (%.1f%% heap)", F.format_number("instance_count", 0), "class_name", "share"), 2)
+    order = Window.orderBy("part", "place", "class_name", "rule")
+    found = s.unionByName(arrays).unionByName(names).unionByName(many).withColumn("at", F.row_number().over(order)).withColumn("before", F.collect_list("title").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = found.where((F.col("part") == 0) | ~F.exists("before", lambda t: F.contains(t, F.col("class_name"))))
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    told = F.when((F.col("part") == 1) & (F.col("rule") == 2), "count").otherwise(advice(F.col("class_name"), F.col("severity")))
+    return kept.select("severity", "confidence", "title", told.alias("advice"), rank.alias("rank"), "at").orderBy("rank", "at").drop("rank", "at")
 
 
 def fits_long(df: DataFrame, except_for: tuple[str, ...] = ("object_id",)) -> DataFrame:

@@ -220,7 +220,13 @@ def graph_subtree_fold(spark, sf_dir):
     return _long_ids(heap(spark, sf_dir).subtree(0, 2, 8).select("depth", "object_id", "class_name", "shallow_size", "retained_size"))
 
 
-@query("graph_accumulation")
+@query("graph_accumulation", over("""
+, top as (select idom, max(retained_size) as most, min(nid) filter (retained_size = m) as low, max(nid) filter (retained_size = m) as high from (select *, max(retained_size) over (partition by idom) as m from tree where idom is not null and retained_size > 0) group by idom),
+step as (select top.*, t.retained_size as own from top join tree t on t.nid = top.idom),
+f(here, n) as (select 0::bigint, 0 union all select low, n + 1 from f join step on idom = here where most >= own * 0.15::double),
+l(here, n) as (select 0::bigint, 0 union all select high, n + 1 from l join step on idom = here where most > own * 0.15::double)
+select (select arg_max(here, n) from f) as first_end, (select arg_max(here, n) from l) as last_end
+""").replace("\n\n, top as", ", top as").replace("with ", "with recursive ", 1).strip())
 def graph_accumulation(spark, sf_dir):
     h = heap(spark, sf_dir)
     return spark.createDataFrame([(graph.accumulation_point(h.tree, 0, 0.15), graph.accumulation_point(h.tree, 0, 0.15, last=True))], "first_end long, last_end long")
@@ -246,11 +252,11 @@ def top_objects(spark, sf_dir):
 TOTAL = "(select sum(shallow_size) from tree where reachable)"
 
 
-@query("leak_loader", over(f"select class_name, nid as object_id, retained_size, retained_size * 100.0::double / {TOTAL} as retained_percentage from tree where nid // {K} = 2 and retained_size >= {TOTAL} * 5 // 100 order by retained_size desc, nid limit 5"))
+@query("leak_loader", over(f"select class_name, nid as object_id, retained_size, retained_size * 100.0::double / {TOTAL} as retained_percentage from tree where nid // {K} = 1 and retained_size >= {TOTAL} * 5 // 100 order by retained_size desc, nid limit 5"))
 def leak_loader(spark, sf_dir):
     h = heap(spark, sf_dir)
-    nations = h.nodes.where(F.floor(F.col("nid") / K) == 2).select("nid")
-    return _long_ids(derive.loader_suspects(h.tree, nations, h.reachable).select("class_name", "object_id", "retained_size", "retained_percentage"))
+    regions = h.nodes.where(F.floor(F.col("nid") / K) == 1).select("nid")
+    return _long_ids(derive.loader_suspects(h.tree, regions, h.reachable).select("class_name", "object_id", "retained_size", "retained_percentage"))
 
 
 @query("leak_class", hist(f"select class_name, 0::bigint as object_id, retained_size, least(retained_size * 100.0::double / {TOTAL}, 99.9) as retained_percentage from hist where retained_size * 100.0 / {TOTAL} > 10 and instance_count > 1"))
@@ -265,12 +271,27 @@ def leak_candidates(spark, sf_dir):
     return _long_ids(derive.object_candidates(h.tree, h.reachable).select("object_id", "retained_size"))
 
 
-@query("leak_suspects")
+SUSPECT_SQL = f""", kinds as (select class_name, 0::bigint as object_id, retained_size, least(retained_size * 100.0::double / {TOTAL}, 99.9) as retained_percentage, printf('%d instances of %s retain %.1f%% of the heap (%.2f MB)', instance_count, class_name, least(retained_size * 100.0::double / {TOTAL}, 99.9), retained_size / 1048576.0::double) as description, row_number() over (order by retained_size desc, class_name) as k from hist where retained_size * 100.0 / {TOTAL} > 10 and instance_count > 1),
+cand as (select * from tree where node_type in ('Instance', 'Array') and retained_size >= {TOTAL} * 10 // 100 and retained_size > 0 order by retained_size desc, nid desc limit 10),
+singles as (select class_name, nid as object_id, retained_size, retained_size * 100.0::double / {TOTAL} as retained_percentage, printf('Object of %s retains %.1f%% of the heap (%.2f MB)', class_name, retained_size * 100.0::double / {TOTAL}, retained_size / 1048576.0::double) as description, row_number() over (order by retained_size desc, nid desc) as k from cand where class_name not in (select class_name from kinds) qualify row_number() over (partition by class_name order by retained_size desc, nid desc) = 1),
+listed as (select * exclude (k), 1 as part, k from kinds union all (select * exclude (k), 2, k from singles order by k limit greatest(0, 10 - (select count(*) from kinds)))),
+suspects as (select class_name, object_id, retained_size, retained_percentage, description, (row_number() over (order by retained_percentage desc, part, k) - 1)::int as position from listed)"""
+
+
+def suspected(select: str) -> str:
+    return hist("@").replace("\n@", f"{SUSPECT_SQL}{select if select.startswith(',') else chr(10) + select}")
+
+
+ORACLE["hql_left_join"] = suspected("select h.class_name as \"h.class_name\", s.retained_percentage as \"s.retained_percentage\" from hist h left join suspects s using (class_name)")
+
+
+@query("leak_suspects", suspected("select * from suspects"))
 def leak_suspects(spark, sf_dir):
     return _long_ids(heap(spark, sf_dir).suspects)
 
 
-@query("leak_object")
+@query("leak_object", over(f""", cand as (select * from tree where node_type in ('Instance', 'Array') and retained_size >= {TOTAL} * 10 // 100 and retained_size > 0 order by retained_size desc, nid desc limit 10)
+select class_name, nid as object_id, retained_size, retained_size * 100.0::double / {TOTAL} as retained_percentage, printf('Object of %s retains %.1f%% of the heap (%.2f MB)', class_name, retained_size * 100.0::double / {TOTAL}, retained_size / 1048576.0::double) as description from cand where idom not in (select nid from cand)""").replace("\n, cand as", ", cand as"))
 def leak_object(spark, sf_dir):
     return _long_ids(heap(spark, sf_dir).object_suspects())
 
@@ -309,7 +330,10 @@ def waste_boxed(spark, sf_dir):
     return waste.boxed_numbers(tables.nodes(spark, sf_dir), {"shop.Line.A": 8, "shop.Line.R": 4})
 
 
-@query("waste_totals")
+@query("waste_totals", f"""with {GRAPH.strip()}, {COLLECTIONS},
+d as (select (count(*) - 1) * (strlen(any_value(text)) + 40) as w from documents where text is not null group by text having count(*) > 1 order by w desc, left(text, 120), count(*) desc limit 50),
+t as (select (select coalesce(sum(w), 0) from d)::bigint as duplicate_strings_bytes, (select coalesce(count(*) * 48, 0) from c where size = 0)::bigint as empty_collections_bytes, (select coalesce(sum((capacity - size) * 4), 0) from c where capacity > 16 and capacity > 4 * size)::bigint as oversized_collections_bytes, 0::bigint as boxed_numbers_bytes)
+select *, duplicate_strings_bytes + empty_collections_bytes + oversized_collections_bytes as total_wasted_bytes, (duplicate_strings_bytes + empty_collections_bytes + oversized_collections_bytes) * 100.0::double / (select sum(shallow_size) from nodes) as wasted_percentage from t""")
 def waste_totals(spark, sf_dir):
     h = HeapAnalysis(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), None, tables.strings(spark, sf_dir), tables.collections(spark, sf_dir))
     return h.waste["totals"]
@@ -325,7 +349,7 @@ def _year(spark, sf_dir, year: int) -> DataFrame:
 
 
 @query("diff_histogram", f"""with {SNAPSHOTS}, b as (select * from s where taken = 1996), c as (select * from s where taken = 1997 and class_name <> 'shop.O.1')
-select class_name, coalesce(c.instance_count, 0) - coalesce(b.instance_count, 0) as instance_count_delta, coalesce(c.shallow_size, 0) - coalesce(b.shallow_size, 0) as shallow_size_delta, coalesce(c.retained_size, 0) - coalesce(b.retained_size, 0) as retained_size_delta, coalesce(b.retained_size, 0) as baseline_retained_size, coalesce(c.retained_size, 0) as current_retained_size,
+select class_name, coalesce(c.instance_count, 0) - coalesce(b.instance_count, 0) as instance_count_delta, coalesce(c.shallow_size, 0) - coalesce(b.shallow_size, 0) as shallow_size_delta, coalesce(c.retained_size, 0) - coalesce(b.retained_size, 0) as retained_size_delta, coalesce(b.retained_size, 0) as baseline_retained_size, coalesce(c.retained_size, 0) as current_retained_size, coalesce(c.instance_count, 0) as current_instance_count,
 case when b.class_name is null then 'new' when c.class_name is null then 'removed' when c.retained_size > b.retained_size then 'grew' when c.retained_size < b.retained_size then 'shrank' else 'unchanged' end as change_type from b full join c using (class_name)""".replace("when b.class_name is null", "when b.snapshot is null").replace("when c.class_name is null", "when c.snapshot is null"))
 def diff_histogram(spark, sf_dir):
     return diff.histogram_delta(_year(spark, sf_dir, 1996), _year(spark, sf_dir, 1997).where("class_name <> 'shop.O.1'"))
@@ -339,16 +363,16 @@ def diff_largest(spark, sf_dir):
 def _suspects(spark, sf_dir, year: int) -> DataFrame:
     h = _year(spark, sf_dir, year)
     whole = h.agg(F.sum("retained_size")).first()[0] or 0
-    found = derive.class_suspects(h, whole)
+    found = derive.class_suspects(h, whole, 6.6)
     return found.withColumn("description", F.concat(F.lit("retained "), "retained_size")).withColumn("position", F.col("retained_size"))
 
 
-SUSPECTS = "t as (select taken, sum(retained_size) as whole from s group by 1), u as (select s.* from s join t using (taken) where retained_size * 100.0 / whole > 10 and instance_count > 1)"
+SUSPECTS = "t as (select taken, sum(retained_size) as whole from s group by 1), u as (select s.* from s join t using (taken) where retained_size * 100.0 / whole > 6.6 and instance_count > 1)"
 
 
 @query("diff_suspects", f"""with {SNAPSHOTS}, {SUSPECTS}, b as (select * from u where taken = 1996), c as (select * from u where taken = 1999)
-select class_name, case when b.taken is null then 'new' else 'persisted' end as status, 'retained ' || c.retained_size as description, c.retained_size, c.retained_size - coalesce(b.retained_size, 0) as retained_size_delta from c left join b using (class_name)
-union all select class_name, 'resolved', 'Previously: retained ' || retained_size, 0, -retained_size from b where class_name not in (select class_name from c)""")
+select class_name, case when b.taken is null then 'new' else 'persisted' end as status, 'retained ' || c.retained_size as description, c.retained_size, c.retained_size - coalesce(b.retained_size, 0) as retained_size_delta, c.retained_size as position from c left join b using (class_name)
+union all select class_name, 'resolved', 'Previously: retained ' || retained_size, 0, -retained_size, retained_size from b where class_name not in (select class_name from c)""")
 def diff_suspects(spark, sf_dir):
     return diff.suspect_changes(_suspects(spark, sf_dir, 1996), _suspects(spark, sf_dir, 1999))
 
@@ -374,19 +398,34 @@ def timeline_growth_anomaly(spark, sf_dir):
     return diff.growth(tables.snapshots(spark, sf_dir))
 
 
-@query("timeline_lines")
+@query("timeline_lines", f"""with {SNAPSHOTS}, shots as (select distinct snapshot, taken from s), steps as (select *, row_number() over (order by taken)::int as step from shots),
+grid as (select class_name, step, coalesce(retained_size, 0) as retained_size from (select distinct class_name from s) cross join steps left join s using (class_name, snapshot)),
+g as (select class_name, arg_max(retained_size, step) - arg_min(retained_size, step) as growth from grid group by 1 order by abs(growth) desc, class_name limit 10)
+select * from grid where class_name in (select class_name from g)""")
 def timeline_lines(spark, sf_dir):
     return diff.class_lines(tables.snapshots(spark, sf_dir))
 
 
-@query("alerts")
+@query("alerts", f"""with {SNAPSHOTS}, {SUSPECTS}, b as (select * from s where taken = 1996 and class_name <> 'shop.O.1'), c as (select * from s where taken = 1999),
+size as (select (select sum(retained_size) from b) as old, (select sum(retained_size) from c) as new),
+bu as (select * from u where taken = 1996), cu as (select * from u where taken = 1999),
+fresh as (select class_name, row_number() over (order by retained_size, class_name) as k from cu where class_name not in (select class_name from bu)),
+gone as (select class_name, row_number() over (order by retained_size, class_name) as k from bu where class_name not in (select class_name from cu)),
+burst as (select class_name, c.instance_count - coalesce(b.instance_count, 0) as more, c.retained_size as size, abs(c.retained_size - coalesce(b.retained_size, 0)) as moved from c left join b using (class_name) where more > 0 and more >= c.instance_count - more and c.retained_size > 1048576)
+select 'heap-growth' as id, 'warning' as severity, printf('Heap grew by %.0f%% (+%.1f MB)', (new - old) * 100.0::double / old, (new - old) / 1048576.0::double) as message from size where (new - old) * 100.0 / old > 1
+union all select 'new-leak-suspects', 'warning', count(*) || ' new leak suspect(s): ' || (select string_agg(class_name, ', ' order by k) from fresh where k <= 3) || case when count(*) > 3 then printf(' and %d more', count(*) - 3) else '' end from fresh having count(*) > 0
+union all (select 'class-explosion', 'warning', printf('%s has %d more instances, twice as many or more, and retains %.1f MB', class_name, more, size / 1048576.0::double) from burst order by moved desc, class_name limit 1)
+union all select 'resolved-leaks', 'info', count(*) || ' leak suspect(s) resolved: ' || (select string_agg(class_name, ', ' order by k) from gone where k <= 3) || case when count(*) > 3 then printf(' and %d more', count(*) - 3) else '' end from gone having count(*) > 0""")
 def alerts(spark, sf_dir):
-    b, c = _year(spark, sf_dir, 1996), _year(spark, sf_dir, 1999)
+    b, c = _year(spark, sf_dir, 1996).where("class_name <> 'shop.O.1'"), _year(spark, sf_dir, 1999)
     size = lambda df: df.agg(F.sum("retained_size")).first()[0] or 0
-    return diff.alerts(diff.histogram_delta(b, c), diff.suspect_changes(_suspects(spark, sf_dir, 1996), _suspects(spark, sf_dir, 1999)), size(b), size(c), 0.0)
+    return diff.alerts(diff.histogram_delta(b, c), diff.suspect_changes(_suspects(spark, sf_dir, 1996), _suspects(spark, sf_dir, 1999)), size(b), size(c), 1.0)
 
 
-@query("diagnosis")
+@query("diagnosis", suspected(f""", f as (select position as place, 0 as part, 0 as rule, class_name, case when retained_percentage > 50 then 'critical' else 'warning' end as severity, 'high' as confidence, printf('%s retains %.1f%% of heap', class_name, retained_percentage) as title, case when class_name = 'byte[]' then 'arrays' else 'other' end as advice from suspects where retained_percentage > 20
+union all select -retained_size, 1, 0, class_name, 'warning', 'medium', printf('%s occupies %.1f%% of heap', class_name, retained_size * 100.0::double / {TOTAL}), 'arrays' from hist where class_name = 'byte[]' and retained_size * 100.0 / {TOTAL} > 20
+union all select -retained_size, 1, 2, class_name, 'info', 'low', printf('%s instances of %s (%.1f%% heap)', format('{{:,}}', instance_count), class_name, retained_size * 100.0::double / {TOTAL}), 'count' from hist where instance_count > 100000 and retained_size * 100.0 / {TOTAL} > 3)
+select severity, confidence, title, case when rule = 2 or severity <> 'critical' then advice else advice || ', critical' end as advice from f where part = 0 or not exists (select 1 from f g where (g.part, g.place, g.rule) < (f.part, f.place, f.rule) and contains(g.title, f.class_name))"""))
 def diagnosis(spark, sf_dir):
     h = heap(spark, sf_dir)
     return diff.diagnosis(h.histogram, h.suspects, h.reachable)
