@@ -9,6 +9,10 @@ group's name by itself can't move a score, however the labels lean.
 Sample: the `sample` labelled rows with the smallest id hashes, each distinct text once (toxic if any of its copies is);
 it, the kept features and the model are bounded by these parameters. Scores cover whole texts.
 
+The penalty and the weight of toxic rows are chosen from CHOICES by `folds`-fold cross-validation among the sample, that is among
+training rows only: the pair with the smallest cost at the threshold wins, a missed toxic text costing MISS false alarms; of
+equal ones the first.
+
 Cases: null and empty texts have no features and score as the model's base rate; texts labelled null are not learned from; with
 no labels every score is 0; null ids, repeated rows and empty tables pass through; extra columns are ignored.
 """
@@ -42,6 +46,9 @@ IDENTITY = (
     ("blind", "deaf", "disabled"),
 )
 STARTS = (4, 5, 6)
+#: Pairs (l1, lift) to choose from, and what a missed toxic text costs in false alarms.
+CHOICES = ((5e-4, 1.0), (5e-4, 3.0), (1.5e-3, 1.0), (1.5e-3, 3.0))
+MISS = 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -71,6 +78,8 @@ class Model:
     weights: dict[int, float]
 
     def score(self, log_odds: float) -> float:
+        if self.base == -np.inf:  # nothing was learned
+            return 0.0
         return float(1 / (1 + np.exp(-np.clip(log_odds, -30, 30))))
 
 
@@ -97,7 +106,7 @@ def _times(of: np.ndarray, column: np.ndarray, value: np.ndarray, w: np.ndarray,
     return np.bincount(of, weights=w[column] * value, minlength=n) if len(of) else np.zeros(n)
 
 
-def fit(rows: list[list[int]], toxic: list[int], changes: list[list[tuple[int, int]]], width: int, l1: float = 5e-4, balance: float = 1.0, lift: float = 3.0, rounds: int = 400) -> tuple[float, np.ndarray]:
+def fit(rows: list[list[int]], toxic: list[int], changes: list[list[tuple[int, int]]], width: int, l1: float = 5e-4, balance: float = 1.0, lift: float = 1.0, rounds: int = 400) -> tuple[float, np.ndarray]:
     """Base and weights: accelerated proximal gradient on the mean log loss, plus balance times the mean squared change of
     the log-odds over the counterfactual pairs, plus l1 times the weights' sum. Toxic rows count `lift` times, as they are
     few and missing one is worse than a second look. changes: of each pair (column, +1 or -1)."""
@@ -128,6 +137,27 @@ def fit(rows: list[list[int]], toxic: list[int], changes: list[list[tuple[int, i
     return base, w
 
 
+def choose(rows: list[list[int]], toxic: list[int], changes: list[list[tuple[int, int]]], width: int, balance: float = 1.0, threshold: float = 0.3, folds: int = 3, choices: tuple[tuple[float, float], ...] = CHOICES, rounds: int = 150) -> tuple[float, float]:
+    """The (l1, lift) of which models fitted on the other folds cost least on each fold. Rows are dealt out by their place, the toxic and
+    the others each in turn, so every fold has both."""
+    y = np.array(toxic)
+    fold = np.zeros(len(y), dtype=np.int64)
+    for kind in (0, 1):
+        fold[y == kind] = np.arange((y == kind).sum()) % folds
+    edge = np.log(threshold / (1 - threshold))
+    costs = []
+    for l1, lift in choices:
+        cost = 0
+        for f in range(folds):
+            own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+            if len(own) and len(rest):
+                base, w = fit([rows[i] for i in rest], y[rest].tolist(), changes, width, l1, balance, lift, rounds)
+                flagged = np.array([base + sum(w[c] for c in rows[i]) >= edge for i in own])
+                cost += MISS * int((~flagged & (y[own] == 1)).sum()) + int((flagged & (y[own] == 0)).sum())
+        costs.append(cost)
+    return choices[int(np.argmin(costs))]
+
+
 def _largest(of: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, width: int) -> float:
     """The largest eigenvalue of X'X, by power iteration."""
     if not len(of):
@@ -142,7 +172,7 @@ def _largest(of: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, widt
     return size * 1.05
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, keep: int = 4096, groups: tuple[tuple[str, ...], ...] = IDENTITY, l1: float = 5e-4, balance: float = 1.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, keep: int = 4096, groups: tuple[tuple[str, ...], ...] = IDENTITY, balance: float = 1.0) -> Model:
     """From labels(id, label 0 or 1) and the documents' texts."""
     store, swap = Store(docs.sparkSession, "toxicity"), swaps(groups)
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
@@ -168,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = store.put(rows.groupBy("h").agg(F.max("toxic").alias("toxic"), *(F.first(c).alias(c) for c in ("has", "lost", "won"))), "rows")
     n, bad = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not n:
-        return Model(-30.0, {})
+        return Model(-np.inf, {})
     counts = rows.select("toxic", F.explode("has").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
     gap = F.col("bad") - F.col("n") * F.lit(bad / n)
     telling = counts.where("n >= 3").select("f", (gap * gap / F.col("n")).alias("gain")).orderBy(F.desc("gain"), "f").limit(keep).collect()
@@ -182,7 +212,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     held = rows.select("toxic", "has", "lost", "won").mapInArrow(narrow, "toxic int, has array<int>, lost array<int>, won array<int>").collect()
     order = sorted(held, key=lambda r: (r.toxic, r.has))
-    base, w = fit([r.has for r in order], [r.toxic for r in order], [[*((c, -1) for c in r.lost), *((c, 1) for c in r.won)] for r in order if r.lost or r.won], len(kept), l1, balance)
+    has, marks = [r.has for r in order], [r.toxic for r in order]
+    changes = [[*((c, -1) for c in r.lost), *((c, 1) for c in r.won)] for r in order if r.lost or r.won]
+    l1, lift = choose(has, marks, changes, len(kept), balance)
+    base, w = fit(has, marks, changes, len(kept), l1, balance, lift)
     return Model(base, {f: float(w[i]) for f, i in place.items() if w[i]})
 
 
