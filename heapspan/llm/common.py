@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import io
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="heapspan-"))
         path = _LOCAL[0]
@@ -71,6 +74,18 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def pack(columns: dict) -> bytes:
+    """Columns of one row, compressed."""
+    out, batch = io.BytesIO(), pa.RecordBatch.from_pydict(columns)
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue()
+
+
+def unpack(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 def trim() -> None:
     """Give freed memory back, as a Python worker stays for the tasks of later stages."""
     pa.default_memory_pool().release_unused()

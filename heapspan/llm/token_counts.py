@@ -1,61 +1,134 @@
 """Token counts of a SentencePiece model without token ids of documents.
 
-Each task finds the distinct pre-tokens of its documents, lets the library encode each of them once, joins the number of
-pieces to every document's pre-token frequencies and sums. The join is kept inside the task: in natural text
-distinct (document, pre-token) pairs take more bytes than the text, so a join over the cluster would move several times the
-input; a task repeats only the encoding of pre-tokens that other tasks have too. The table of known pre-tokens is
-emptied at `known` entries, so memory stays bounded.
+Documents are taken in blocks of about `block_bytes` of text. A block holds each document's pre-token frequencies as pairs (place among
+the block's distinct pre-tokens, count) and deals the distinct pre-tokens out to the parts of a dictionary by hash. A part lets the
+library encode each distinct pre-token once, whatever number of blocks has it, and answers with the numbers of pieces; joined
+to their block they are multiplied by the frequencies and summed. A frequent pre-token is a row a block, not a row a document,
+and what moves is a block's distinct pre-tokens and packed pairs, never a row for each (document, pre-token).
+
+The number of parts grows with the bytes of text, so a part stays within memory.
 
 Cases: null and empty texts have 0 tokens; null ids, repeated rows and empty tables pass through; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # makes pa.compute
+import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Store, pack, partitions, trim, unpack
 from .pieces import default_model, load, model_bytes, pre_tokens
 
-KNOWN = 400_000
+BLOCK_BYTES, PART_BYTES = 4 << 20, 64 << 20
+ASKED = "block string, part long, tokens binary, docs binary"
 
 
-class PieceCounts:
-    """Number of pieces of pre-tokens, each encoded once while it is known."""
+def count_pieces(sp: sentencepiece.SentencePieceProcessor, tokens: list[str]) -> np.ndarray:
+    """Pieces of each pre-token."""
+    before = len(sp.encode("\n"))  # a line break merges with nothing, so what stands after it begins anew
+    out = [len(ids) - before for at in range(0, len(tokens), 4096) for ids in sp.encode(["\n" + t for t in tokens[at : at + 4096]], num_threads=1)]
+    return np.array(out, dtype=np.int32)
 
-    def __init__(self, model: bytes, known: int = KNOWN) -> None:
-        self.sp, self.known, self.counts = load(model), known, {}
-        self.before = len(self.sp.encode("\n"))  # a line break merges with nothing, so what stands after it begins anew
 
-    def learn(self, tokens: list[str]) -> None:
-        for at in range(0, len(tokens), 4096):
-            some = tokens[at : at + 4096]
-            for token, ids in zip(some, self.sp.encode(["\n" + t for t in some], num_threads=1)):
-                self.counts[token] = len(ids) - self.before
+def _small(values: list[int]) -> np.ndarray:
+    x = np.array(values, dtype=np.int64)
+    return x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x.astype(np.uint32) if x.max() < 1 << 32 else x
 
-    def total(self, frequencies: Counter) -> int:
-        if new := [t for t in frequencies if t not in self.counts]:
-            if len(self.counts) + len(new) > self.known:
-                self.counts.clear()
-                new = list(frequencies)
-            self.learn(new)
-        counts = self.counts
-        return sum(counts[t] * n for t, n in frequencies.items())
 
+class Block:
+    """Documents with their pre-token frequencies."""
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, limit: int = 4096) -> DataFrame:
-    """id, n_bytes (UTF-8), n_tokens, over_limit (more than `limit` tokens) of each row. model: path of the model file."""
-    shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model or default_model()))  # half a megabyte, whatever the data
+    def __init__(self) -> None:
+        self.ids, self.bytes, self.held, self.size = [], [], [], 0
+
+    def add(self, own, n_bytes: int, text: str | None) -> None:
+        self.ids.append(own)
+        self.bytes.append(n_bytes)
+        self.held.append(Counter(pre_tokens(text)) if text else {})
+        self.size += n_bytes
+
+    def rows(self, parts: int, kind: pa.DataType) -> dict[str, list]:
+        """Columns of ASKED: a row with the documents, and one for each part that has pre-tokens of the block."""
+        many: Counter = Counter()
+        for held in self.held:
+            many.update(held.keys())
+        tokens = [t for t, _ in many.most_common()]  # frequent ones first, so places are small numbers
+        place = {t: i for i, t in enumerate(tokens)}
+        dealt = np.array([xxhash.xxh32_intdigest(t) % parts for t in tokens], dtype=np.int64)
+        docs = {"ids": pa.array([self.ids], pa.list_(kind)), "n_bytes": [self.bytes], "sizes": [[len(h) for h in self.held]]}
+        docs |= {"places": [_small([place[t] for h in self.held for t in h])], "counts": [_small([n for h in self.held for n in h.values()])], "dealt": [_small(dealt.tolist())]}
+        name = uuid.uuid4().hex
+        out: dict[str, list] = {"block": [name], "part": [None], "tokens": [None], "docs": [pack(docs)]}
+        order = np.argsort(dealt, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(dealt[order])) + 1) if len(order) else []:
+            for c, x in zip(out, (name, int(dealt[group[0]]), pack({"tokens": [[tokens[i] for i in group]]}), None)):
+                out[c].append(x)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceCounts(shared.value)
-        for batch in batches:
-            n = pa.array([pieces.total(Counter(pre_tokens(x))) if x else 0 for x in batch.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=["id", "n_bytes", "n_tokens"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, limit: int = 4096, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """id, n_bytes (UTF-8), n_tokens, over_limit (more than `limit` tokens) of each row. model: path of the model file."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model_bytes(model or default_model()))  # half a megabyte, whatever the data
+    store, kind = Store(spark, "tokens"), to_arrow_type(docs.schema[id_col].dataType)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    parts = max(partitions(spark), (rows.agg(F.sum("n_bytes")).first()[0] or 0) // part_bytes)
+    asked_schema = pa.schema([("block", pa.string()), ("part", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block()
+        for batch in batches:
+            for own, n, text in zip(*(c.to_pylist() for c in batch.columns)):
+                block.add(own, n, text)
+                if block.size >= block_bytes or len(block.ids) >= 1 << 16:
+                    yield pa.RecordBatch.from_pydict(block.rows(parts, kind), schema=asked_schema)
+                    block = Block()
+        if block.ids:
+            yield pa.RecordBatch.from_pydict(block.rows(parts, kind), schema=asked_schema)
+        trim()
+
+    told_schema = pa.schema([("block", pa.string()), ("part", pa.int64()), ("pieces", pa.binary())])
+
+    def answer(part: pa.Table) -> pa.Table:
+        lists = [unpack(x)["tokens"].combine_chunks() for x in part["tokens"].to_pylist()]
+        sizes = [len(x.values) for x in lists]
+        coded = pa.chunked_array([x.values.cast(pa.large_string()) for x in lists]).combine_chunks().dictionary_encode()
+        found = count_pieces(load(shared.value), coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ends = np.cumsum(sizes)
+        return pa.table({"block": part["block"], "part": part["part"], "pieces": [pack({"n": [found[b - n : b]]}) for b, n in zip(ends, sizes)]}, schema=told_schema)
+
+    counted_schema = pa.schema([("id", kind), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+
+    def total(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for data in left["docs"].to_pylist():
+            docs = unpack(data)
+            ids, n_bytes, sizes, places, counts, dealt = (docs[c].combine_chunks().values for c in ("ids", "n_bytes", "sizes", "places", "counts", "dealt"))
+            dealt, pieces = dealt.to_numpy(), np.zeros(len(dealt), dtype=np.int64)
+            order = np.argsort(dealt, kind="stable")
+            for part, told in zip(right["part"].to_pylist(), right["pieces"].to_pylist()):
+                a, b = np.searchsorted(dealt[order], [part, part + 1])
+                pieces[order[a:b]] = unpack(told)["n"].combine_chunks().values.to_numpy()
+            each = np.r_[0, np.cumsum(pieces[places.to_numpy()] * counts.to_numpy().astype(np.int64))]
+            ends = np.r_[0, np.cumsum(sizes.to_numpy().astype(np.int64))]
+            out.append(pa.table([ids, n_bytes.cast(pa.int64()), pa.array(each[ends[1:]] - each[ends[:-1]])], schema=counted_schema))
+        trim()
+        return pa.concat_tables(out) if out else counted_schema.empty_table()
+
+    asked = store.put(rows.mapInArrow(ask, ASKED), "asked")
+    told = asked.where("part is not null").select("block", "part", "tokens").groupBy("part").applyInArrow(answer, "block string, part long, pieces binary")
+    blocks = asked.where("part is null").select("block", "docs")
+    name = docs.schema[id_col].dataType.simpleString()
+    found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(total, f"id {name}, n_bytes long, n_tokens long")
+    return found.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -30,15 +30,11 @@ def test_counts(spark):
     assert token_counts(df.limit(0)).collect() == []
 
 
-def test_counts_with_a_small_table(monkeypatch):
-    from collections import Counter
-
-    from heapspan.llm.pieces import pre_tokens
-    from heapspan.llm.token_counts import PieceCounts
-
-    pieces, sp = PieceCounts(MODEL, known=40), load(MODEL)
-    for t in more(5):
-        assert pieces.total(Counter(pre_tokens(t))) == len(sp.encode(t))
+def test_counts_over_many_blocks_and_parts(spark):
+    sp, long = load(MODEL), " ".join(f"w{i % 700}" for i in range(60_000))
+    rows = [(i, t, 1) for i, t in enumerate([*more(5), None, long, "", *more(5)])]
+    got = token_counts(spark.createDataFrame(rows, "doc_id long, text string, x int").repartition(3), block_bytes=2000, part_bytes=50_000).collect()
+    assert {r.doc_id: (r.n_tokens, r.over_limit) for r in got} == {i: (n := len(sp.encode(t or "")), n > 4096) for i, t, _ in rows} and len(got) == len(rows)
 
 
 def test_without_dropout_as_the_library():
