@@ -10,7 +10,10 @@ A passage without an original is split into its lines, each looked up among the
 
 A message replies to the original of its quotations of the lowest level, the latest if there are several. Threads are found by
 pointer doubling over the messages that quote, so a round halves the longest chain; a table in the shared folder ends each.
-Sorting by conv_id, thread_turn, turn gives the conversations in reply order: a reply always stands after what it answers.
+
+Conversations: a message's `position` is its place in its thread in reply order, by turn, so that a reply always stands after
+what it answers; the first message has 0. Places are counted in blocks of SPAN turns, over the turns that quote, so neither a long
+thread nor a turn that many rows share is one task's. `conversations` builds the threads from it, `most` turns a row.
 
 Cases: null text has no lines (own text null); null conv_id or turn neither quote nor are quoted; several messages with one
 (conv_id, turn) share their originals, and each keeps its row; empty tables give an empty result; extra columns are ignored.
@@ -18,11 +21,12 @@ Cases: null text has no lines (own text null); null conv_id or turn neither quot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Store
 
+SPAN = 4096
 _MARK = r"^[ \\t]*(?:>[ \\t]*)+"
 _NORMAL = "trim(regexp_replace(lower({0}), '[ \\\\t\\\\r\\\\n]+', ' '))"
 
@@ -55,7 +59,8 @@ def parse(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Of each message conv_id, turn, role, text (without quotations), quote_levels, n_quotes (passages), n_linked (those with an
-    original), reply_to (turn, or null), thread_turn (the first turn of its thread) and depth (replies up to it)."""
+    original), reply_to (turn, or null), thread_turn (the first turn of its thread), depth (replies up to it) and position (in the
+    thread)."""
     store = Store(messages.sparkSession, "chat")
     read = parse(messages, conv_col, turn_col, role_col, text_col)
     asked = store.put(read.where("size(runs) > 0 AND conv_id is not null AND turn is not null").selectExpr("conv_id", "turn", "posexplode(runs) as (n, run)").selectExpr("conv_id", "turn", "n", "run.level as level", f"{_hash('run.text')} as h", f"transform(filter(split(run.text, '\\n'), l -> trim(l) <> ''), l -> {_hash('l')}) as pieces").distinct(), "asked")
@@ -77,9 +82,25 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         n += 1
         above = up.select("conv_id", F.col("turn").alias("thread_turn"), F.col("thread_turn").alias("further"), F.col("depth").alias("more"))
         up = store.put(up.join(above, ["conv_id", "thread_turn"], "left").select("conv_id", "turn", F.coalesce("further", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), f"up{n}")
+        store.drop(f"up{n - 1}")
+    # of each thread the turns that quote, one row each; the first message quotes nothing
+    dealt = up.withColumn("block", F.floor(F.col("turn") / SPAN))
+    sizes = dealt.groupBy("conv_id", "thread_turn", "block").agg(F.count("*").alias("n"))
+    before = sizes.select("conv_id", "thread_turn", "block", (F.sum("n").over(Window.partitionBy("conv_id", "thread_turn").orderBy("block")) - F.col("n")).alias("before"))
+    ranked = dealt.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "thread_turn", "block").orderBy("turn")))
+    up = ranked.join(before, ["conv_id", "thread_turn", "block"]).select("conv_id", "turn", "thread_turn", "depth", (F.col("before") + F.col("place")).alias("position"))
     known = parent.join(up, ["conv_id", "turn"])
     out = read.join(known, ["conv_id", "turn"], "left")
-    return out.select(F.col("conv_id").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("own").alias(text_col), F.col("levels").cast("int").alias("quote_levels"), F.greatest(F.size(F.coalesce("runs", F.expr("cast(array() as array<struct<level:int,text:string>>)"))), F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("int").alias("n_linked"), "reply_to", F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
+    return out.select(F.col("conv_id").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("own").alias(text_col), F.col("levels").cast("int").alias("quote_levels"), F.greatest(F.size(F.coalesce("runs", F.expr("cast(array() as array<struct<level:int,text:string>>)"))), F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("int").alias("n_linked"), "reply_to", F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), F.coalesce("position", F.lit(0)).cast("long").alias("position"))
+
+
+def conversations(linked: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", most: int = SPAN) -> DataFrame:
+    """The threads of link()'s rows in reply order: conv_id, thread_turn, part and messages (turn, role, text, reply_to, depth), each part with
+    `most` places. Rows without a conversation or turn are in none."""
+    whole = linked.where(F.col(conv_col).isNotNull() & F.col(turn_col).isNotNull()).withColumn("part", F.floor(F.col("position") / most))
+    message = F.struct("position", F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), "reply_to", "depth")
+    gathered = whole.groupBy(conv_col, "thread_turn", "part").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    return gathered.select(conv_col, "thread_turn", "part", F.transform("m", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text"), x["reply_to"].alias("reply_to"), x["depth"].alias("depth"))).alias("messages"))
 
 
 ORACLE = r"""
@@ -104,7 +125,7 @@ partly as (select p.conv_id, p.turn, k, level, max(source) as source from pieces
 links as (select conv_id, turn, k, level, source from whole where source is not null union all select * from partly),
 parent as (select conv_id, turn, arg_max(source, 1e9 * -level + source) as reply_to, count(distinct k) as n_linked from links group by all),
 thread as (select conv_id, turn, reply_to as head, 1 as depth from parent union all select t.conv_id, t.turn, p.reply_to, t.depth + 1 from thread t join parent p on p.conv_id = t.conv_id and p.turn = t.head),
-ends as (select conv_id, turn, min(head) as thread_turn, max(depth) as depth from thread group by all)
-select o.conv_id, o.turn, o.role, o.own as text, o.levels::int as quote_levels, (select count(*) from passages p where p.r = o.r)::int as n_quotes, coalesce(n_linked, 0)::int as n_linked, reply_to, coalesce(thread_turn, o.turn) as thread_turn, coalesce(depth, 0)::int as depth
+ends as (select *, row_number() over (partition by conv_id, thread_turn order by turn) as position from (select conv_id, turn, min(head) as thread_turn, max(depth) as depth from thread group by all))
+select o.conv_id, o.turn, o.role, o.own as text, o.levels::int as quote_levels, (select count(*) from passages p where p.r = o.r)::int as n_quotes, coalesce(n_linked, 0)::int as n_linked, reply_to, coalesce(thread_turn, o.turn) as thread_turn, coalesce(depth, 0)::int as depth, coalesce(position, 0)::bigint as position
 from own o left join parent using (conv_id, turn) left join ends using (conv_id, turn)
 """
