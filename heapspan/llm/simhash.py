@@ -36,6 +36,7 @@ _RUN = 1 << 16
 SMALL = 16
 SAMPLE, OFTEN = 8, 10_000
 SEEN = 1_000_000
+STARS = 1
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -137,13 +138,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is; sizes, how many cells they share and the places of a shared shingle leave out more pairs, none of which can be similar enough.
     Every candidate's similarity is then computed from the two sets of 64-bit shingle hashes.
 
-    In cells of up to SMALL texts all pairs are candidates. In a larger one each text is compared with one, the centre, and
-    after that with all texts of the cell that these links have not joined to it. So a group of thousands of near copies gives about
-    as many candidates as it has texts, not pairs, and no pair is lost: two texts are compared or in one component already.
+    In cells of up to SMALL texts all pairs are candidates. In a larger one each text is compared with one, the centre: the text that
+    is in most large cells, so that of a group of near copies it is the one with the fewest changes. STARS times the texts that are not
+    in one component are compared with a further centre; after that those outside a cell's largest component with all of the cell that
+    they aren't joined to. So a group of thousands of near copies gives about as many candidates as it has texts, not pairs, and
+    no pair is lost: two texts are compared or in one component already.
     """
+    return _similar(docs, id_col, text_col, shingle, similarity).select(F.col("id").alias(id_col), "component_id")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """id, th (the text's hash), root (a node of the component) and component_id of each row."""
     store = Store(docs.sparkSession, "similar")
     kind = docs.schema[id_col].dataType.simpleString()
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(read, shingle, store))  # at most OFTEN times the shingles of a document
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +174,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
                     hashes = hashes[np.argsort(np.where(common[at] == hashes, often[at], 0), kind="stable")]
                 cells.append(hashes[:count].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "sig", "n", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "th", "sig", "n", "cells"])
         trim()
 
-    marked = store.put(read.mapInArrow(filed, f"id {kind}, sig long, n int, cells array<long>"), "signatures")
+    marked = store.put(read.mapInArrow(filed, f"id {kind}, th long, sig long, n int, cells array<long>"), "signatures")
     classes = store.put(marked.groupBy("sig").agg(F.min("id").alias("least")), "classes")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b) of small cells, their sizes and how many cells they share; of large ones each text a with the centre b, its cell, size and place."""
+        """Pairs (a, b) of small cells, their sizes and how many cells they share; of large ones each text a, its cell, size and place."""
         columns = [[b.column(c).to_numpy() for c in range(4)] for b in batches]
         if not columns:
             return
@@ -200,9 +208,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         shares = np.diff(np.r_[begin, len(a)])
         a, b, n_a, n_b = a[begin], b[begin], n_a[begin], n_b[begin]
         large = np.repeat(sizes > SMALL, sizes)
-        centre = np.repeat(sig[first], sizes)[large]
         none, void = pa.nulls(len(a), pa.int64()), pa.nulls(int(large.sum()), pa.int64())
-        for c in ((pa.array(a), pa.array(b), none, pa.array(n_a, pa.int64()), none, pa.array(n_b, pa.int64()), pa.array(shares, pa.int64())), (pa.array(sig[large]), pa.array(centre), pa.array(cell[large]), pa.array(n[large], pa.int64()), pa.array(place[large], pa.int64()), void, void)):
+        for c in ((pa.array(a), pa.array(b), none, pa.array(n_a, pa.int64()), none, pa.array(n_b, pa.int64()), pa.array(shares, pa.int64())), (pa.array(sig[large]), void, pa.array(cell[large]), pa.array(n[large], pa.int64()), pa.array(place[large], pa.int64()), void, void)):
             yield from pa.table(list(c), names=["a", "b", "cell", "n", "place", "n_b", "shares"]).to_batches(max_chunksize=100_000)
         trim()
 
@@ -214,8 +221,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small = small.join(in_large, "a", "left").join(in_large.select(F.col("a").alias("b"), F.col("m").alias("m_b")), "b", "left")
     most = f"k + least(coalesce(m, 0), coalesce(m_b, 0)) + ceil({similarity}D * greatest(n_a, n_b) - 1e-9D) - 1"
     small = small.where(f"{most} >= (n_a + n_b) * {similarity / (1 + similarity)}D - 1e-6D").select("a", "b")
-    star = store.put(small.unionByName(met.where("cell is not null and a <> b").select("a", "b")).distinct(), "pairs")
-    wanted = star.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    large = met.where("cell is not null").select("cell", F.col("a").alias("sig"), "n", "place")
+    weight = store.put(large.groupBy("sig").agg(F.count("*").alias("weight")), "weight")
+    near = f"least(n - n_place, m - m_place) >= (n + m) * {similarity / (1 + similarity)}D - 1e-6D"
+
+    def starred(rows: DataFrame, apart: str = "true") -> DataFrame:
+        """Each row of a cell with the cell's centre, if they can be similar."""
+        heads = rows.join(weight.hint("merge"), "sig").groupBy("cell").agg(F.max_by(F.struct(*(F.col(c) for c in rows.columns if c != "cell")), F.struct("weight", "sig")).alias("head"))
+        met_head = rows.join(heads.hint("merge"), "cell").where("sig <> head.sig").where(apart).withColumns({"m": F.col("head.n"), "n_place": F.col("place"), "m_place": F.col("head.place")})
+        return met_head.where(near).select(F.least("sig", "head.sig").alias("a"), F.greatest("sig", "head.sig").alias("b")).distinct()
+
+    # every text of a large cell may yet be asked for
+    star = store.put(small.unionByName(starred(large)).distinct(), "pairs")
+    asked_for = star.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(weight.select("sig"))
+    wanted = asked_for.distinct()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -259,35 +278,52 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return store.put(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"), name)
 
     links = similar(star, "links")
-    roots = components(links, Store(docs.sparkSession, "stars")).select(F.col("node").alias("sig"), "root")
-    large = met.where("cell is not null").select("cell", F.col("a").alias("sig"), "n", "place").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = large.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-    rows = store.put(large.join(mixed, "cell"), "mixed")
-    one, two = (rows.select("cell", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "place", "root"))) for k in "ab")
-    near = f"least(n_a - place_a, n_b - place_b) >= (n_a + n_b) * {similarity / (1 + similarity)}D - 1e-6D"
-    rest = one.join(two.hint("merge"), "cell").where(f"sig_a < sig_b and root_a <> root_b and {near}").select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
-    links = store.put(links.unionByName(similar(store.put(rest, "rest"), "others")), "all")
-    return _named(marked.select("id", "sig"), "sig", classes, links, store).select(F.col("id").alias(id_col), "component_id")
+    rows = large
+    for turn in range(STARS + 1):
+        roots = components(links, Store(docs.sparkSession, "stars")).select(F.col("node").alias("sig"), "root")
+        rooted = rows.drop("root").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+        rows = store.put(rooted.join(mixed.hint("merge"), "cell", "left_semi").select("cell", "sig", "n", "place", "root"), f"mixed{turn}")
+        if rows.isEmpty():
+            break
+        if turn < STARS:
+            # a centre has been compared with all of its cell: the next is another
+            old = rows.join(weight.hint("merge"), "sig").groupBy("cell").agg(F.max_by("sig", F.struct("weight", "sig")).alias("sig"))
+            rows = store.put(rows.join(old.hint("merge"), ["cell", "sig"], "left_anti").select(*rows.columns), f"left{turn}")
+            rest = starred(rows, "root <> head.root")
+        else:
+            major = rows.groupBy("cell", "root").count().groupBy("cell").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
+            named = store.put(rows.join(major.hint("merge"), "cell"), "named")
+            one, two = (named.select("cell", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "place", "root", "major"))) for k in "ab")
+            both = one.where("root_a <> major_a").join(two.hint("merge"), "cell").where("root_a <> root_b and (root_b = major_b or sig_a < sig_b)").selectExpr("least(sig_a, sig_b) as a", "greatest(sig_a, sig_b) as b", "n_a as n", "n_b as m", "place_a as n_place", "place_b as m_place")
+            rest = both.where(near).select("a", "b").distinct()
+        links = store.put(links.unionByName(similar(store.put(rest, f"rest{turn}"), f"others{turn}")).distinct(), f"all{turn}")
+    return _named(marked.select("id", "th", "sig"), "sig", classes, links, store)
 
 
 def _named(marked: DataFrame, node: str, classes: DataFrame, links: DataFrame, store: Store) -> DataFrame:
-    """marked with component_id, the smallest id of the classes that links join."""
+    """marked with root and component_id, the smallest id of the classes that links join."""
     roots = components(links, store).select(F.col("node").alias(node), "root")
     linked = classes.select(node, "least").join(roots, node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
     joined = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = store.put(linked.join(joined, "root").select(node, "component_id"), "named")
+    named = store.put(linked.join(joined, "root").select(node, "root", "component_id"), "named")
     return marked.join(named, node)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest id stays, one row if that id is repeated.
 
-    Rows without an id can't stand for a component: they stay only where no row of the component has an id.
+    Rows without an id can't stand for a component: only where no row of the component has an id one of them stays, that with the
+    smallest text hash.
     """
-    found = similar_documents(docs, id_col, text_col, shingle, similarity)
     store = Store(docs.sparkSession, "kept")
-    kept = store.put(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("copies")), "ids")
-    repeated = kept.where(F.col(id_col).isNotNull() & (F.col("copies") > 1)).limit(1).count()
+    found = store.put(_similar(docs, id_col, text_col, shingle, similarity), "found")
+    kept = store.put(found.where("id = component_id").groupBy(F.col("id").alias(id_col)).agg(F.count("*").alias("copies")), "ids")
+    repeated = kept.where("copies > 1").limit(1).count()
     # the same join at every size: what is kept grows with the documents
-    out = docs.alias("d").join(kept.hint("merge").alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"k.{id_col}")), "left_semi")
-    return out if not repeated else out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+    out = docs.alias("d").join(kept.hint("merge").alias("k"), F.col(f"d.{id_col}") == F.col(f"k.{id_col}"), "left_semi")
+    if repeated:
+        out = out.dropDuplicates([id_col])
+    alone = found.where("component_id is null").groupBy("root").agg(F.min("th").alias("th")).select("th").alias("k")
+    without = docs.where(F.col(id_col).isNull()).alias("d").join(alone, F.xxhash64(F.col(f"d.{text_col}")) == F.col("k.th"), "left_semi")
+    return out.unionByName(without.dropDuplicates([text_col]))
