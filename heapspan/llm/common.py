@@ -34,8 +34,10 @@ class Store:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
@@ -44,6 +46,14 @@ class Store:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.discard(name)
+
+    def only(self, df: DataFrame) -> DataFrame:
+        """df as a table, the only one left of this store."""
+        out = self.put(df, "result")
+        for name in sorted(self.names - {"result"}):
+            self.drop(name)
+        return out
 
 
 def partitions(spark: SparkSession) -> int:

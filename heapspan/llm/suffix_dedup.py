@@ -6,16 +6,21 @@ A run of window starts with one smallest hash forms a phrase, whose text reaches
 next phrase's. The dictionary is the set of distinct phrases with counts, the parse is their order
 in each document:
 
-1. Documents are packed into blocks (Arrow, zstd) in the shared folder. Each block sends its distinct (trigger,
-   phrase) pairs, with a flag for repeats inside the block, to the dictionary, which is dealt out by trigger hash.
-2. A dictionary part sorts its pairs and answers two bits for each: does the phrase occur again, is it to be compared?
-   All windows of a phrase that occurs again are repeats; a phrase whose trigger is unique has none.
-3. Only where the same trigger stands in different phrases (the ends of copied passages), the suffixes of each
-   distinct phrase, cut at `width` bytes, are sent, sorted and counted the same way.
-
-Equal suffix prefixes are all that the result needs, so parts are sorted by 96- to 128-bit hashes and not by bytes: a
-full suffix array would need a row for each byte of the corpus. A hot phrase costs one entry a block, whatever
-its count. Nothing is collected; a block has at most `block_bytes` bytes of text or one document.
+1. Documents are packed into blocks (Arrow, zstd) in the shared folder, each with its parse. A block sends its distinct (trigger,
+   phrase) pairs, with a flag for repeats inside the block, to the dictionary, which is dealt out by trigger.
+2. A dictionary part answers for each pair: does the phrase occur again, is it to be compared? All windows of a phrase that occurs
+   again are repeats; a phrase whose trigger is unique has none. Phrases are told apart by 128 bits (trigger and XXH3 of the text).
+3. Where one trigger stands in different phrases (the ends of copied passages), one copy of each of them is sent as text. Each
+   dictionary part builds the suffix array of its phrases, by prefix doubling on the bytes up to `width`, so it compares bytes and
+   no hashes: suffixes of one rank are equal windows.
+
+A phrase overlaps the next by all but one byte of a window, so no compared string runs past its phrase. Of the parse's order the result
+therefore needs only how often each phrase stands in it; where two windows are in corpus order is decided inside the dictionary.
+
+A trigger with more than HOT different phrases (a passage copied into a large part of all texts has as many as copies at either
+end) would be one task's: windows of such phrases are dealt out one by one, by 96 bits of their own hash (XXH3), and compared by that.
+Parts grow in number with the bytes of text and are worked off in chunks of CHUNK bytes, so memory doesn't grow. A hot phrase costs one
+entry a block, whatever its count. Nothing is collected; a block has at most `block_bytes` bytes of text or one document.
 
 Cases: null text is empty; texts under `width` bytes and empty tables give no removal; repeated rows remove each
 other; null ids pass through; extra columns are carried only by emit="documents".
@@ -31,15 +36,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # makes pa.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Store, mix64, partitions, texts, trim
+from .common import Store, mix64, pack, partitions, texts, trim, unpack
 
 GRAM = 64
 SEGMENT = 1 << 20
 BLOCK_BYTES = 1 << 20
+PART_BYTES = 16 << 20
+HOT, CHUNK = 4096, 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -56,20 +64,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-class Rolling:
-    """Hashes of any substring of a byte string from prefix sums."""
-
-    def __init__(self, data: np.ndarray) -> None:
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=self.sums[1:])
-        self.undo = _powers(_INVERSE, len(data) + 1)
-
-    def raw(self, size: int) -> np.ndarray:
-        """Unscrambled hashes of all substrings of one size."""
-        return (self.sums[size:] - self.sums[:-size]) * self.undo[: len(self.sums) - size]
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.undo[start] + (end - start).astype(np.uint64))
+def rolling(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all substrings of one size, from prefix sums. They only place triggers: two strings of one hash cost a comparison."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
+    return (sums[size:] - sums[:-size]) * _powers(_INVERSE, len(data) + 1)[: len(sums) - size]
 
 
 def _slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -81,11 +80,10 @@ def _slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return x if size == width else op(x[: len(x) - width + size], x[width - size :])
 
 
-def _segment(data: np.ndarray, width: int, gram: int) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The rolling hash, and of each phrase the trigger's hash, the first and the last window start, and whether it holds
-    its trigger twice, without which none of its windows can equal another."""
-    rolling, run = Rolling(data), width - gram + 1
-    grams = rolling.raw(gram)
+def _segment(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each phrase the trigger's hash, the first and the last window start, and whether it holds its trigger twice, without
+    which none of its windows can equal another."""
+    run, grams = width - gram + 1, rolling(data, gram)
     high = (grams >> np.uint64(32)).astype(np.uint32)
     least = _slide(high, run, np.minimum)
     changed = np.ones(len(least), dtype=bool)
@@ -101,60 +99,22 @@ def _segment(data: np.ndarray, width: int, gram: int) -> tuple[Rolling, np.ndarr
         k[off] += 1
     nearby = np.minimum(k + 1, len(places) - 1)
     twice = (nearby > k) & (value[nearby] == least[first]) & (places[nearby] < last + run)
-    return rolling, mix64(grams[places[k]]), first, last, twice
+    return mix64(grams[places[k]]), first, last, twice
 
 
 class Parse:
-    """Phrases of one text: window starts first..last (both included), trigger hash, hash of the whole phrase."""
+    """Phrases of one text: window starts first..last (both included), trigger hash, hash of the whole phrase, whether it holds its
+    trigger twice."""
 
     def __init__(self, data: bytes, width: int, gram: int) -> None:
         array, parts = np.frombuffer(data, dtype=np.uint8), []
-        self.segments: list[tuple[int, Rolling]] = []
         for at in range(0, len(array) - width + 1, SEGMENT):
-            rolling, trigger, first, last, twice = _segment(array[at : at + SEGMENT + width - 1], width, gram)
-            parts.append((trigger, rolling(first, last + width), first + at, last + at, twice, np.full(len(first), len(self.segments))))
-            self.segments.append((at, rolling))
-        empty = [np.zeros(0, dtype=d) for d in (np.uint64, np.uint64, np.int64, np.int64, bool, np.int64)]
-        self.trigger, self.whole, self.first, self.last, self.twice, self.segment = (np.concatenate(x) for x in zip(*parts)) if parts else empty
-        self.width = width
-
-    def windows(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, hash and trigger hash of every window of these phrases."""
-        sizes = (self.last - self.first + 1)[phrases]
-        start = np.repeat(self.first[phrases] - np.r_[0, np.cumsum(sizes)[:-1]] if len(phrases) else sizes, sizes) + np.arange(sizes.sum())
-        of = np.repeat(phrases, sizes)
-        hashes = np.empty(len(start), dtype=np.uint64)
-        for n, (at, rolling) in enumerate(self.segments):
-            here = np.flatnonzero(self.segment[of] == n)
-            hashes[here] = rolling(start[here] - at, start[here] - at + self.width)
-        return start, hashes, self.trigger[of]
-
-
-def _pack(batch: pa.RecordBatch) -> bytes:
-    out = io.BytesIO()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return out.getvalue()
-
-
-def _unpack(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
-
-
-def _blocks(text_col: str, block_bytes: int):
-    """Rows (block, data): runs of documents, packed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(text_col)
-            ends = np.cumsum(np.fromiter((0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()), dtype=np.int64, count=batch.num_rows))
-            at = 0
-            while at < batch.num_rows:
-                past = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block_bytes, side="right")))
-                yield pa.RecordBatch.from_pydict({"block": [uuid.uuid4().hex], "data": [_pack(batch.slice(at, past - at))]})
-                at = past
-
-    return run
+            trigger, first, last, twice = _segment(array[at : at + SEGMENT + width - 1], width, gram)
+            parts.append((trigger, first + at, last + at, twice))
+        empty = [np.zeros(0, dtype=d) for d in (np.uint64, np.int64, np.int64, bool)]
+        self.trigger, self.first, self.last, self.twice = (np.concatenate(x) for x in zip(*parts)) if parts else empty
+        digest = xxhash.xxh3_64_intdigest
+        self.whole = np.fromiter((digest(data[a : b + width]) for a, b in zip(self.first.tolist(), self.last.tolist())), dtype=np.uint64, count=len(self.first))
 
 
 def _distinct(keys: np.ndarray, extra: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
@@ -172,85 +132,190 @@ def _distinct(keys: np.ndarray, extra: np.ndarray, parts: int) -> tuple[np.ndarr
     return k, e, np.bincount(place, minlength=len(k)) > 1, [(int(part[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:])], place
 
 
-ASK = T.StructType([T.StructField("part", T.LongType()), T.StructField("block", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("extra", T.BinaryType()), T.StructField("again", T.BinaryType())])
-TELL = T.StructType([T.StructField("block", T.StringType()), T.StructField("part", T.LongType()), T.StructField("pair", T.BinaryType()), T.StructField("send", T.BinaryType())])
+ASKED = "block string, part long, key binary, extra binary, again binary, data binary, parse binary"
+TOLD = "block string, part long, flags binary"
+SENT = "block string, part long, key binary, extra binary, again binary, sizes binary, texts binary"
+_asked, _told, _sent = (pa.schema([(c, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in ddl.split(", "))]) for ddl in (ASKED, TOLD, SENT))
+
 
+def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: [r.get(c) for r in rows] for c in schema.names}, schema=schema)
 
-def _ask(block: str, keys: np.ndarray, extra: np.ndarray, parts: int) -> pa.RecordBatch:
-    key, more, again, cuts, _ = _distinct(keys, extra, parts)
-    rows = {"part": [p for p, _, _ in cuts], "block": [block] * len(cuts), "key": [key[a:b].tobytes() for _, a, b in cuts], "extra": [more[a:b].tobytes() for _, a, b in cuts], "again": [again[a:b].tobytes() for _, a, b in cuts]}
-    return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.int64()), ("block", pa.string()), ("key", pa.binary()), ("extra", pa.binary()), ("again", pa.binary())]))
 
+def _groups(batches: Iterator[pa.RecordBatch], text_col: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Runs of documents of about block_bytes of text."""
+    for batch in batches:
+        column = batch.column(text_col)
+        ends = np.cumsum(np.fromiter((0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()), dtype=np.int64, count=batch.num_rows))
+        at = 0
+        while at < batch.num_rows:
+            past = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block_bytes, side="right")))
+            yield batch.slice(at, past - at)
+            at = past
 
-def _answer(width: int):
-    """For one part of the dictionary: for every pair that was sent, whether it occurs again, and whether it stands for its
-    pair in a key that has several. width: bytes of an extra."""
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue()
+
+
+def _parsed(batch: pa.RecordBatch, text_col: str, width: int, gram: int, parts: int) -> list[dict]:
+    """Rows of ASKED of one block: its documents with their parse, and its distinct pairs by dictionary part."""
+    block, parses = uuid.uuid4().hex, [Parse(x, width, gram) for x in texts(batch.column(text_col))]
+    trigger, whole, first, last, twice = (np.concatenate([getattr(p, c) for p in parses]) for c in ("trigger", "whole", "first", "last", "twice"))
+    key, extra, again, cuts, place = _distinct(trigger, whole, parts)
+    kept = {"phrases": [[len(p.first) for p in parses]], "first": [first.astype(np.int32)], "sizes": [(last - first + 1).astype(np.int32)], "twice": [twice], "place": [place.astype(np.int32)], "part": [[p for p, _, _ in cuts]], "to": [[b for _, _, b in cuts]]}
+    rows = [{"block": block, "data": _packed(batch), "parse": pack(kept)}]
+    return rows + [{"block": block, "part": p, "key": key[a:b].tobytes(), "extra": extra[a:b].tobytes(), "again": again[a:b].tobytes()} for p, a, b in cuts]
+
+
+class Block:
+    """A block's parse with what the dictionary told of it."""
+
+    def __init__(self, parse: bytes, width: int) -> None:
+        table = unpack(parse)
+        held = {c: table[c].combine_chunks().values.to_numpy(zero_copy_only=False) for c in table.column_names}
+        self.width, self.first, self.sizes, self.twice, self.place = width, held["first"].astype(np.int64), held["sizes"].astype(np.int64), held["twice"].astype(bool), held["place"].astype(np.int64)
+        self.past, self.part, self.to = np.r_[0, np.cumsum(held["phrases"])].astype(np.int64), held["part"].astype(np.int64), held["to"].astype(np.int64)
+
+    def learn(self, part: list[int], flags: list[bytes]) -> None:
+        """Which phrases occur again; which are sent as text, in the order of their parts, and which as hashes of their windows."""
+        got = dict(zip(part, flags))
+        told = np.concatenate([np.frombuffer(got[p], dtype=np.uint8) for p in self.part.tolist()]) if len(self.part) else np.zeros(0, dtype=np.uint8)
+        told = told[self.place] if len(told) else np.zeros(len(self.place), dtype=np.uint8)
+        self.again, hot = (told & 1) > 0, (told & 4) > 0
+        wanted, self.bucket = (told & 2) > 0, told >> 3
+        _, one = np.unique(self.place, return_index=True)
+        rep = np.zeros(len(self.place), dtype=bool)
+        rep[one] = True  # of equal phrases of the block the first is sent
+        send = wanted & rep | self.twice & ~self.again
+        self.dealt = self.part[np.searchsorted(self.to, self.place, side="right")] if len(self.part) else self.place
+        self.whole = np.flatnonzero(send & ~hot)
+        self.whole = self.whole[np.argsort(self.dealt[self.whole], kind="stable")]
+        self.single = np.flatnonzero(send & hot)
+
+    def text_of(self, raw: list[bytes], phrases: np.ndarray) -> list[bytes]:
+        doc = np.searchsorted(self.past, phrases, side="right") - 1
+        return [raw[d][a : a + n + self.width - 1] for d, a, n in zip(doc.tolist(), self.first[phrases].tolist(), self.sizes[phrases].tolist())]
+
+    def windows(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The document and the start of each window of these phrases, in order."""
+        sizes = self.sizes[phrases]
+        start = np.repeat(self.first[phrases] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.repeat(np.searchsorted(self.past, phrases, side="right") - 1, sizes), start
+
+    def hashes(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of each window of the phrases that are sent so."""
+        doc, start = self.windows(self.single)
+        cut = [raw[d][a : a + self.width] for d, a in zip(doc.tolist(), start.tolist())]
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, cut), dtype=np.uint64, count=len(cut)), np.fromiter((xxhash.xxh3_64_intdigest(x, 7) & 0xFFFFFFFF for x in cut), dtype=np.uint64, count=len(cut))
+
+
+def _array(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def _pairs(part: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair that was sent: whether it occurs again, whether it stands for its pair, its key's number of pairs; and where rows end."""
+    key, extra, again = _array(part["key"], np.uint64), _array(part["extra"], kind).astype(np.uint64), _array(part["again"], bool)
+    order = np.lexsort((extra, key))
+    k, e, twice = key[order], extra[order], again[order]
+    new_key = np.r_[True, k[1:] != k[:-1]]
+    new_pair = new_key | np.r_[True, e[1:] != e[:-1]]
+    group, kin = np.cumsum(new_pair) - 1, np.cumsum(new_key) - 1
+    out = [np.empty(len(key), dtype=t) for t in (bool, bool, np.int64)]
+    for to, value in zip(out, (((np.bincount(group) > 1) | (np.bincount(group, weights=twice) > 0))[group], new_pair, np.bincount(kin, weights=new_pair).astype(np.int64)[kin])):
+        to[order] = value
+    return *out, np.cumsum([len(x) // 8 for x in part["key"].to_pylist()])
+
+
+def _answers(part: pa.Table, flags: list[bytes]) -> pa.Table:
+    return pa.table({"block": part["block"], "part": part["part"], "flags": pa.array(flags, pa.binary())}, schema=_told)
+
+
+def answer_pairs(hot: int):
+    """For one part of the dictionary, a byte for every pair: 1 if the phrase occurs again, 2 if it is to be sent (the first of its pair, where
+    the trigger has several), 4 if the trigger has more than `hot`, and above these bits the trigger's bucket of 32."""
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        key = np.frombuffer(b"".join(part["key"].to_pylist()), dtype=np.uint64)
-        extra = np.frombuffer(b"".join(part["extra"].to_pylist()), dtype=f"u{width}").astype(np.uint64)
-        again = np.frombuffer(b"".join(part["again"].to_pylist()), dtype=bool)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        same = np.zeros(len(k) + 1, dtype=bool)
-        np.equal(k[1:], k[:-1], out=same[1:-1])
-        tied = np.flatnonzero(same[1:] | same[:-1])
-        order[tied] = order[tied][np.lexsort((extra[order[tied]], k[tied]))]
-        k, e, twice = key[order], extra[order], again[order]
-        new_key = np.r_[True, k[1:] != k[:-1]]
-        new_pair = new_key | np.r_[True, e[1:] != e[:-1]]
-        group, kin = np.cumsum(new_pair) - 1, np.cumsum(new_key) - 1
-        again, send = np.empty(len(key), dtype=bool), np.empty(len(key), dtype=bool)
-        again[order] = ((np.bincount(group) > 1) | (np.bincount(group, weights=twice) > 0))[group]
-        send[order] = new_pair & (np.bincount(kin, weights=new_pair) > 1)[kin]
-        answers = (again, send)
-        ends = np.cumsum([len(x) // 8 for x in part["key"].to_pylist()])
-        starts = np.r_[0, ends[:-1]]
-        return pa.table({"block": part["block"], "part": part["part"], "pair": [np.packbits(answers[0][a:b]).tobytes() for a, b in zip(starts, ends)], "send": [np.packbits(answers[1][a:b]).tobytes() for a, b in zip(starts, ends)]}, schema=pa.schema([("block", pa.string()), ("part", pa.int64()), ("pair", pa.binary()), ("send", pa.binary())]))
+        again, new, many, ends = _pairs(part, np.uint64)
+        bucket = (mix64(_array(part["key"], np.uint64)) & np.uint64(31)).astype(np.uint8)
+        flags = (again * 1 + (new & (many > 1)) * 2 + (many > hot) * 4).astype(np.uint8) | bucket << 3
+        return _answers(part, [flags[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends)])
 
     return run
 
 
-def _told(told: pa.Table, keys: np.ndarray, extra: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The answers for each of the block's pairs, in the block's order."""
-    if not len(keys):
-        return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
-    _, _, _, cuts, place = _distinct(keys, extra, parts)
-    got = {p: (a, b) for p, a, b in zip(told["part"].to_pylist(), told["pair"].to_pylist(), told["send"].to_pylist())}
-    flags = [np.concatenate([np.unpackbits(np.frombuffer(got[p][n], dtype=np.uint8), count=b - a) for p, a, b in cuts]).astype(bool) for n in (0, 1)]
-    return flags[0][place], flags[1][place]
+def answer_hashes(part: pa.Table) -> pa.Table:
+    """A byte for every window that was sent as hashes: 1 if it occurs again."""
+    again, _, _, ends = _pairs(part, "u4")
+    return _answers(part, [again[a:b].astype(np.uint8).tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends)])
 
 
-def _parses(table: pa.Table, text_col: str, width: int, gram: int) -> tuple[list[bytes], list[Parse], np.ndarray]:
-    data = texts(table[text_col])
-    parses = [Parse(x, width, gram) for x in data]
-    return data, parses, np.r_[0, np.cumsum([len(p.first) for p in parses])]
+def ranks(text: np.ndarray, width: int) -> np.ndarray:
+    """The rank of every position of text among all by its next `width` bytes (zeros past the end): a suffix array up to that depth, by
+    prefix doubling. Equal ranks are equal bytes."""
+    n, size = len(text), min(8, width)
+    padded = np.r_[text, np.zeros(width + size, dtype=np.uint8)]
+    word = np.zeros(n + width, dtype=np.uint64)
+    for k in range(size):
+        word = (word << np.uint64(8)) | padded[k : k + n + width]
+    rank = np.unique(word, return_inverse=True)[1].astype(np.uint64)
+    while size < width:
+        step = min(size, width - size)
+        far = np.r_[rank[step:], np.full(step, rank[-1], dtype=np.uint64)]
+        rank = np.unique((rank << np.uint64(32)) | far, return_inverse=True)[1].astype(np.uint64)
+        size += step
+    return rank[:n]
 
 
-def _join(parses: list[Parse], name: str) -> np.ndarray:
-    return np.concatenate([getattr(p, name) for p in parses]) if parses else np.zeros(0, dtype=np.uint64)
+def repeats(phrases: list[bytes], width: int) -> np.ndarray:
+    """Whether each window of the phrases, in order, equals another."""
+    text = np.frombuffer(b"".join(phrases), dtype=np.uint8)
+    ends = np.cumsum([len(p) for p in phrases])
+    sizes = np.array([len(p) - width + 1 for p in phrases])
+    start = np.repeat(ends - sizes - width + 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    own = ranks(text, width)[start]
+    return (np.bincount(own.astype(np.int64)) > 1)[own.astype(np.int64)]
 
 
-def _edges(told: pa.Table, parses: list[Parse], ends: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Whether each phrase occurs again; of each text the windows of the phrases whose suffixes are to be compared."""
-    again, send = _told(told, _join(parses, "trigger"), _join(parses, "whole"), parts)
-    return again, [p.windows(np.flatnonzero(send[a:b] | p.twice)) for p, a, b in zip(parses, ends[:-1], ends[1:])]
+def answer_texts(width: int, chunk: int):
+    """For the phrases that were sent to one part: a byte for every window, 1 if it equals another."""
 
+    def run(part: pa.Table) -> pa.Table:
+        key, sizes, texts_ = _array(part["key"], np.uint8), _array(part["sizes"], np.int32).astype(np.int64), b"".join(part["texts"].to_pylist())
+        to = np.cumsum(sizes)
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        past = np.r_[0, np.cumsum(sizes[order])]
+        flags: list = [b""] * len(key)
+        at = 0
+        while at < len(new):  # as many buckets at once as a chunk holds, one at least
+            end = max(at + 1, int(np.searchsorted(past[new], past[new[at]] + chunk)))
+            some = order[new[at] : new[end] if end < len(new) else len(order)].tolist()
+            found, begin = repeats([texts_[to[i] - sizes[i] : to[i]] for i in some], width).astype(np.uint8), 0
+            for i in some:
+                n = int(sizes[i]) - width + 1
+                flags[i] = found[begin : begin + n].tobytes()
+                begin += n
+            at = end
+        ends = np.cumsum([len(x) for x in part["key"].to_pylist()])
+        return _answers(part, [b"".join(flags[a:b]) for a, b in zip(np.r_[0, ends[:-1]], ends)])
 
-def _low(trigger: np.ndarray) -> np.ndarray:
-    return (trigger >> np.uint64(32)).astype(np.uint32)
+    return run
 
 
-def spans(size: int, parse: Parse, again: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal removed runs [from, to) for phrases that occur again and single window starts."""
+def spans(size: int, first: np.ndarray, past: np.ndarray, starts: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Maximal removed runs [from, to) for whole runs [first, past) and single window starts."""
     if not size:
         return []
     depth = np.zeros(size + 1, dtype=np.int32)
-    np.add.at(depth, parse.first[again], 1)
-    np.add.at(depth, parse.last[again] + parse.width, -1)
+    np.add.at(depth, first, 1)
+    np.add.at(depth, past, -1)
     np.add.at(depth, starts, 1)
-    np.add.at(depth, starts + parse.width, -1)
+    np.add.at(depth, starts + width, -1)
     change = np.flatnonzero(np.diff(np.r_[0, np.cumsum(depth)[:-1] > 0, 0]))
     return list(zip(change[::2].tolist(), change[1::2].tolist()))
 
@@ -258,49 +323,66 @@ def spans(size: int, parse: Parse, again: np.ndarray, starts: np.ndarray) -> lis
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:long,end:long>>"
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, emit: str = "digest", gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, emit: str = "digest", gram: int = GRAM, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """Every byte under a `width`-byte string that also starts elsewhere is removed.
 
     emit="digest": id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans. emit="documents": the rows of
     docs, all columns, with what is left as text (characters that a cut breaks go) and null texts kept null.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = docs.sparkSession
-    store, parts = Store(spark, "repeats"), partitions(spark)
+    store, gram = Store(spark, "repeats"), min(gram, width)
     rows = docs.select(id_col, text_col) if emit == "digest" else docs
-    blocks = store.put(rows.mapInArrow(_blocks(text_col, block_bytes), "block string, data binary"), "blocks")
-    gram = min(gram, width)
-
-    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-                _, parses, _ = _parses(_unpack(data), text_col, width, gram)
-                yield _ask(block, _join(parses, "trigger"), _join(parses, "whole"), parts)
+    parts = max(partitions(spark), (rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // part_bytes)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, text_col, block_bytes):
+            yield _rows(_asked, _parsed(batch, text_col, width, gram, parts))
         trim()
 
-    def suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for block, data in zip(left["block"].to_pylist(), left["data"].to_pylist()):
-            _, parses, ends = _parses(_unpack(data), text_col, width, gram)
-            _, windows = _edges(right, parses, ends, parts)
-            out.append(_ask(block, np.concatenate([w[1] for w in windows]), _low(np.concatenate([w[2] for w in windows])), parts))
-        return pa.Table.from_batches(out, schema=pa.schema([("part", pa.int64()), ("block", pa.string()), ("key", pa.binary()), ("extra", pa.binary()), ("again", pa.binary())]))
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[dict] = []
+        for block, data, parse in zip(*(left[c].to_pylist() for c in ("block", "data", "parse"))):
+            held, raw = Block(parse, width), texts(unpack(data)[text_col])
+            held.learn(right["part"].to_pylist(), right["flags"].to_pylist())
+            cuts = np.flatnonzero(np.diff(held.dealt[held.whole], prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                some = held.whole[a:b]
+                found = held.text_of(raw, some)
+                out.append({"block": block, "part": int(held.dealt[some[0]]), "key": held.bucket[some].tobytes(), "sizes": np.array([len(x) for x in found], dtype=np.int32).tobytes(), "texts": b"".join(found)})
+            if len(held.single):
+                key, extra, again, dealt, _ = _distinct(*held.hashes(raw), parts)
+                out += [{"block": block, "part": p, "key": key[a:b].tobytes(), "extra": extra[a:b].astype(np.uint32).tobytes(), "again": again[a:b].tobytes()} for p, a, b in dealt]
+        return pa.Table.from_batches([_rows(_sent, out)])
 
     schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string(DIGEST).fields]) if emit == "digest" else docs.schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     target = to_arrow_schema(schema)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        one = right.filter(pa.compute.equal(right["level"], 1))
-        two = right.filter(pa.compute.equal(right["level"], 2))
-        for data in left["data"].to_pylist():
-            table = _unpack(data)
-            raw, parses, ends = _parses(table, text_col, width, gram)
-            again, windows = _edges(one, parses, ends, parts)
-            hit, _ = _told(two, np.concatenate([w[1] for w in windows]), _low(np.concatenate([w[2] for w in windows])), parts)
-            past = np.r_[0, np.cumsum([len(w[0]) for w in windows])]
-            found = [spans(len(x), p, again[ends[i] : ends[i + 1]], w[0][hit[past[i] : past[i + 1]]]) for i, (x, p, w) in enumerate(zip(raw, parses, windows))]
+        out, level = [], np.array(right["level"].to_pylist(), dtype=np.int64)
+        told = [dict(zip(*(right.filter(pa.array(level == k))[c].to_pylist() for c in ("part", "flags")))) for k in range(3)]
+        for data, parse in zip(left["data"].to_pylist(), left["parse"].to_pylist()):
+            table, held = unpack(data), Block(parse, width)
+            raw = texts(table[text_col])
+            held.learn(list(told[0]), list(told[0].values()))
+            doc, start = held.windows(held.whole)
+            hit = np.concatenate([np.frombuffer(told[1][p], dtype=np.uint8) for p in dict.fromkeys(held.dealt[held.whole].tolist())] or [np.zeros(0, dtype=np.uint8)]) > 0
+            if len(held.single):
+                key, extra = held.hashes(raw)
+                _, _, _, dealt, place = _distinct(key, extra, parts)
+                also = np.concatenate([np.frombuffer(told[2][p], dtype=np.uint8) for p, _, _ in dealt])[place] > 0
+                doc_, start_ = held.windows(held.single)
+                doc, start, hit = np.r_[doc, doc_], np.r_[start, start_], np.r_[hit, also]
+            doc, start = doc[hit], start[hit]
+            order = np.argsort(doc, kind="stable")
+            doc, start = doc[order], start[order]
+            at = np.searchsorted(doc, np.arange(len(raw) + 1))
+            found = []
+            for i, x in enumerate(raw):
+                own = slice(held.past[i], held.past[i + 1])
+                gone = held.again[own]
+                found.append(spans(len(x), held.first[own][gone], (held.first[own] + held.sizes[own])[gone] + width - 1, start[at[i] : at[i + 1]], width))
             kept = [b"".join(x[a:b] for a, b in zip([0, *(e for _, e in s)], [*(b for b, _ in s), len(x)])) for x, s in zip(raw, found)]
             if emit == "digest":
                 values = [table[id_col], [len(x) for x in raw], [len(x) - len(y) for x, y in zip(raw, kept)], [len(s) for s in found], [hashlib.sha256(y).hexdigest() for y in kept], [[{"begin": a, "end": b} for a, b in s] for s in found]]
@@ -311,8 +393,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         trim()
         return pa.concat_tables(out) if out else target.empty_table()
 
-    first = store.put(blocks.mapInArrow(phrases, ASK).groupBy("part").applyInArrow(_answer(8), TELL), "phrases")
-    ask = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(suffixes, ASK)
-    second = ask.groupBy("part").applyInArrow(_answer(4), TELL)
-    both = first.withColumn("level", F.lit(1)).unionByName(second.withColumn("level", F.lit(2)))
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, schema)
+    asked = store.put(rows.mapInArrow(parse, ASKED), "asked")
+    blocks = asked.where("part is null").select("block", "data", "parse")
+    told = store.put(asked.where("part is not null").select("block", "part", "key", "extra", "again").groupBy("part").applyInArrow(answer_pairs(hot), TOLD), "told")
+    sent = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, SENT)
+    sent = store.put(sent, "sent")
+    by_text = sent.where("texts is not null").select("block", "part", "key", "sizes", "texts").groupBy("part").applyInArrow(answer_texts(width, chunk), TOLD)
+    by_hash = sent.where("texts is null").select("block", "part", "key", "extra", "again").groupBy("part").applyInArrow(answer_hashes, TOLD)
+    all_ = told.withColumn("level", F.lit(0)).unionByName(by_text.withColumn("level", F.lit(1))).unionByName(by_hash.withColumn("level", F.lit(2)))
+    out = blocks.groupBy("block").cogroup(all_.groupBy("block")).applyInArrow(cut, schema)
+    return store.only(out) if emit == "digest" else out

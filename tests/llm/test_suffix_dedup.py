@@ -2,9 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from heapspan.llm.suffix_dedup import repeated_spans
+from heapspan.llm.suffix_dedup import ranks, repeated_spans
 
 
 def brute(texts, width):
@@ -32,11 +33,11 @@ def texts(seed):
     return out + [prose(r.randint(1, 300)) for _ in range(10)]
 
 
-@pytest.mark.parametrize(("seed", "width"), [(1, 200), (2, 200), (3, 40)])
-def test_brute_force(spark, seed, width):
+@pytest.mark.parametrize(("seed", "width", "options"), [(1, 200, {}), (2, 200, {"hot": 2, "part_bytes": 2000}), (3, 40, {"chunk": 500}), (4, 40, {"hot": 3})])
+def test_brute_force(spark, seed, width, options):
     rows = texts(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)], "doc_id long, text string, n_removed int").repartition(3)
-    got = {r.doc_id: r for r in repeated_spans(df, width=width, block_bytes=3000).collect()}
+    got = {r.doc_id: r for r in repeated_spans(df, width=width, block_bytes=3000, **options).collect()}
     for i, (t, (removed, runs, digest)) in enumerate(zip(rows, brute(rows, width))):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len((t or "").encode()), removed, runs, digest), i
         assert sum(s.end - s.begin for s in got[i].spans) == removed
@@ -57,3 +58,26 @@ def test_documents_and_empty(spark):
     out = {r.doc_id: r for r in repeated_spans(df, emit="documents").collect()}
     assert out[2].text == "" and out[None].text == "" and out[3].text is None and out[4] == (4, "kept", "en")
     assert repeated_spans(df.limit(0)).collect() == []
+
+
+def test_structured_strings_are_told_apart(spark):
+    """Thue-Morse strings and their complements, which collide under polynomial hashes modulo a power of two."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    one, two = word[:2048], word[:2048].translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(0, one), (1, two)], "doc_id long, text string")
+    for width in (200, 1500):
+        got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_spans(df, width=width).collect()}
+        assert [got[0], got[1]] == brute([one, two], width)
+
+
+def test_ranks_are_a_suffix_array():
+    r = random.Random(6)
+    text = bytes(r.choice(b"ab") for _ in range(400)) * 2 + b"abc" * 60
+    for width in (5, 8, 40, 200):
+        got = ranks(np.frombuffer(text, dtype=np.uint8), width)
+        cut = [text[i : i + width].ljust(width, b"\0") for i in range(len(text))]
+        order = {x: n for n, x in enumerate(sorted(set(cut)))}
+        whole = [i for i in range(len(text) - width + 1)]
+        assert all((got[i] < got[j]) == (order[cut[i]] < order[cut[j]]) and (got[i] == got[j]) == (cut[i] == cut[j]) for i in whole[::7] for j in whole[::11])
