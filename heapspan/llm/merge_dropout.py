@@ -1,11 +1,10 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and its decoding.
 
 Symbols start as characters; the agenda always holds every pair of neighbours whose concatenation is a piece, best
-score first, then leftmost. A candidate is known by its pre-token, the character at which it starts and the piece it would make;
-a keyed hash of these, of the seed and of the document's variant decides whether it is skipped, for good. So a
-seed gives the same segmentation on every machine and in every run, another seed or variant another one, and dropout 0 the
-library's. Documents fall into `variants` by a keyed hash of their text, so that tasks encode each (variant,
-pre-token) once. Characters that are no piece become their UTF-8 bytes; so does U+2581, which would decode as a space. Hence
+score first, then leftmost. A candidate is known by its document (a keyed hash of the text), its pre-token, the character at which it
+starts and the piece it would make; a keyed hash of these and of the seed decides whether it is skipped, for good. So a
+seed gives the same segmentation on every machine and in every run, another seed or document another one, and dropout 0 the
+library's. Inside a document equal pre-tokens are cut alike, across documents each time anew. Characters that are no piece become their UTF-8 bytes; so does U+2581, which would decode as a space. Hence
 decoding returns every text exactly.
 
 Short pre-tokens are encoded many at a time: one merge in each at every step. Long ones have an agenda (a heap) each.
@@ -30,7 +29,6 @@ from .common import mix64, trim
 from .pieces import SPACE, default_model, exact_pre_tokens, load, model_bytes
 
 SHORT = 32
-KNOWN = 200_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -83,8 +81,8 @@ class Codec:
         """Of each character: the id of the piece that it is, or a number above all ids."""
         return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
-    def unit(self, variant: int, token: str) -> int:
-        return xxhash.xxh64_intdigest(token, int(self.key) ^ variant)
+    def unit(self, own: int, token: str) -> int:
+        return xxhash.xxh64_intdigest(token, int(self.key) ^ own)
 
     def skipped(self, unit: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
         return mix64(unit ^ mix64(start.astype(np.uint64) * np.uint64(1 << 32) + piece.astype(np.uint64) + self.key)) < self.below
@@ -95,9 +93,9 @@ class Codec:
             out += [s] if s < self.n else [self.byte_ids[b] for b in chr(s - self.n).encode("utf-8", "surrogatepass")]
         return out
 
-    def encode_long(self, variant: int, token: str) -> list[int]:
+    def encode_long(self, own: int, token: str) -> list[int]:
         """One pre-token with an agenda of its own."""
-        symbol, unit = self.symbols(token).tolist(), np.uint64(self.unit(variant, token))
+        symbol, unit = self.symbols(token).tolist(), np.uint64(self.unit(own, token))
         after, before = list(range(1, len(symbol))) + [-1], list(range(-1, len(symbol) - 1))
         agenda: list[tuple[int, int, int, int, int]] = []
 
@@ -130,13 +128,13 @@ class Codec:
         out |= self.skipped(unit, start, piece)
         return np.where(out, _NONE, self.rank[piece]), piece
 
-    def encode_short(self, variants: list[int], tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_short(self, owners: list[int], tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many short pre-tokens, one after another, and how many each has. One merge is made in each at every step."""
         n, sizes = len(tokens), np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         width = int(sizes.max()) + 1
         sym = np.full((n, width), -1, dtype=np.int32)
         sym[np.arange(width) < sizes[:, None]] = self.symbols("".join(tokens))
-        units = np.array([self.unit(v, t) for v, t in zip(variants, tokens)], dtype=np.uint64)
+        units = np.array([self.unit(v, t) for v, t in zip(owners, tokens)], dtype=np.uint64)
         start = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
         rank = np.full((n, width), _NONE, dtype=np.int32)
         piece = np.zeros((n, width), dtype=np.int32)
@@ -172,7 +170,7 @@ class Codec:
         return flat, sizes
 
     def encode(self, units: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all (variant, pre-token), and where each one's begin and how many they are."""
+        """Ids of all (document key, pre-token), and where each one's begin and how many they are."""
         at, size, parts, end = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64), [np.zeros(0, dtype=np.int32)], 0
         by_size: dict[int, list[int]] = {}
         for i, (v, t) in enumerate(units):
@@ -195,35 +193,25 @@ class Codec:
 
 
 class Encoder:
-    """Ids of documents; each (variant, pre-token) is encoded once while it is known."""
+    """Ids of documents. Each distinct pre-token of a document is encoded once, under the document's own key."""
 
-    def __init__(self, codec: Codec, variants: int, known: int = KNOWN) -> None:
-        self.codec, self.variants, self.known = codec, variants, known
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: list[dict[str, int]] = [{} for _ in range(self.variants)]
-        self.flat, self.at, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    def __init__(self, codec: Codec) -> None:
+        self.codec = codec
 
     def __call__(self, documents: list[str]) -> list[np.ndarray]:
-        if len(self.at) > self.known:
-            self.forget()
-        keyed = [(xxhash.xxh64_intdigest(d, int(self.codec.key)) % self.variants, exact_pre_tokens(d)) for d in documents]
-        new: list[set[str]] = [set() for _ in self.code]
-        for v, tokens in keyed:
-            new[v].update(tokens)
-        units = [(v, t) for v, some in enumerate(new) for t in some.difference(self.code[v])]
-        if units:
-            flat, at, size = self.codec.encode(units)
-            for n, (v, t) in enumerate(units, len(self.at)):
-                self.code[v][t] = n
-            self.at, self.size = np.concatenate([self.at, len(self.flat) + at]), np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, flat])
-        out = []
-        for v, tokens in keyed:
-            c = np.fromiter(map(self.code[v].__getitem__, tokens), dtype=np.int64, count=len(tokens))
-            out.append(_gather(self.flat, self.at[c], self.size[c]) if len(c) else np.zeros(0, dtype=np.int32))
-        return out
+        place: dict[str, int] = {}
+        units: list[tuple[int, str]] = []
+        coded: list[np.ndarray] = []
+        for d in documents:
+            if d not in place:
+                place[d] = len(coded)
+                tokens, own = exact_pre_tokens(d), xxhash.xxh64_intdigest(d, int(self.codec.key))
+                code = {t: n for n, t in enumerate(dict.fromkeys(tokens), len(units))}
+                units += [(own, t) for t in code]
+                coded.append(np.fromiter(map(code.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
+        flat, at, size = self.codec.encode(units)
+        ids = [_gather(flat, at[c], size[c]) if len(c) else np.zeros(0, dtype=np.int32) for c in coded]
+        return [ids[place[d]] for d in documents]
 
 
 def _slices(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
@@ -238,13 +226,13 @@ def _slices(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
         yield some
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = 0, dropout: float = 0.1, variants: int = 4, emit: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = 0, dropout: float = 0.1, emit: str = "ids") -> DataFrame:
     """emit="ids": id and the piece ids of each row. emit="digest": id, n_bytes, n_pieces, pieces_sha256 (of the ids as 32-bit
     little-endian integers), decoded_sha256 (of the text decoded from them) and lossless (whether it is the text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model or default_model()))  # half a megabyte, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Codec(shared.value, seed, dropout), variants)
+        encoder = Encoder(Codec(shared.value, seed, dropout))
         for batch in batches:
             at = 0
             for some in _slices([x or "" for x in batch.column(1).to_pylist()]):
