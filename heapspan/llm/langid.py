@@ -7,8 +7,8 @@ symbols. Texts are lower-cased; a run of characters other than letters is one sp
 table lookup moves each of them by a symbol; the few that are much longer than the rest end one by one.
 
 Sample: for each language and each of `slots` hash slots the training document with the smallest id hash, of those of up to an eighth of
-`chars` characters; of these, in hash order and each distinct text once, whole texts up to `chars` symbols. A language whose
-documents are all longer gives their beginnings. Every language is learned. Its alphabet is that of all samples; transitions are a
+`chars` characters where the slot has one; of these, in hash order and each distinct text once, whole texts up to `chars` symbols. Only
+where they are too few the beginnings of longer documents follow. Every language is learned. Its alphabet is that of all samples; transitions are a
 table of states and letters while all languages' tables together take up to DENSE bytes, and sorted pairs beyond.
 
 Cases: a null text or one without a letter is "und" with score 0, as is any text if nothing was learned; ties go to
@@ -213,10 +213,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     firsts = named.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min(F.struct("long", "h")).alias("m")).select("lang", "m.*")
     rows = named.join(F.broadcast(firsts), ["lang", "h", "long"]).groupBy("lang", "h", "long").agg(F.min(F.when(F.col("long"), F.substring("text", 1, most)).otherwise(F.col("text"))).alias("text")).collect()
     samples: dict[str, list[str]] = {}
-    short = {r.lang for r in rows if not r.long}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h % (1 << 64))):
-        if not r.long or r.lang not in short:
-            samples.setdefault(r.lang, []).append(r.text)
+    for r in sorted(rows, key=lambda r: (r.lang, r.long, r.h % (1 << 64))):
+        samples.setdefault(r.lang, []).append(r.text)
     return train(samples, chars)
 
 
