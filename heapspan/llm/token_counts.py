@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Store, pack, partitions, trim, unpack
 from .pieces import default_model, load, model_bytes, pre_tokens
 
-BLOCK_BYTES, PART_BYTES = 4 << 20, 64 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 64 << 20
 ASKED = "block string, part long, tokens binary, docs binary"
 
 
@@ -39,37 +39,50 @@ def count_pieces(sp: sentencepiece.SentencePieceProcessor, tokens: list[str]) ->
     return np.array(out, dtype=np.int32)
 
 
-def _small(values: list[int]) -> np.ndarray:
-    x = np.array(values, dtype=np.int64)
-    return x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x.astype(np.uint32) if x.max() < 1 << 32 else x
+def _small(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers that are mostly below 255 as bytes, the others beside them."""
+    return {"low": np.minimum(values, 255).astype(np.uint8), "high": values[values >= 255].astype(np.uint32)}
+
+
+def _large(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    out = low.astype(np.int64)
+    out[out == 255] = high
+    return out
 
 
 class Block:
     """Documents with their pre-token frequencies."""
 
     def __init__(self) -> None:
-        self.ids, self.bytes, self.held, self.size = [], [], [], 0
+        self.ids, self.bytes, self.code, self.size = [], [], {}, 0
+        self.held, self.many = [], []
 
     def add(self, own, n_bytes: int, text: str | None) -> None:
+        found, code = Counter(pre_tokens(text)) if text else {}, self.code
         self.ids.append(own)
         self.bytes.append(n_bytes)
-        self.held.append(Counter(pre_tokens(text)) if text else {})
+        self.held.append(np.array([code.setdefault(t, len(code)) for t in found], dtype=np.int64))
+        self.many.append(np.array(list(found.values()), dtype=np.int64))
         self.size += n_bytes
 
     def rows(self, parts: int, kind: pa.DataType) -> dict[str, list]:
         """Columns of ASKED: a row with the documents, and one for each part that has pre-tokens of the block."""
-        many: Counter = Counter()
-        for held in self.held:
-            many.update(held.keys())
-        tokens = [t for t, _ in many.most_common()]  # frequent ones first, so places are small numbers
-        place = {t: i for i, t in enumerate(tokens)}
+        # frequent ones first and each document's in order, so that the gaps between places are small numbers
+        order = np.argsort(-np.bincount(np.concatenate(self.held), minlength=len(self.code)), kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        known = list(self.code)
+        tokens = [known[i] for i in order.tolist()]
+        sort = [np.argsort(place[x]) for x in self.held]
+        gaps = _small(np.concatenate([np.diff(place[x][o], prepend=0) for x, o in zip(self.held, sort)]))
+        counts = _small(np.concatenate([x[o] for x, o in zip(self.many, sort)]))
         dealt = np.array([xxhash.xxh32_intdigest(t) % parts for t in tokens], dtype=np.int64)
-        docs = {"ids": pa.array([self.ids], pa.list_(kind)), "n_bytes": [self.bytes], "sizes": [[len(h) for h in self.held]]}
-        docs |= {"places": [_small([place[t] for h in self.held for t in h])], "counts": [_small([n for h in self.held for n in h.values()])], "dealt": [_small(dealt.tolist())]}
+        docs = {"ids": pa.array([self.ids], pa.list_(kind)), "n_bytes": [self.bytes], "sizes": [[len(x) for x in self.held]], "dealt": [dealt.astype(np.uint16 if parts < 1 << 16 else np.int64)]}
+        docs |= {f"{name}_{k}": [x] for name, packed in (("gaps", gaps), ("counts", counts)) for k, x in packed.items()}
         name = uuid.uuid4().hex
         out: dict[str, list] = {"block": [name], "part": [None], "tokens": [None], "docs": [pack(docs)]}
-        order = np.argsort(dealt, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(dealt[order])) + 1) if len(order) else []:
+        by_part = np.argsort(dealt, kind="stable")
+        for group in np.split(by_part, np.flatnonzero(np.diff(dealt[by_part])) + 1) if len(by_part) else []:
             for c, x in zip(out, (name, int(dealt[group[0]]), pack({"tokens": [[tokens[i] for i in group]]}), None)):
                 out[c].append(x)
         return out
@@ -114,14 +127,19 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = []
         for data in left["docs"].to_pylist():
             docs = unpack(data)
-            ids, n_bytes, sizes, places, counts, dealt = (docs[c].combine_chunks().values for c in ("ids", "n_bytes", "sizes", "places", "counts", "dealt"))
-            dealt, pieces = dealt.to_numpy(), np.zeros(len(dealt), dtype=np.int64)
+            held = {c: docs[c].combine_chunks().values for c in docs.column_names}
+            ids, n_bytes = held.pop("ids"), held.pop("n_bytes")
+            x = {c: v.to_numpy(zero_copy_only=False) for c, v in held.items()}
+            dealt, sizes, gaps, counts = x["dealt"].astype(np.int64), x["sizes"].astype(np.int64), _large(x["gaps_low"], x["gaps_high"]), _large(x["counts_low"], x["counts_high"])
+            ends = np.r_[0, np.cumsum(sizes)]
+            run = np.cumsum(gaps)  # each document's gaps begin anew
+            places = run - np.repeat(np.r_[0, run][ends[:-1]], sizes)
+            pieces = np.zeros(len(dealt), dtype=np.int64)
             order = np.argsort(dealt, kind="stable")
             for part, told in zip(right["part"].to_pylist(), right["pieces"].to_pylist()):
                 a, b = np.searchsorted(dealt[order], [part, part + 1])
                 pieces[order[a:b]] = unpack(told)["n"].combine_chunks().values.to_numpy()
-            each = np.r_[0, np.cumsum(pieces[places.to_numpy()] * counts.to_numpy().astype(np.int64))]
-            ends = np.r_[0, np.cumsum(sizes.to_numpy().astype(np.int64))]
+            each = np.r_[0, np.cumsum(pieces[places] * counts)]
             out.append(pa.table([ids, n_bytes.cast(pa.int64()), pa.array(each[ends[1:]] - each[ends[:-1]])], schema=counted_schema))
         trim()
         return pa.concat_tables(out) if out else counted_schema.empty_table()
