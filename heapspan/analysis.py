@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from .operators import derive, diff, graph, waste
 from .plans.compiler import ORDINAL, Catalog, Compiler
-from .plans.dialect import TABLES, Command, QueryError, parse
+from .plans.dialect import TABLES, Command, QueryError
+from .sources import hprof
 from .store import Rounds
 
 
 class HeapAnalysis:
     """nodes and edges as in operators.graph; loaders: nid of class loaders."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, loaders: DataFrame | None = None, strings: tuple[DataFrame, DataFrame] | None = None, collections: DataFrame | None = None) -> None:
+    def __init__(self, nodes: DataFrame, edges: DataFrame, loaders: DataFrame | None = None, strings: tuple[DataFrame, DataFrame] | None = None, collections: DataFrame | None = None, reference: int = 4) -> None:
+        self.reference = reference  # bytes of a reference
         self.spark = nodes.sparkSession
         rounds = Rounds(self.spark)
         self.nodes = rounds.cut(nodes)
@@ -24,6 +26,14 @@ class HeapAnalysis:
         self.loaders = loaders if loaders is not None else self.spark.createDataFrame([], "nid long")
         self._strings, self._collections = strings, collections
 
+    @classmethod
+    def of_dump(cls, dump: hprof.Dump, layout: hprof.Layout | None = None, file: str | None = None) -> "HeapAnalysis":
+        """With what the waste rules need; name the file if there are several dumps."""
+        own = dump.one(file)
+        layout = layout or (None if hprof.payload_only(own) else hprof.infer_layout(own))
+        nodes, edges, loaders = hprof.as_graph(own, layout, file)
+        return cls(nodes, edges, loaders, hprof.string_values(own, layout, file), hprof.collection_sizes(own, layout, file), layout.reference if layout else 4)
+
     @cached_property
     def tree(self) -> DataFrame:
         return graph.dominators(self.nodes, self.edges)
@@ -56,7 +66,7 @@ class HeapAnalysis:
         """The four kinds and the totals; computed when asked for."""
         none = self.spark.createDataFrame([], "object_id long, backing_id long, shallow_size long, position long"), self.spark.createDataFrame([], "object_id long, content binary, shallow_size long, is_chars boolean")
         full = self._collections if self._collections is not None else self.spark.createDataFrame([], "class_name string, shallow_size long, size long, capacity long")
-        kinds = {"duplicate_strings": waste.duplicate_strings(*(self._strings or none)), "empty_collections": waste.empty_collections(full), "oversized_collections": waste.oversized_collections(full), "boxed_numbers": waste.boxed_numbers(self.nodes)}
+        kinds = {"duplicate_strings": waste.duplicate_strings(*(self._strings or none)), "empty_collections": waste.empty_collections(full), "oversized_collections": waste.oversized_collections(full, self.reference), "boxed_numbers": waste.boxed_numbers(self.nodes)}
         return kinds | {"totals": waste.totals(*kinds.values(), self.total)}
 
     # tables of the query language
@@ -161,6 +171,3 @@ class HeapAnalysis:
         with open(path, "x", encoding="utf-8") as f:
             json.dump(self.report(rows), f)
 
-
-def parse_query(text: str):
-    return parse(text)

@@ -20,7 +20,7 @@ def duplicate_strings(strings: DataFrame, backings: DataFrame, most: int = 50) -
 
     A backing array that several strings share is hashed once. Wasted is what all but the first of a group take, at the first's size.
     """
-    content = backings.select(F.col("object_id").alias("backing_id"), F.sha2("content", 256).alias("digest"), F.col("shallow_size").alias("array_size"), F.expr(f"IF(is_chars, left(decode(content, 'UTF-16BE'), {PREVIEW}), make_valid_utf8(cast(left(content, {PREVIEW}) as string)))").alias("preview"))
+    content = backings.select(F.col("object_id").alias("backing_id"), F.sha2("content", 256).alias("digest"), F.col("shallow_size").alias("array_size"), F.expr(f"IF(is_chars, decode(left(content, {2 * PREVIEW}), 'UTF-16BE'), make_valid_utf8(cast(left(content, {PREVIEW}) as string)))").alias("preview"))
     met = strings.join(content, "backing_id").withColumn("each", F.col("shallow_size") + F.col("array_size"))
     groups = met.groupBy("digest").agg(F.count("*").alias("count"), F.min_by("each", "position").alias("each"), F.min_by("preview", "position").alias("preview")).where("count > 1")
     return groups.select("preview", "count", ((F.col("count") - 1) * F.col("each")).alias("wasted_bytes"), (F.col("count") * F.col("each")).alias("total_bytes")).orderBy(F.desc("wasted_bytes"), "preview", F.desc("count"), F.desc("total_bytes")).limit(most)
@@ -32,8 +32,8 @@ def empty_collections(collections: DataFrame) -> DataFrame:
 
 
 def oversized_collections(collections: DataFrame, reference: int = 4) -> DataFrame:
-    """Collections of which the array has over 16 places and over four times the size: count, wasted_bytes, avg_fill_percent."""
-    wide = collections.where((F.col("capacity") > 16) & (F.col("capacity") > 4 * F.col("size")))
+    """Collections that aren't empty and of which the array has over 16 places and over four times the size: count, wasted_bytes, avg_fill_percent."""
+    wide = collections.where((F.col("size") > 0) & (F.col("capacity") > 16) & (F.col("capacity") > 4 * F.col("size")))
     return wide.groupBy("class_name").agg(F.count("*").alias("count"), F.sum((F.col("capacity") - F.col("size")) * reference).alias("wasted_bytes"), (F.avg(F.col("size") / F.col("capacity")) * 100).alias("avg_fill_percent")).orderBy(F.desc("wasted_bytes"), "class_name")
 
 

@@ -320,7 +320,7 @@ def waste_empty(spark, sf_dir):
     return waste.empty_collections(tables.collections(spark, sf_dir))
 
 
-@query("waste_overalloc", f"with {COLLECTIONS} select class_name, count(*) as count, sum((capacity - size) * 4)::bigint as wasted_bytes, round(avg(size::double / capacity) * 100, 6) as avg_fill_percent from c where capacity > 16 and capacity > 4 * size group by 1")
+@query("waste_overalloc", f"with {COLLECTIONS} select class_name, count(*) as count, sum((capacity - size) * 4)::bigint as wasted_bytes, round(avg(size::double / capacity) * 100, 6) as avg_fill_percent from c where size > 0 and capacity > 16 and capacity > 4 * size group by 1")
 def waste_overalloc(spark, sf_dir):
     return waste.oversized_collections(tables.collections(spark, sf_dir)).withColumn("avg_fill_percent", F.round("avg_fill_percent", 6))
 
@@ -332,7 +332,7 @@ def waste_boxed(spark, sf_dir):
 
 @query("waste_totals", f"""with {GRAPH.strip()}, {COLLECTIONS},
 d as (select (count(*) - 1) * (strlen(any_value(text)) + 40) as w from documents where text is not null group by text having count(*) > 1 order by w desc, left(text, 120), count(*) desc limit 50),
-t as (select (select coalesce(sum(w), 0) from d)::bigint as duplicate_strings_bytes, (select coalesce(count(*) * 48, 0) from c where size = 0)::bigint as empty_collections_bytes, (select coalesce(sum((capacity - size) * 4), 0) from c where capacity > 16 and capacity > 4 * size)::bigint as oversized_collections_bytes, 0::bigint as boxed_numbers_bytes)
+t as (select (select coalesce(sum(w), 0) from d)::bigint as duplicate_strings_bytes, (select coalesce(count(*) * 48, 0) from c where size = 0)::bigint as empty_collections_bytes, (select coalesce(sum((capacity - size) * 4), 0) from c where size > 0 and capacity > 16 and capacity > 4 * size)::bigint as oversized_collections_bytes, 0::bigint as boxed_numbers_bytes)
 select *, duplicate_strings_bytes + empty_collections_bytes + oversized_collections_bytes as total_wasted_bytes, (duplicate_strings_bytes + empty_collections_bytes + oversized_collections_bytes) * 100.0::double / (select sum(shallow_size) from nodes) as wasted_percentage from t""")
 def waste_totals(spark, sf_dir):
     h = HeapAnalysis(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), None, tables.strings(spark, sf_dir), tables.collections(spark, sf_dir))

@@ -1,7 +1,8 @@
 """HPROF heap dumps as DataFrames.
 
-A dump is cut into its strings, loaded classes and heap segments by one pass over the record headers; segments are then dealt out and
-their sub-records read in parallel. Everything is big-endian; ids are unsigned and kept as signed longs inside, as
+A dump is cut into its strings, loaded classes and heap segments by one pass over the record headers, in a task a dump that reads a
+stream and holds PIECE bytes at a time, so dumps may have any size; segments are cut between sub-records into pieces, which are dealt
+out and read in parallel. Everything is big-endian; ids are unsigned and kept as signed longs inside, as
 decimal(20,0) in `object_id`. A truncated record ends its segment with an error row instead of failing the dump.
 
 records: file, position (unique and rising in a dump), tag, object_id, class_id, super_id, loader_id, signers_id, domain_id, length, element (type
@@ -10,6 +11,7 @@ code of an array), body, statics and fields (name_id, type, value).
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +35,7 @@ ROOTS = {0xFF: ("unknown", ""), 0x01: ("jni global", "i"), 0x02: ("jni local", "
 # Labels of edges, smaller wins.
 GC_ROOT, INSTANCE_FIELD, ARRAY_ELEMENT, CLASS_STATIC, SUPER_CLASS, CLASS_LOADER, UNKNOWN, RUNTIME_CLASS, SIGNERS, DOMAIN = range(10)
 
+PIECE = 32 << 20
 SEGMENT = "file string, position long, id_size int, kind string, id long, value binary, class_name_id long"
 RECORD = "file string, position long, id_size int, tag int, object_id long, class_id long, super_id long, loader_id long, signers_id long, domain_id long, length long, element int, body binary, statics array<struct<name_id:long,type:int,value:long>>, fields array<struct<name_id:long,type:int>>"
 RECORD_FIELDS = [x.split(" ", 1)[0] for x in RECORD.split(", ")]
@@ -88,21 +91,96 @@ def header(data: bytes) -> tuple[str, int, int]:
     return data[:end].decode(), size, end + 13
 
 
-def top_records(file: str, data: bytes) -> Iterator[tuple]:
+class Stream:
+    """A binary file that is read forward, with as much of it held as is asked for."""
+
+    def __init__(self, file, chunk: int = PIECE) -> None:
+        self.file, self.chunk, self.held, self.at = file, chunk, b"", 0
+
+    def peek(self, n: int) -> bytes:
+        """Up to n bytes from here on."""
+        while len(self.held) < n and (more := self.file.read(max(self.chunk, n - len(self.held)))):
+            self.held += more
+        return self.held[:n]
+
+    def take(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.held, self.at = self.held[len(out) :], self.at + len(out)
+        return out
+
+
+def whole_records(data: bytes, size: int) -> int:
+    """How many bytes from the start of data hold whole sub-records; all of it if it can't be read."""
+    r, done = Reader(data, size), 0
+    try:
+        while r.at < len(data):
+            tag = r.u(1)
+            if tag in ROOTS:
+                r.at += size + sum(size if c == "i" else 4 for c in ROOTS[tag][1])
+            elif tag == CLASS_DUMP:
+                r.at += 7 * size + 8
+                for _ in range(r.u(2)):
+                    r.take(2)
+                    r.value(r.u(1))
+                for _ in range(r.u(2)):
+                    r.take(size)
+                    r.value(r.u(1))
+                n = r.u(2)
+                r.at += n * (size + 1)
+            elif tag == INSTANCE_DUMP:
+                r.at += 2 * size + 4
+                n = r.u(4)
+                r.at += n
+            elif tag == OBJECT_ARRAY:
+                r.at += size + 4
+                n = r.u(4)
+                r.at += size * (n + 1)
+            elif tag in (PRIMITIVE_ARRAY, NO_DATA_ARRAY):
+                r.at += size + 4
+                n, kind = r.u(4), r.u(1)
+                r.at += n * WIDTHS[kind] if tag == PRIMITIVE_ARRAY else 0
+            elif tag == HEAP_INFO:
+                r.at += 4 + size
+            else:
+                return len(data)
+            if r.at > len(data):
+                break
+            done = r.at
+    except HprofError:  # the last one goes on behind the data
+        pass
+    except KeyError:
+        return len(data)
+    return done
+
+
+def top_records(file: str, stream: Stream) -> Iterator[tuple]:
     """Rows of SEGMENT."""
-    _, size, at = header(data)
-    while at + 9 <= len(data):
-        tag, length = data[at], int.from_bytes(data[at + 5 : at + 9], "big")
-        body, start = data[at + 9 : at + 9 + length], at + 9
-        if tag == STRING and len(body) >= size:
-            yield file, start, size, "string", int.from_bytes(body[:size], "big", signed=size == 8), body[size:], None
-        elif tag == LOAD_CLASS and len(body) >= 8 + 2 * size:
-            r = Reader(body, size, 4)
-            own, _, name = r.id(), r.u(4), r.id()
-            yield file, start, size, "class", own, None, name
-        elif tag in (HEAP_DUMP, HEAP_SEGMENT) and body:
-            yield file, start, size, "segment", None, body, None
-        at = start + length
+    version, size, begin = header(stream.peek(128))
+    stream.take(begin)
+    yield file, 0, size, "header", None, version.encode(), None
+    while len(head := stream.take(9)) == 9:
+        tag, length, start = head[0], int.from_bytes(head[5:], "big"), stream.at
+        if tag in (HEAP_DUMP, HEAP_SEGMENT):
+            left = length
+            while left and (piece := stream.peek(min(left, stream.chunk))):
+                n = len(piece)
+                if n < left:  # up to the last whole sub-record; more of it if there is none
+                    while not (n := whole_records(piece, size)) and len(piece) < left and len(more := stream.peek(min(left, 2 * len(piece)))) > len(piece):
+                        piece = more
+                    n = n or len(piece)
+                yield file, stream.at, size, "segment", None, stream.take(n), None
+                left -= n
+        elif tag in (STRING, LOAD_CLASS):
+            body = stream.take(length)
+            if tag == STRING and len(body) >= size:
+                yield file, start, size, "string", int.from_bytes(body[:size], "big", signed=size == 8), body[size:], None
+            elif tag == LOAD_CLASS and len(body) >= 8 + 2 * size:
+                r = Reader(body, size, 4)
+                own, _, name = r.id(), r.u(4), r.id()
+                yield file, start, size, "class", own, None, name
+        else:
+            while length and (gone := stream.take(min(length, stream.chunk))):
+                length -= len(gone)
 
 
 def sub_records(file: str, start: int, size: int, data: bytes) -> Iterator[dict]:
@@ -169,17 +247,35 @@ class Dump:
     strings: DataFrame  # file, id, text
     classes: DataFrame  # file, class_id, class_name
     records: DataFrame
+    versions: DataFrame  # file, version
 
+    def one(self, file: str | None = None) -> "Dump":
+        """The dump of one file; there must be only one if it isn't named."""
+        names = [file] if file else [r.file for r in self.versions.select("file").limit(2).collect()]
+        if len(names) != 1:
+            raise HprofError("name the dump to take" if names else "no dump")
+        return Dump(*(df.where(F.col("file") == names[0]) for df in (self.strings, self.classes, self.records, self.versions)))
 
-def read(spark: SparkSession, path: str, batch: int = 4096) -> Dump:
-    """One or more dumps. Spark's binary reader opens them, so a file has at most 2 GB."""
+
+def _open(path: str):
+    """A path that the machine or an Arrow file system opens."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+    return system.open_input_stream(name)
+
+
+def read(spark: SparkSession, path: str, batch: int = 4096, piece: int = PIECE) -> Dump:
+    """One or more dumps: a file, a folder or a pattern, listed by Spark. A task a dump streams it; where only Spark can open the path, its
+    binary reader does, which takes 2 GB a dump."""
     segment, record = _schema(SEGMENT), _schema(RECORD)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+            for n, file in enumerate(b.column("path").to_pylist()):
+                source = io.BytesIO(b.column("content")[n].as_py()) if "content" in b.schema.names else _open(file)
                 rows: list[tuple] = []
-                for row in top_records(file, data):
+                for row in top_records(file, Stream(source, piece)):
                     rows.append(row)
                     if len(rows) >= batch or row[3] == "segment":
                         yield pa.RecordBatch.from_pydict(dict(zip(segment.names, map(list, zip(*rows)))), schema=segment)
@@ -200,17 +296,30 @@ def read(spark: SparkSession, path: str, batch: int = 4096) -> Dump:
                     yield pa.RecordBatch.from_pylist(rows, schema=record)
 
     rounds = Rounds(spark)
-    top = rounds.cut(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, SEGMENT))
+    files = spark.read.format("binaryFile").load(path)
+    listed = files.select("path")
+    try:
+        for r in listed.limit(1).collect():
+            _open(r.path).close()
+    except (OSError, ValueError, pa.ArrowException):
+        listed = files.select("path", "content")
+    else:
+        listed = listed.repartition(F.col("path"))
+    top = rounds.cut(listed.mapInArrow(split, SEGMENT))
     strings = top.where("kind = 'string'").select("file", "id", F.expr("make_valid_utf8(cast(value as string))").alias("text"))
     loaded = top.where("kind = 'class'").groupBy("file", F.col("id").alias("class_id")).agg(F.min_by("class_name_id", "position").alias("name"))
     classes = loaded.join(strings.withColumnRenamed("id", "name"), ["file", "name"], "left").select("file", "class_id", text.class_name(F.coalesce("text", F.lit("unknown"))).alias("class_name"))
     segments = top.where("kind = 'segment'").repartition("file", "position")
-    return Dump(rounds.cut(strings), rounds.cut(classes), rounds.cut(segments.mapInArrow(parse, RECORD)))
+    versions = top.where("kind = 'header'").select("file", F.col("value").cast("string").alias("version"))
+    return Dump(rounds.cut(strings), rounds.cut(classes), rounds.cut(segments.mapInArrow(parse, RECORD)), rounds.cut(versions))
 
 
 def statistics(dump: Dump) -> DataFrame:
-    """Records and bytes of bodies by tag."""
-    return dump.records.groupBy("tag").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("bytes"))
+    """Records and bytes of bodies by tag; strings (and their bytes) and loaded classes by the tags of their records, negative."""
+    heap = dump.records.groupBy("tag").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("bytes"))
+    strings = dump.strings.agg(F.lit(-STRING).alias("tag"), F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    loaded = dump.classes.agg(F.lit(-LOAD_CLASS).alias("tag"), F.count("*").alias("n"), F.lit(0).cast("long").alias("bytes"))
+    return heap.unionByName(strings).unionByName(loaded)
 
 
 def layouts(dump: Dump, most: int = 100) -> DataFrame:
@@ -234,28 +343,48 @@ def layouts(dump: Dump, most: int = 100) -> DataFrame:
     return now.select("file", "class_id", "fields")
 
 
-def infer_layout(dump: Dump) -> Layout:
-    """The widest layout of which no array reaches past the next object's address; 4-byte ids have one layout only."""
-    if dump.records.where("id_size = 8").isEmpty():
-        return Layout(4, 4, 4, 8)
-    near = dump.records.where(F.col("tag").isin(INSTANCE_DUMP, OBJECT_ARRAY, PRIMITIVE_ARRAY)).select("object_id", "length", "element").repartitionByRange("object_id").sortWithinPartitions("object_id")
-    candidates = [Layout(8, 8, 8, 8), Layout(8, 4, 8, 8), Layout(8, 4, 4, 8)]
+def infer_layout(dump: Dump, enough: int = 32) -> Layout:
+    """The widest layout of which no array reaches past the address of the next record's object, in the dump's order; evidence that would
+    leave none is ignored. Objects are aligned as their addresses are (8 to 256), 8 with fewer than `enough` of them."""
+    real = dump.records.where(F.col("tag").isin(CLASS_DUMP, INSTANCE_DUMP, OBJECT_ARRAY, PRIMITIVE_ARRAY))
+    word = 8 if not dump.records.where("id_size = 8").isEmpty() else 4
+    widths = (8, 4) if word == 8 else (4,)
+    candidates = [Layout(word, r, k, 8) for r in widths for k in widths]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        over = [0] * len(candidates)
+        first: dict[int, int] = {}
         last: tuple | None = None
         for b in batches:
-            for address, length, element in zip(*(c.to_pylist() for c in b.columns)):
+            for at, address, length, element in zip(*(c.to_pylist() for c in b.columns)):
+                address %= 1 << 64
+                if not address:
+                    continue
                 if last and last[2] is not None and address > last[0]:
+                    fits = 0
                     for i, c in enumerate(candidates):
-                        to = max(c.word, e := c.reference if last[2] == OBJECT else WIDTHS[last[2]])
-                        over[i] += last[0] + -(-(c.word + c.pointer + 4) // to) * to + last[1] * e > address
+                        e = c.reference if last[2] == OBJECT else WIDTHS[last[2]]
+                        to = max(c.word, e)
+                        bare = -(-(c.word + c.pointer + 4) // to) * to + last[1] * e
+                        fits |= (last[0] + -(-bare // 8) * 8 <= address) << i
+                    first.setdefault(fits, at)
                 last = (address, length, element)
-        yield pa.RecordBatch.from_pydict({"over": [over]}, schema=pa.schema([("over", pa.list_(pa.int64()))]))
+        yield pa.RecordBatch.from_pydict({"fits": list(first), "at": list(first.values())}, schema=pa.schema([("fits", pa.int32()), ("at", pa.int64())]))
+
+    element = F.when(F.col("tag").isin(OBJECT_ARRAY, PRIMITIVE_ARRAY), F.col("element")).alias("element")
+    ordered = real.select("position", "object_id", "length", element).repartitionByRange("position").sortWithinPartitions("position")
+    possible = (1 << len(candidates)) - 1
+    # what a later repeat of the same evidence says is known: its first place decides
+    for r in ordered.mapInArrow(check, "fits int, at long").groupBy("fits").agg(F.min("at").alias("at")).orderBy("at").collect():
+        possible = possible & r.fits or possible
+    found = next(c for i, c in enumerate(candidates) if possible >> i & 1)
+    n, some, all_ = real.where("object_id <> 0").agg(F.count("*"), F.bit_or("object_id"), F.bit_and("object_id")).first()
+    differ = (some & ~all_) % (1 << 64) if n else 0
+    return Layout(found.word, found.reference, found.pointer, min(256, max(8, differ & -differ)) if n >= enough and differ else 8)
 
-    counts = near.mapInArrow(check, "over array<long>").select(F.posexplode("over").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
-    fits = {r.i for r in counts if not r.n}
-    return next((c for i, c in enumerate(candidates) if i in fits), Layout())
+
+def payload_only(dump: Dump) -> bool:
+    """Dumps of version 1.0.3 have another object layout: sizes are those of their payloads."""
+    return not dump.versions.where("version like '%1.0.3'").isEmpty()
 
 
 def _element_name() -> F.Column:
@@ -265,14 +394,16 @@ def _element_name() -> F.Column:
 
 def object_records(dump: Dump, layout: Layout | None = None) -> DataFrame:
     """One row an object, the first record of its id (a real one before a root): nid, raw_id, node_type, class_name, shallow_size."""
-    layout = layout or infer_layout(dump)
+    payload = layout is None and payload_only(dump)
+    layout = layout or (Layout(w := 8 if not dump.records.where("id_size = 8").isEmpty() else 4, w, w, 8) if payload else infer_layout(dump))
+    declared = dump.records.where(F.col("tag") == CLASS_DUMP).groupBy("file", F.col("object_id").alias("class_id")).agg(F.min_by("length", "position").alias("declared"))
     widths = F.create_map(*[F.lit(x) for pair in WIDTHS.items() for x in pair])
     fields = layouts(dump).select("file", F.col("class_id"), F.expr(f"aggregate(fields, 0L, (a, f) -> a + IF(f.type = {OBJECT}, {layout.reference}, 0))").alias("refs"), F.transform("fields", lambda f: f.type).alias("types"))
     fields = fields.withColumn("bytes", F.aggregate(F.transform("types", lambda t: F.coalesce(F.try_element_at(widths, t), F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)).drop("types")
     kind = F.when(F.col("tag") == CLASS_DUMP, graph.CLASS).when(F.col("tag") == INSTANCE_DUMP, graph.INSTANCE).when(F.col("tag").isin(OBJECT_ARRAY, PRIMITIVE_ARRAY, NO_DATA_ARRAY), graph.ARRAY).otherwise(graph.ROOT)
     rows = dump.records.where("tag >= 0 and object_id <> 0").select("file", "position", "object_id", "class_id", "length", "element", F.length("body").alias("body_bytes"), kind.alias("node_type"))
     rows = graph.first_definitions(rows.withColumn("key", F.struct("file", "object_id")).withColumn("is_root", F.col("node_type") == graph.ROOT).drop("file", "object_id"), "key").select("key.*", "position", "class_id", "length", "element", "body_bytes", "node_type")
-    named = rows.join(dump.classes, ["file", "class_id"], "left").join(fields, ["file", "class_id"], "left")
+    named = rows.join(dump.classes, ["file", "class_id"], "left").join(fields, ["file", "class_id"], "left").join(declared, ["file", "class_id"], "left")
     own_class = dump.classes.select("file", F.col("class_id").alias("object_id"), F.col("class_name").alias("own_name"))
     named = named.join(own_class, ["file", "object_id"], "left")
     header_bytes = layout.word + layout.pointer
@@ -281,6 +412,9 @@ def object_records(dump: Dump, layout: Layout | None = None) -> DataFrame:
     for t, w in WIDTHS.items():
         primitive = F.when(F.col("element") == t, array(w)).otherwise(primitive)
     size = F.when(F.col("node_type") == graph.INSTANCE, text.round_up(F.lit(header_bytes) + F.coalesce(F.col("refs") + F.col("bytes"), F.col("body_bytes")), layout.align)).when(F.col("element") == OBJECT, array(layout.reference)).when(F.col("node_type") == graph.ARRAY, primitive).otherwise(F.lit(0))
+    if payload:
+        each = F.coalesce(*[F.when(F.col("element") == t, F.lit(w)) for t, w in (*WIDTHS.items(), (OBJECT, layout.word))])
+        size = F.when(F.col("node_type") == graph.INSTANCE, F.coalesce("declared", "body_bytes")).when(F.col("node_type") == graph.ARRAY, F.col("length") * each).otherwise(F.lit(0))
     name = F.when(F.col("node_type") == graph.CLASS, F.coalesce("own_name", F.lit("unknown"))).when((F.col("node_type") == graph.ARRAY) & (F.col("element") != OBJECT), _element_name()).when(F.col("node_type") == graph.ROOT, "").otherwise(F.coalesce("class_name", F.lit("unknown")))
     return Rounds(dump.records.sparkSession).cut(named.select("file", (F.col("position") + 1).alias("nid"), F.col("object_id").alias("raw_id"), "node_type", name.alias("class_name"), size.cast("long").alias("shallow_size")))
 
@@ -290,24 +424,33 @@ def unsigned(raw: F.Column) -> F.Column:
 
 
 def references(dump: Dump) -> DataFrame:
-    """file, src (raw id, 0 is the super root), dst (raw id), label, field: every strong reference that isn't null."""
-    r = dump.records.where("tag >= 0")
-    link = lambda df, src, dst, label, field=None: df.select("file", src.alias("src"), dst.alias("dst"), F.lit(label).alias("label"), (F.lit(field) if field is None or isinstance(field, str) else field).cast("string").alias("field"))
+    """file, src (raw id, 0 is the super root), dst (raw id), label, field, place (which of the object's references it is): every strong
+    reference that isn't null, of each object's first record. A class refers to java.lang.Class, an array of primitives to its class."""
+    every = dump.records.where("tag >= 0")
+    defined = every.where(~F.col("tag").isin(*ROOTS))
+    first = defined.groupBy("file", "object_id").agg(F.min("position").alias("position"))
+    r = defined.join(first, ["file", "object_id", "position"], "left_semi")
+    link = lambda df, src, dst, label: df.select("file", src.alias("src"), dst.alias("dst"), F.lit(label).alias("label"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("int").alias("place"))
     c = F.col
     classes = r.where(c("tag") == CLASS_DUMP)
-    parts = [link(r.where(c("tag").isin(*ROOTS)), F.lit(0).cast("long"), c("object_id"), GC_ROOT)]
+    parts = [link(every.where(c("tag").isin(*ROOTS)), F.lit(0).cast("long"), c("object_id"), GC_ROOT)]
     parts += [link(classes, c("object_id"), c(n), label) for n, label in (("super_id", SUPER_CLASS), ("loader_id", CLASS_LOADER), ("signers_id", SIGNERS), ("domain_id", DOMAIN))]
     statics = classes.select("file", "object_id", F.explode("statics").alias("s")).where(c("s.type") == OBJECT)
     parts.append(link(statics, c("object_id"), c("s.value"), CLASS_STATIC))
     parts.append(link(r.where(c("tag").isin(INSTANCE_DUMP, OBJECT_ARRAY)), c("object_id"), c("class_id"), RUNTIME_CLASS))
+    named = dump.classes.groupBy("file", "class_name").agg(F.min("class_id").alias("dst"))
+    meta = named.where("class_name = 'java.lang.Class'").select("file", "dst")
+    parts.append(link(classes.join(F.broadcast(meta), "file"), c("object_id"), c("dst"), RUNTIME_CLASS))
+    plain = named.where(c("class_name").isin(*(f"{n}[]" for n in TYPE_NAMES.values())))
+    parts.append(link(r.where(c("tag").isin(PRIMITIVE_ARRAY, NO_DATA_ARRAY)).withColumn("class_name", _element_name()).join(F.broadcast(plain), ["file", "class_name"]), c("object_id"), c("dst"), RUNTIME_CLASS))
     bodies = r.where(c("tag").isin(INSTANCE_DUMP, OBJECT_ARRAY) & (F.length("body") > 0)).select("file", "object_id", "class_id", "id_size", "tag", "body").join(layouts(dump), ["file", "class_id"], "left")
 
-    edge_ddl = "file string, src long, dst long, label int, field string"
+    edge_ddl = "file string, src long, dst long, label int, field string, place int"
     edge = _schema(edge_ddl)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {n: [] for n in ("file", "src", "dst", "label", "field")}
+            out: dict[str, list] = {n: [] for n in ("file", "src", "dst", "label", "field", "place")}
             for file, own, size, tag, body, fields in zip(*(b.column(n).to_pylist() for n in ("file", "object_id", "id_size", "tag", "body", "fields"))):
                 ids: list[tuple[int, int, str | None]] = []
                 if tag == OBJECT_ARRAY or fields is None:
@@ -323,9 +466,9 @@ def references(dump: Dump) -> DataFrame:
                         if f["type"] == OBJECT and f["strong"]:
                             ids.append((int.from_bytes(body[at : at + size], "big", signed=size == 8), INSTANCE_FIELD, f["name"]))
                         at += width
-                for x, label, name in ids:
+                for place, (x, label, name) in enumerate(ids):
                     if x:
-                        for k, v in zip(out, (file, own, x, label, name)):
+                        for k, v in zip(out, (file, own, x, label, name, place)):
                             out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=edge)
 
@@ -336,8 +479,9 @@ def references(dump: Dump) -> DataFrame:
     return out.where("dst <> 0")
 
 
-def as_graph(dump: Dump, layout: Layout | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, edges and class loaders (nid) for HeapAnalysis, of one dump."""
+def as_graph(dump: Dump, layout: Layout | None = None, file: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, edges and class loaders (nid) for HeapAnalysis, of one dump; name it if there are several."""
+    dump = dump.one(file)
     objects, spark = object_records(dump, layout), dump.records.sparkSession
     ids = objects.select("raw_id", "nid").unionByName(spark.createDataFrame([(0, 0)], "raw_id long, nid long"))
     edges = references(dump).join(ids.select(F.col("raw_id").alias("src"), F.col("nid").alias("s")), "src").join(ids.select(F.col("raw_id").alias("dst"), F.col("nid").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "label")
@@ -353,17 +497,65 @@ def quick_scan(dump: Dump, layout: Layout | None = None) -> DataFrame:
     return rows.groupBy("class_name").agg(F.count("*").alias("instance_count"), F.sum("shallow_size").alias("shallow_size")).orderBy(F.desc("shallow_size"), "class_name")
 
 
-def string_values(dump: Dump, layout: Layout | None = None) -> tuple[DataFrame, DataFrame]:
-    """Strings and their backing arrays, for duplicate_strings: the first reference of a java.lang.String to a byte[] or char[]."""
+def nth_field(body: bytes, types: list[int], id_size: int, kind: int, n: int = 0) -> int | None:
+    """The bytes, as a number, of the n-th field of a type among an instance's fields; none if there are fewer or the body ends before."""
+    at = 0
+    for t in types:
+        width = id_size if t == OBJECT else WIDTHS.get(t, 0)
+        if not width or at + width > len(body):
+            return None
+        if t == kind:
+            if not n:
+                return int.from_bytes(body[at : at + width], "big", signed=t == OBJECT and id_size == 8)
+            n -= 1
+        at += width
+    return None
+
+
+def first_fields(dump: Dump, names: tuple[str, ...]) -> DataFrame:
+    """file, object_id, position, class_name, reference and number of every instance of the named classes: its first reference and its
+    first int field."""
+    kinds = dump.classes.where(F.col("class_name").isin(*names))
+    rows = dump.records.where(F.col("tag") == INSTANCE_DUMP).select("file", "object_id", "position", "class_id", "id_size", "body").join(F.broadcast(kinds), ["file", "class_id"]).join(layouts(dump), ["file", "class_id"])
+    first = dump.records.where((F.col("tag") >= 0) & ~F.col("tag").isin(*ROOTS)).groupBy("file", "object_id").agg(F.min("position").alias("position"))
+    rows = rows.join(first, ["file", "object_id", "position"], "left_semi").select("file", "object_id", "position", "class_name", "id_size", "body", F.col("fields.type").alias("types"))
+    ddl = "file string, object_id long, position long, class_name string, reference long, number long"
+    schema = _schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, body, types = (b.column(c).to_pylist() for c in ("id_size", "body", "types"))
+            found = [pa.array([nth_field(x, t, n, kind) for x, t, n in zip(body, types, size)], pa.int64()) for kind in (OBJECT, 10)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:4]), *found], schema=schema)
+
+    return rows.mapInArrow(run, ddl)
+
+
+def string_values(dump: Dump, layout: Layout | None = None, file: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Strings and their backing arrays of one dump, for duplicate_strings: the first reference field of a java.lang.String to a byte[] or
+    char[]."""
+    dump = dump.one(file)
     objects = object_records(dump, layout)
-    strings = objects.where("class_name = 'java.lang.String'")
-    first = references(dump).where(F.col("label") == INSTANCE_FIELD).groupBy("src").agg(F.min("dst").alias("backing_id"))
-    s = strings.join(first, strings.raw_id == first.src).select(F.col("raw_id").alias("object_id"), "backing_id", "shallow_size", F.col("nid").alias("position"))
-    arrays = dump.records.where((F.col("tag") == PRIMITIVE_ARRAY) & F.col("element").isin(5, 8)).select(F.col("object_id"), F.col("body").alias("content"), (F.col("element") == 5).alias("is_chars"), "position")
-    b = arrays.join(objects.select(F.col("raw_id").alias("object_id"), "shallow_size"), "object_id").select("object_id", "content", "shallow_size", "is_chars")
+    found = first_fields(dump, ("java.lang.String",)).where("reference <> 0").select("object_id", F.col("reference").alias("backing_id"), "position")
+    s = found.join(objects.select(F.col("raw_id").alias("object_id"), "shallow_size"), "object_id").select("object_id", "backing_id", "shallow_size", "position")
+    arrays = dump.records.where((F.col("tag") == PRIMITIVE_ARRAY) & F.col("element").isin(5, 8)).select(F.col("object_id"), F.col("body").alias("content"), (F.col("element") == 5).alias("is_chars"), (F.col("position") + 1).alias("nid"))
+    b = arrays.join(objects.select(F.col("raw_id").alias("object_id"), "nid", "shallow_size"), ["object_id", "nid"]).select("object_id", "content", "shallow_size", "is_chars")
     return s, b
 
 
+def collection_sizes(dump: Dump, layout: Layout | None = None, file: str | None = None) -> DataFrame:
+    """class_name, shallow_size, size (the first int field) and capacity (elements of the array that the first reference field holds, or
+    null) of each collection of one dump, for the waste rules."""
+    from ..operators.waste import COLLECTIONS
+
+    dump = dump.one(file)
+    objects = object_records(dump, layout)
+    found = first_fields(dump, COLLECTIONS).where("number is not null")
+    sized = found.join(objects.select(F.col("raw_id").alias("object_id"), "shallow_size"), "object_id")
+    arrays = dump.records.where(F.col("tag").isin(OBJECT_ARRAY, PRIMITIVE_ARRAY)).groupBy(F.col("object_id").alias("reference")).agg(F.min_by("length", "position").alias("capacity"))
+    return sized.join(arrays, "reference", "left").select("class_name", "shallow_size", F.col("number").alias("size"), "capacity")
+
+
 def inspect(dump: Dump, raw_id: int) -> list[dict[str, object]]:
     """An object's fields: name, type, value as text; references as ids."""
     row = dump.records.where((F.col("object_id") == raw_id) & (F.col("tag") == INSTANCE_DUMP)).select("file", "position", "id_size", "class_id", "body").join(layouts(dump), ["file", "class_id"], "left").orderBy("position").first()

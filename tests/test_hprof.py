@@ -110,6 +110,88 @@ def test_graph(spark, tmp_path, size):
     assert {r.class_name for r in hprof.quick_scan(d).collect()} >= {"app.Child", "int[]"}
 
 
+def test_pieces_duplicates_and_class_edges(spark, tmp_path):
+    """Segments cut into small pieces; a second record of an id adds no edge; arrays of primitives and classes refer to their classes."""
+    b = Builder(8)
+    b.cls(0x100, "java/lang/Object")
+    b.cls(0x110, "java/lang/Class", 0x100)
+    b.cls(0x120, "[B", 0x100)
+    b.cls(0x130, "app/Pair", 0x100, [("a", 2), ("b", 2)])
+    for k in range(50):
+        b.instance(0x1000 + k, 0x130, b.i(0x2000 + k) + b.i(0x2000))
+        b.array(0x2000 + k, 8, b"12345678" * (k % 7))
+        b.objects(0x3000 + k, 0x100, [0x1000 + k])
+    b.instance(0x1000, 0x130, b.i(0x2003) + b.i(0x2004))
+    b.array(0x4000, 8, bytes(3000))  # longer than a piece
+    path = b.done(tmp_path / "p.hprof")
+    whole, cut = hprof.read(spark, path), hprof.read(spark, path, piece=200)
+    rows = lambda d: sorted((r.position, r.tag, r.object_id) for r in d.records.collect())
+    assert len(rows(whole)) == 4 + 150 + 2 and rows(whole) == rows(cut)
+    found = {(r.src, r.dst, r.label) for r in hprof.references(cut).collect()}
+    assert (0x1000, 0x2000, hprof.INSTANCE_FIELD) in found and not {(0x1000, 0x2003, hprof.INSTANCE_FIELD), (0x1000, 0x2004, hprof.INSTANCE_FIELD)} & found
+    assert (0x2001, 0x120, hprof.RUNTIME_CLASS) in found and (0x130, 0x110, hprof.RUNTIME_CLASS) in found
+    told = {r.tag: r.n for r in hprof.statistics(cut).collect()}
+    assert told[-hprof.LOAD_CLASS] == 4 and told[-hprof.STRING] == 6 and told[hprof.CLASS_DUMP] == 4
+
+
+def test_folder_of_dumps(spark, tmp_path):
+    """Two dumps with the same ids don't mix."""
+    for name, n in (("one", 1), ("two", 2)):
+        b = Builder(8)
+        b.cls(0x100, f"app/{name.title()}", 0, [("x", 2)] * n)
+        b.instance(0x200, 0x100, b.i(0x300) * n)
+        b.array(0x300, 8, b"x" * n)
+        b.root(0x200)
+        b.done(tmp_path / f"{name}.hprof")
+    d = hprof.read(spark, str(tmp_path))
+    with pytest.raises(hprof.HprofError):
+        hprof.as_graph(d)
+    files = sorted(r.file for r in d.versions.collect())
+    for file, name in zip(files, ("app.One", "app.Two")):
+        nodes, edges, _ = hprof.as_graph(d, file=file)
+        assert {r.class_name for r in nodes.collect()} == {"", name, "byte[]"} and edges.distinct().count() == 3
+    assert {(r.file, r.class_name): r.n for r in hprof.object_records(d).groupBy("file", "class_name").agg(F.count("*").alias("n")).collect()} == {(files[0], "app.One"): 2, (files[1], "app.Two"): 2, (files[0], "byte[]"): 1, (files[1], "byte[]"): 1}
+
+
+def test_waste_of_a_dump(spark, tmp_path):
+    b = Builder(8)
+    b.cls(0x100, "java/lang/Object")
+    b.cls(0x110, "java/util/HashMap", 0x100, [("table", 2), ("entries", 2), ("size", 10), ("changes", 10)])
+    b.cls(0x120, "java/util/ArrayList", 0x100, [("size", 10), ("data", 2)])
+    b.cls(0x130, "java/lang/String", 0x100, [("hash", 10), ("value", 2), ("other", 2)])
+    b.cls(0x140, "[Ljava/lang/Object;", 0x100)
+    for k, (size, capacity) in enumerate(((0, 16), (0, 64), (3, 64), (3, 12), (20, 64), (1, 17))):
+        b.objects(0x1000 + k, 0x140, [0] * capacity)
+        b.instance(0x2000 + k, 0x110, b.i(0x1000 + k) + b.i(0) + struct.pack(">ii", size, 9))
+        b.instance(0x3000 + k, 0x120, struct.pack(">i", size) + b.i(0x1000 + k if k else 0))
+        b.root(0x2000 + k)
+    # the first reference field counts, though the other array has the smaller id
+    for k, text in enumerate((b"twin", b"twin", b"alone")):
+        b.array(0x5000 + k, 8, text)
+        b.array(0x4000 + k, 8, b"decoy")
+        b.instance(0x6000 + k, 0x130, struct.pack(">i", 0) + b.i(0x5000 + k) + b.i(0x4000 + k))
+    d = hprof.read(spark, b.done(tmp_path / "c.hprof"))
+    heap = HeapAnalysis.of_dump(d, hprof.Layout(8, 4, 4, 8))
+    waste_ = heap.waste
+    assert [(r["preview"], r["count"]) for r in waste_["duplicate_strings"].collect()] == [("twin", 2)]
+    assert {(r["class_name"], r["count"]) for r in waste_["empty_collections"].collect()} == {("java.util.HashMap", 2), ("java.util.ArrayList", 2)}
+    got = {r["class_name"]: (r["count"], r["wasted_bytes"]) for r in waste_["oversized_collections"].collect()}
+    assert got == {"java.util.HashMap": (2, (61 + 16) * 4), "java.util.ArrayList": (2, (61 + 16) * 4)}
+    assert waste_["totals"].first().total_wasted_bytes > 2 * 77 * 4
+    assert hprof.nth_field(b"\0\0\0\7" + bytes(7) + b"\5", [10, 2], 8, 2) == 5 and hprof.nth_field(bytes(3), [10], 8, 10) is None and hprof.nth_field(bytes(8), [10, 10], 8, 10, 2) is None
+
+
+def test_payload_sizes(spark, tmp_path):
+    b = Builder(4)
+    b.out[:19] = b"JAVA PROFILE 1.0.3\0"
+    b.cls(0x100, "app/A", 0, [("x", 10)])
+    b.array(0x200, 10, bytes(12))
+    b.objects(0x300, 0x100, [0, 0, 0])
+    d = hprof.read(spark, b.done(tmp_path / "v.hprof"))
+    assert hprof.payload_only(d)
+    assert {r.raw_id: r.shallow_size for r in hprof.object_records(d).collect()} == {0x100: 0, 0x200: 12, 0x300: 12}
+
+
 def test_wide_ids_and_damage(spark, tmp_path):
     b = Builder(8)
     for x in (2**53, 2**53 + 1, 2**64 - 1):
@@ -132,4 +214,9 @@ def test_layout(spark, tmp_path):
         b = Builder(8)
         for k in range(40):
             b.objects(0x1000 + k * gap, 0x100, [0] * 10)
-        assert hprof.infer_layout(hprof.read(spark, b.done(tmp_path / f"l{gap}.hprof"))).reference == want
+        found = hprof.infer_layout(hprof.read(spark, b.done(tmp_path / f"l{gap}.hprof")))
+        assert found.reference == want and found.align == (16 if gap % 16 == 0 else 8)
+    b = Builder(8)
+    for k in range(20):
+        b.objects(0x10000 + k * 256, 0x100, [0] * 4)
+    assert hprof.infer_layout(hprof.read(spark, b.done(tmp_path / "few.hprof"))).align == 8
