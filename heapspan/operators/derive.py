@@ -104,5 +104,35 @@ def legacy_object_suspects(tree: DataFrame, reachable: int, most: int = 10) -> D
     return found.join(passed, "nid", "left_anti").orderBy(*graph.by_retained()).limit(most).select("class_name", "object_id", "retained_size", percentage("retained_size", reachable).alias("retained_percentage"), _object_description(reachable).alias("description"))
 
 
+def legacy_suspects(tree: DataFrame, histogram: DataFrame, reachable: int, most: int = 10) -> DataFrame:
+    """The older policy in whole: its objects, then the classes that class_suspects finds and no object has named."""
+    objects = legacy_object_suspects(tree, reachable, most)
+    classes = class_suspects(histogram, reachable).join(objects.select("class_name").distinct(), "class_name", "left_anti")
+    return objects.withColumn("kind", F.lit("object")).unionByName(classes.select(*objects.columns).withColumn("kind", F.lit("class"))).orderBy(F.desc("kind"), F.desc("retained_size"), "class_name", "object_id")
+
+
+def accumulations(tree: DataFrame, suspects: DataFrame, share: float = 0.7) -> DataFrame:
+    """suspects (a handful, with object_id) with accumulation_class, accumulation_id and accumulation_size: where the memory that a
+    suspect retains piles up, if that is another object. Loaders and objects have one, classes (id 0) have none."""
+    spark, own = tree.sparkSession, F.col("object_id")
+    starts = tree.join(F.broadcast(suspects.where(own != 0).select("object_id").distinct()), "object_id").select("object_id", "nid").collect()
+    ends = graph.accumulation_points(tree, [r.nid for r in starts], share) if starts else {}
+    named = spark.createDataFrame([(r.object_id, ends[r.nid]) for r in starts if ends[r.nid] != r.nid], "object_id decimal(20,0), nid long")
+    at = tree.join(F.broadcast(named.withColumnRenamed("object_id", "from")), "nid").select(F.col("from").alias("object_id"), F.col("class_name").alias("accumulation_class"), F.col("object_id").alias("accumulation_id"), F.col("retained_size").alias("accumulation_size"))
+    return suspects.join(at, "object_id", "left").select(*suspects.columns, "accumulation_class", "accumulation_id", "accumulation_size")
+
+
+def class_drill(tree: DataFrame, class_name: str, n: int = 200) -> DataFrame:
+    """The n objects of a class that retain most."""
+    return tree.where((F.col("class_name") == class_name) & F.col("node_type").isin(graph.INSTANCE, graph.ARRAY) & (F.col("retained_size") > 0)).select(*graph.REPORT).orderBy(*graph.by_retained()).limit(n)
+
+
+def unlinked_tables(nodes: DataFrame) -> dict[str, DataFrame]:
+    """The query language's tables before there are edges: nothing retains anything yet, and nothing has children."""
+    own = nodes.where(F.col("node_type").isin(graph.INSTANCE, graph.ARRAY) & (F.col("shallow_size") > 0)).select("object_id", "node_type", "class_name", "shallow_size", F.lit(0).cast("long").alias("retained_size"), "nid")
+    histogram = shallow_histogram(nodes).withColumn("retained_size", F.lit(0).cast("long"))
+    return {"instances": own, "class_histogram": histogram, "leak_suspects": nodes.sparkSession.createDataFrame([], SUSPECT), "dominator_tree": own.limit(0)}
+
+
 def above(suspects: DataFrame, percent: float) -> DataFrame:
     return suspects.where(F.col("retained_percentage") >= percent)

@@ -54,3 +54,12 @@ def totals(duplicates: DataFrame, empty: DataFrame, oversized: DataFrame, boxed:
         out = out.crossJoin(F.broadcast(p))
     total = sum((F.col(f"{n}_bytes") for n in names[1:]), F.col(f"{names[0]}_bytes"))
     return out.withColumn("total_wasted_bytes", total).withColumn("wasted_percentage", F.col("total_wasted_bytes") * 100.0 / F.lit(float(heap)) if heap else F.lit(0.0))
+
+
+def shown(groups: DataFrame, by: str = "wasted_bytes", descending: bool = True, like: str = "") -> DataFrame:
+    """Groups of one kind whose preview or class name holds `like` (any case), by a column; equal ones by name."""
+    name = "preview" if "preview" in groups.columns else "class_name"
+    if by not in groups.columns:
+        raise ValueError(f"no column {by}")
+    found = groups.where(F.contains(F.lower(name), F.lit(like.lower()))) if like else groups
+    return found.orderBy(F.desc(by) if descending else F.asc(by), name)

@@ -54,6 +54,39 @@ def read(spark: SparkSession, document: str) -> Snapshot:
     return Snapshot(_longs(one.select(F.inline("class_histogram"))), _longs(suspects), _longs(one.select("summary.*")), one.select("waste_analysis.*") if sizes[3] else None)
 
 
+def timeline(spark: SparkSession, paths: list[str], n: int = 10, most: int = 64) -> DataFrame:
+    """The n classes that retain most in each snapshot file, by the files' times; missing files are skipped. At most `most` are taken."""
+    if len(paths) > most:
+        raise SnapshotError(f"at most {most} snapshots")
+    parts = []
+    for path in paths:
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                taken = os.stat(path).st_mtime_ns
+                parts.append(read(spark, f.read()).histogram.select(F.lit(path).alias("snapshot"), F.lit(taken).cast("long").alias("taken"), "*"))
+    if not parts:
+        raise SnapshotError("no snapshot")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return diff.timeline(out, n)
+
+
+def compare_report(baseline: Snapshot, current: Snapshot, rows: int = 50, models: tuple[str, str] = ("", "")) -> dict[str, object]:
+    """The comparison as a document: largest changes first, at most `rows` (1 to 10000) of each kind. models: the names of the two size
+    models; sizes of different ones can't be compared, which size_models_differ says."""
+    if not 1 <= rows <= 10_000:
+        raise ValueError("rows must be from 1 to 10000")
+    found, out = baseline.compare(current), {"size_models_differ": models[0] != models[1]}
+    order = {"histogram": (F.abs("retained_size_delta").desc(), "class_name"), "suspects": (F.abs("retained_size_delta").desc(), "class_name")}
+    for name, keys in order.items():
+        some = [r.asDict() for r in found[name].orderBy(*keys).limit(rows + 1).collect()]
+        out[name], out[f"{name}_truncated"] = some[:rows], len(some) > rows
+    for name in ("summary", "waste"):
+        out[name] = found[name].first().asDict() if found[name] is not None else None
+    return out
+
+
 def _text(path: str, lines: list[str]) -> None:
     body = "\n".join(lines) + "\n"
     if len(body.encode()) > MOST_BYTES:

@@ -11,21 +11,40 @@ def document(classes, total=8192, suspects=(), waste=None):
     return json.dumps(out | ({"waste_analysis": waste} if waste else {}))
 
 
-# Two snapshots of one application.
-A = [("com.app.CacheManager", 1, 32, 4096), ("java.util.HashMap", 5, 240, 2048), ("byte[]", 10, 10240, 1024)]
-B = [("com.app.CacheManager", 2, 64, 8192), ("java.util.HashMap", 5, 240, 2048), ("byte[]", 20, 20480, 2048), ("com.app.SessionStore", 1, 128, 4096)]
+A = [("net.shop.Till", 3, 72, 5000), ("net.shop.Basket", 7, 392, 3000), ("char[]", 12, 9000, 640)]
+B = [("net.shop.Till", 4, 96, 9500), ("net.shop.Basket", 7, 392, 3000), ("char[]", 30, 20000, 1640), ("net.shop.Ledger", 2, 80, 4500)]
 
 
 def test_compare(spark):
-    a = snapshot.read(spark, document(A, 8192, [("com.app.CacheManager", 2**64 - 1, 4096, 50.0, "half"), ("old", 1, 5, 1.0, "gone")]))
-    b = snapshot.read(spark, document(B, 16384, [("com.app.CacheManager", 400, 8192, 50.0, "half"), ("com.app.SessionStore", 500, 4096, 25.0, "more")]))
+    a = snapshot.read(spark, document(A, 10_000, [("net.shop.Till", 2**64 - 1, 5000, 50.0, "half"), ("old", 1, 5, 1.0, "gone")]))
+    b = snapshot.read(spark, document(B, 20_000, [("net.shop.Till", 44, 9500, 47.5, "less"), ("net.shop.Ledger", 55, 4500, 22.5, "more")]))
     out = a.compare(b)
-    assert [(r.class_name, r.retained_size_delta, r.change_type) for r in out["histogram"].collect()] == [("com.app.CacheManager", 4096, "grew"), ("com.app.SessionStore", 4096, "new"), ("byte[]", 1024, "grew"), ("java.util.HashMap", 0, "unchanged")]
-    assert {(r.class_name, r.status, r.description) for r in out["suspects"].collect()} == {("com.app.CacheManager", "persisted", "half"), ("com.app.SessionStore", "new", "more"), ("old", "resolved", "Previously: gone")}
-    assert out["summary"].first().total_heap_size_delta == 8192 and out["waste"] is None
+    assert [(r.class_name, r.retained_size_delta, r.change_type) for r in out["histogram"].collect()] == [("net.shop.Ledger", 4500, "new"), ("net.shop.Till", 4500, "grew"), ("char[]", 1000, "grew"), ("net.shop.Basket", 0, "unchanged")]
+    assert {(r.class_name, r.status, r.description) for r in out["suspects"].collect()} == {("net.shop.Till", "persisted", "less"), ("net.shop.Ledger", "new", "more"), ("old", "resolved", "Previously: gone")}
+    assert out["summary"].first().total_heap_size_delta == 10_000 and out["waste"] is None
     assert int(a.suspects.orderBy("position").first().object_id) == 2**64 - 1
 
 
+def test_timeline_of_files(spark, tmp_path):
+    """By the files' times, without those that are missing; too many are refused."""
+    import os
+
+    for name, when, rows in (("late", 2000, B), ("early", 1000, A)):
+        (tmp_path / name).write_text(document(rows))
+        os.utime(tmp_path / name, (when, when))
+    found = snapshot.timeline(spark, [f"{tmp_path}/{n}" for n in ("late", "none", "early")], 2).collect()
+    assert [(r.snapshot.rsplit("/", 1)[1], r.class_name, r["rank"]) for r in found] == [("early", "net.shop.Till", 1), ("early", "net.shop.Basket", 2), ("late", "net.shop.Till", 1), ("late", "net.shop.Ledger", 2)]
+    with pytest.raises(snapshot.SnapshotError):
+        snapshot.timeline(spark, [f"{tmp_path}/late"] * 65)
+
+
+def test_compare_report(spark):
+    a, b = snapshot.read(spark, document(A, 10_000)), snapshot.read(spark, document(B, 20_000))
+    got = snapshot.compare_report(a, b, rows=2, models=("one", "two"))
+    assert [r["class_name"] for r in got["histogram"]] == ["net.shop.Ledger", "net.shop.Till"] and got["histogram_truncated"] and got["size_models_differ"]
+    assert not snapshot.compare_report(a, b)["size_models_differ"] and got["summary"]["total_heap_size_delta"] == 10_000
+
+
 def test_bad(spark):
     for bad in ("", "{}", "[1]", document([("x", 1, 2, 2**63)])):
         with pytest.raises(snapshot.SnapshotError):
