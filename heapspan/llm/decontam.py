@@ -5,11 +5,12 @@ of its tokens in a row stand in the text in the same order with at most W // 10
 of tokens under fixed masks, which ignore some positions; together the masks meet every such overlap (for each W from 8 to 20
 and every choice of replaced tokens some mask lies on kept ones only; the tests try them all), so nothing is lost.
 
-A Bloom filter of the test items' seeds, a literal of at most `words` 64-bit words, drops nearly all of a text's
-positions before anything is exploded. What passes takes along the tokens around it (as hashes) and is joined to the items' seeds on
-the exact hash; then each distinct alignment is verified over all windows that hold the seed. Texts are read once and never
-shuffled. Items and seeds are broadcast only up to `small` seeds; beyond, the joins shuffle, and a frequent seed
-is split by AQE as a skewed join.
+A Bloom filter of the test items' seeds, a literal with 16 bits a seed up to `words` 64-bit words, drops nearly all of a text's
+positions before anything is exploded (with more than 4 * words seeds a growing share passes, and the result stays the same).
+What passes takes along the tokens around it (as hashes) and is joined to the items' seeds on the exact hash; a seed holds the
+tokens around it too, never its whole item, so a row has some hundred bytes whatever the item's length. Then each distinct
+alignment is verified over all windows that hold the seed. Texts are read once and never shuffled. Seeds are broadcast only up to
+`small` of them, that is 60 MB; beyond, the joins shuffle, and a frequent seed is split by AQE as a skewed join.
 
 Cases: null and empty texts are clean; null ids are kept apart by text; repeated rows get the same result; an empty
 table gives an empty result, empty items find nothing; items with fewer than `least` tokens are no evidence and are not
@@ -59,27 +60,28 @@ def _long(x: int) -> str:
     return f"{x}L" if x > -(2**63) else "(-9223372036854775807L - 1L)"
 
 
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least: int = LEAST, words: int = 1 << 13, small: int = 1 << 20) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least: int = LEAST, words: int = 1 << 15, small: int = 1 << 17) -> DataFrame:
     """Distinct (id, text_hash, item, at, best): items that contaminate a text, `at` the alignment (text position of the
     item's first token, which may be negative), best the largest number of equal tokens in a window."""
     tests = tokens(items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), "text").where(f"{_COUNT} >= {least}").select("item", F.col("tokens").alias("theirs")).distinct()
-    seeds = tests.withColumnRenamed("theirs", "tokens").selectExpr("item", "tokens as theirs", f"inline(flatten(array({', '.join(f'transform({_seeds(m)}, (s, i) -> struct(s as seed, i as there))' for m in range(len(MASKS)))})))")
+    seeds = tests.withColumnRenamed("theirs", "tokens").selectExpr("item", "tokens", "size(tokens) as n_theirs", f"inline(flatten(array({', '.join(f'transform({_seeds(m)}, (s, i) -> struct(s as seed, i as there))' for m in range(len(MASKS)))})))")
+    seeds = seeds.selectExpr("item", "n_theirs", "seed", "there", f"greatest(there - {window - 1}, 0) as theirs_from", f"slice(tokens, greatest(there - {window - 1}, 0) + 1, {2 * window + SPAN}) as theirs")
     n = seeds.count()
     slots = min(words, max(64, 1 << (n // 4).bit_length()))
     slot = f"cast(seed & {slots - 1}L as int)"
     filled = {r.slot: r.bits for r in seeds.groupBy(F.expr(slot).alias("slot")).agg(F.expr(f"bit_or({_bits('seed')})").alias("bits")).collect()}
     literal = f"array({', '.join(_long(filled.get(i, 0)) for i in range(slots))})"
     # bit by bit, as nearly all positions fail at the first; positions and not seeds are kept, so nothing is allocated for them
-    held = " AND ".join(f"bit_get(element_at({literal}, {slot} + 1), cast(shiftrightunsigned(seed, {k}) & 63L as int)) = 1" for k in _SHIFTS).replace("seed", "s")
-    read = tokens(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").selectExpr("id", "xxhash64(text) as text_hash", "tokens")
+    held = " AND ".join(f"bit_get(element_at(filter_words, {slot} + 1), cast(shiftrightunsigned(seed, {k}) & 63L as int)) = 1" for k in _SHIFTS).replace("seed", "s")
+    read = tokens(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").selectExpr("id", "xxhash64(text) as text_hash", "tokens", f"{literal} as filter_words")  # folded into what uses it
     passing = ", ".join(f"transform(filter(transform({_seeds(m)}, (s, i) -> IF({held}, i, -1)), x -> x >= 0), x -> struct({m} as mask, x as here))" for m in range(len(MASKS)))
     near = f"slice(tokens, greatest(here - {window - 1}, 0) + 1, {2 * window + SPAN})"
     hits = read.where(f"{_COUNT} >= {SPAN}").selectExpr("id", "text_hash", "tokens", f"inline(concat({passing}))").selectExpr("id", "text_hash", f"{_seed_at('here')} as seed", "here", f"greatest(here - {window - 1}, 0) as ours_from", f"{near} as ours")
     listed = F.broadcast(seeds) if n <= small else seeds
-    met = hits.join(listed, "seed").selectExpr("id", "text_hash", "item", "here - there as at", "here", "there", "ours", "ours_from", "theirs")
+    met = hits.join(listed, "seed").selectExpr("id", "text_hash", "item", "here - there as at", "here", "there", "ours", "ours_from", "theirs", "theirs_from", "n_theirs")
     # positions of the item from which a window that holds the seed may reach, and whether they are equal
-    length = f"least({window}, size(theirs))"
-    equal = met.withColumn("w", F.expr(length)).withColumn("low", F.expr("greatest(there - w + 1, 0, -at)")).withColumn("same", F.expr("transform(sequence(low, least(there + w, size(theirs)) - 1), q -> IF(get(ours, at + q - ours_from) <=> get(theirs, q) AND get(ours, at + q - ours_from) is not null, 1, 0))"))
+    length = f"least({window}, n_theirs)"
+    equal = met.withColumn("w", F.expr(length)).withColumn("low", F.expr("greatest(there - w + 1, 0, -at)")).withColumn("same", F.expr("transform(sequence(low, least(there + w, n_theirs) - 1), q -> IF(get(ours, at + q - ours_from) <=> get(theirs, q - theirs_from) AND get(ours, at + q - ours_from) is not null, 1, 0))"))
     tail = equal.withColumn("room", F.expr("size(filter(transform(sequence(low, low + size(same) - 1), q -> get(ours, at + q - ours_from)), x -> x is not null))"))
     best = "array_max(transform(sequence(0, room - w), s -> aggregate(slice(same, s + 1, w), 0, (a, x) -> a + x)))"
     verified = tail.where("room >= w").withColumn("best", F.expr(best)).where("best >= w - w div 10")
