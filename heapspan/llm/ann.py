@@ -6,14 +6,17 @@ original vectors, of all visited classes that the quantisation error leaves a ch
 
 Graph: every class starts with its nearest in the cells of `trees` random hyperplane partitions, cells of about `leaf`
 classes (larger ones are split by a hash). A round of NN-descent joins each class's neighbours, forward and reverse,
-to their vectors and compares them with one another: neighbours of neighbours that beat a class's worst neighbour are proposed to
-it. The reverse neighbours of a hub are dealt into groups of at most `crowd` instead of being cut.
+to their vectors (8 bits a component) and compares them with one another: neighbours of neighbours that beat a class's worst neighbour
+are proposed to it. Rounds go on until one changes less than `settle` of all neighbours. The reverse neighbours of a hub are dealt into
+groups of at most `crowd` instead of being cut.
 
-Search: a query starts from its own neighbours; a hop joins its `beam` best classes not yet expanded to their adjacency, and
-what is new to the vectors. The state of a query is one row; each hop is a table in the shared folder.
+Search: a query starts from its own neighbours; a hop joins its `beam` best classes not yet expanded to their adjacency. What is found is
+asked for where its vectors are: the query's vector goes once to each part of the table that holds some of it, and only scores
+come back. It ends when every query has expanded all of its `beam` best. The beam grows with the fourth root of the
+number of classes beyond BASE. A query's state is one row of about `beam` classes; each hop is a table in the shared folder.
 
-Cost grows as n * (trees + rounds * neighbours): no step looks at all pairs. Recall for 64 independent dimensions (the hardest
-case) is tested to be 0.9 or more.
+Cost grows as n * (trees + rounds * neighbours): no step looks at all pairs. The tests demand a recall of 0.9 of 64 independent
+dimensions, the hardest case; the README has what was measured at larger sizes.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, of another size than most, or without an id
 take no part; repeated rows are candidates of each other; with fewer than k candidates all are returned; empty tables give
@@ -30,15 +33,17 @@ import pyarrow.compute  # makes pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, partitions
+from .common import Store, mix64, partitions
 
+BASE, PART = 50_000, 32_768
 LISTS = "node long, nbrs array<long>, sims array<float>"
-STATE = "q long, qv binary, ids array<long>, sims array<float>, done array<long>"
+STATE = "q long, qv binary, ids array<long>, sims array<float>, done array<boolean>"
+ASKED = "part long, q long, qv binary, ids array<long>"
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind=np.int16) -> np.ndarray:
     """Unit vectors from their bytes."""
-    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.int16).reshape(-1, dim).astype(np.float32)
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dim).astype(np.float32)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -73,11 +78,6 @@ def best(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, k: int) -> tuple[np
     return node[keep], nbr[keep], sim[keep]
 
 
-def frontier(ids: np.ndarray, sims: np.ndarray, done: np.ndarray, beam: int) -> np.ndarray:
-    top = ids[np.lexsort((ids, -sims))[:beam]]
-    return top[~np.isin(top, done)]
-
-
 def leaders(ids: np.ndarray, sims: np.ndarray, k: int, least: int, slack: float) -> np.ndarray:
     """All that can be among the k best if angles are wrong by half of slack each; the `least` best at least."""
     order = np.lexsort((ids, -sims))
@@ -99,12 +99,13 @@ def classes(vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     return some.groupBy("h").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.first("vec").alias("vec"), F.sum("n").alias("n")).select(F.col("ids")[0].alias("vid"), "vec", "ids", "n")
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, neighbours: int = 32, trees: int = 6, leaf: int = 2048, rounds: int = 2, propose: int = 6, beam: int = 160, hops: int = 3, crowd: int = 512, rerank: int = 40) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, neighbours: int = 24, trees: int = 6, leaf: int = 2048, settle: float = 0.1, propose: int = 6, beam: int = 160, crowd: int = 512, rerank: int = 40) -> DataFrame:
     """query_id, rank, id and score (cosine) of the k nearest rows of each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
     store, parts = Store(spark, "ann"), partitions(spark)
     own = store.put(classes(vectors, id_col, vec_col, k), "classes")
     n, dim = own.agg(F.count("*"), F.max(F.size("vec"))).first()
+    beam, wide_v = max(beam, int(beam * (n / BASE) ** 0.25)), max(parts, n // PART)
     dim, bits = dim or 1, max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
     planes = np.random.default_rng(20).standard_normal((dim, trees * bits)).astype(np.float32)
 
@@ -116,13 +117,15 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             off = np.arcsin(np.minimum(1, np.linalg.norm(exact - x, axis=1) / np.linalg.norm(exact, axis=1)))  # the angle between them, or more
             side = (x.astype(np.float32) @ planes > 0).reshape(len(x), trees, bits)
             cells = (side * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), _ragged(cells.ravel(), np.full(len(x), trees), pa.int64()), pa.array(off)], names=["vid", "v", "cells", "off"])
+            small = np.rint(exact / 32767 * 127).astype(np.int8)
+            part = (mix64(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(wide_v)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(part), _ragged(cells.ravel(), np.full(len(x), trees), pa.int64()), pa.array(off)], names=["vid", "v", "b", "part", "cells", "off"])
 
-    v = store.put(own.select("vid", "vec").mapInArrow(quantise, "vid long, v binary, cells array<long>, off double"), "vectors")
+    v = store.put(own.select("vid", "vec").mapInArrow(quantise, "vid long, v binary, b binary, part long, cells array<long>, off double"), "vectors")
     off = v.agg(F.max("off")).first()[0] or 0.0
 
     def block(table: pa.Table) -> pa.Table:
-        ids, x = table["vid"].to_numpy(), _matrix(table["v"], dim)
+        ids, x = table["vid"].to_numpy(), _matrix(table["b"], dim, np.int8)
         count = min(neighbours, len(ids) - 1)
         if count < 1:
             return _lists(*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float32)))
@@ -135,16 +138,23 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         return _lists(*(np.concatenate(c) for c in zip(*out)))
 
     def merge(table: pa.Table) -> pa.Table:
-        return _lists(*best(*_flat(table), neighbours))
+        old = table.filter(table["old"])
+        node, nbr, _ = _flat(old)
+        mine, theirs, sim = best(*_flat(table), neighbours)
+        # of each node how many of its neighbours are new
+        code = lambda a, b: mix64(a.view(np.uint64)) ^ b.view(np.uint64)
+        new = ~np.isin(code(mine, theirs), code(node, nbr))
+        out = _lists(mine, theirs, sim)
+        return out.append_column("fresh", pa.array(np.add.reduceat(new.astype(np.int64), np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, dtype=np.int64), pa.int64()))
 
     def merged(lists: DataFrame, name: str) -> DataFrame:
         wide = max(parts, n // 4096)
-        return store.put(lists.groupBy(F.pmod(F.xxhash64("node"), F.lit(wide))).applyInArrow(merge, LISTS), name)
+        return store.put(lists.groupBy(F.pmod(F.xxhash64("node"), F.lit(wide))).applyInArrow(merge, f"{LISTS}, fresh long"), name)
 
-    cells = v.select("vid", "v", F.posexplode("cells").alias("tree", "cell"))
+    cells = v.select("vid", "b", F.posexplode("cells").alias("tree", "cell"))
     crowds = cells.groupBy("tree", "cell").count()
     dealt = cells.join(crowds, ["tree", "cell"]).withColumn("salt", F.expr(f"pmod(xxhash64(vid, tree), cast(ceil(count / {2 * leaf}) as bigint))"))
-    graph = merged(dealt.groupBy("tree", "cell", "salt").applyInArrow(block, LISTS), "graph0")
+    graph = merged(dealt.groupBy("tree", "cell", "salt").applyInArrow(block, LISTS).withColumn("old", F.lit(False)), "graph0")
 
     def compare(table: pa.Table) -> pa.Table:
         """Neighbours of one centre with one another: for each its `propose` most similar that beat its worst neighbour."""
@@ -152,7 +162,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         order = np.lexsort((table["member"].to_numpy(), table["salt"].to_numpy(), table["centre"].to_numpy()))
         table = table.take(pa.array(order))
         centre, salt, member, worst = (table[c].to_numpy() for c in ("centre", "salt", "member", "worst"))
-        x = _matrix(table["v"], dim)
+        x = _matrix(table["b"], dim, np.int8)
         cuts = np.flatnonzero(np.r_[True, (centre[1:] != centre[:-1]) | (salt[1:] != salt[:-1]), True])
         out = []
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -176,14 +186,19 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     def salted(edges: DataFrame) -> DataFrame:
         return edges.join(edges.groupBy("centre").count(), "centre").withColumn("salt", F.expr(f"pmod(xxhash64(member), cast(ceil(count / {crowd}) as bigint))")).drop("count")
 
-    for r in range(1, rounds + 1):
+    r, changed = 0, n * neighbours
+    while changed > settle * n * neighbours:
+        r += 1
         worst = F.when(F.size("sims") < neighbours, F.lit(-2.0)).otherwise(F.array_min("sims")).cast("float")
-        known = v.join(graph.select(F.col("node").alias("vid"), worst.alias("worst")), "vid").select(F.col("vid").alias("member"), "v", "worst")
+        known = v.join(graph.select(F.col("node").alias("vid"), worst.alias("worst")), "vid").select(F.col("vid").alias("member"), "b", "worst")
         edges = salted(store.put(around(graph), f"edges{r}")).join(known, "member")
         wide = max(parts, n // 512)
         proposed = edges.groupBy(F.pmod(F.xxhash64("centre", "salt"), F.lit(wide))).applyInArrow(compare, LISTS)
-        graph = merged(graph.unionByName(proposed), f"graph{r}")
+        graph = merged(graph.drop("fresh").withColumn("old", F.lit(True)).unionByName(proposed.withColumn("old", F.lit(False))), f"graph{r}")
+        changed = graph.agg(F.sum("fresh")).first()[0] or 0
         store.drop(f"edges{r}")
+        store.drop(f"graph{r - 1}")
+    graph = graph.drop("fresh")
 
     rows = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.xxhash64(vec_col).alias("h")).where(F.col("query_id") % every == 0)
     hashed = own.select(F.xxhash64("vec").alias("h"), "vid")
@@ -191,65 +206,91 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     asked = queries.select("vid").distinct()
     edges = salted(around(graph))
     adjacent = store.put(edges.groupBy("centre", "salt").agg(F.collect_list("member").alias("nbrs")).select(F.col("centre").alias("node"), "nbrs"), "adjacent")
-    state = asked.join(v.select("vid", "v"), "vid").join(graph.withColumnRenamed("node", "vid"), "vid", "left")
-    empty = "coalesce({0}, cast(array() as array<{1}>)) as {0}"
-    state = store.put(state.selectExpr("vid as q", "v as qv", empty.format("nbrs", "long").replace("as nbrs", "as ids"), empty.format("sims", "float"), "array(vid) as done"), "state0")
+    state = asked.join(v.select("vid", "v"), "vid").select(F.col("vid").alias("q"), F.col("v").alias("qv"), F.array("vid").alias("ids"), F.array(F.lit(-2.0).cast("float")).alias("sims"), F.array(F.lit(False)).alias("done"))
+    state = store.put(state, "state0")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The classes of each query that are to be expanded: of its `beam` best those that aren't yet. Lists are kept best first."""
         for batch in batches:
-            found = [frontier(np.array(i, dtype=np.int64), np.array(s, dtype=np.float32), np.array(d, dtype=np.int64), beam) for i, s, d in zip(*(batch.column(c).to_pylist() for c in ("ids", "sims", "done")))]
+            found = [np.array(i, dtype=np.int64)[:beam][~np.array(d, dtype=bool)[:beam]] for i, d in zip(batch.column("ids").to_pylist(), batch.column("done").to_pylist())]
             q = np.repeat(batch.column("q").to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["q", "node"])
 
-    def fresh(left: pa.Table, right: pa.Table) -> pa.Table:
-        """What the answers add to each query's state."""
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What each query has to ask of each part of the vectors."""
         answers: dict[int, list[np.ndarray]] = {}
         for q, nbrs in zip(right["q"].to_pylist(), right["nbrs"].to_pylist()):
             answers.setdefault(q, []).append(np.array(nbrs, dtype=np.int64))
-        out_q, out_node = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for q, ids, done in zip(left["q"].to_pylist(), left["ids"].to_pylist(), left["done"].to_pylist()):
-            new = np.setdiff1d(np.unique(np.concatenate(answers[q])), np.array([*ids, *done], dtype=np.int64)) if q in answers else out_q[0]
-            out_q.append(np.full(len(new), q))
-            out_node.append(new)
-        return pa.table({"q": pa.array(np.concatenate(out_q), pa.int64()), "node": pa.array(np.concatenate(out_node), pa.int64())})
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks()
-        q, node = right["q"].to_numpy(), right["node"].to_numpy()
-        order = np.argsort(q, kind="stable")
-        q, node, x = q[order], node[order], _matrix(right["v"], dim)[order]
+        out: dict[str, list] = {c: [] for c in ("part", "q", "qv", "ids")}
+        for q, qv, ids in zip(left["q"].to_pylist(), left["qv"].to_pylist(), left["ids"].to_pylist()):
+            if q in answers:
+                new = np.setdiff1d(np.concatenate(answers[q]), np.array([q, *ids], dtype=np.int64))
+                part = (mix64(new.view(np.uint64)) % np.uint64(wide_v)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(new) else []:
+                    for c, x in zip(out, (int(part[some[0]]), q, qv, new[some])):
+                        out[c].append(x)
+        return pa.table({c: pa.array(x, k) for (c, x), k in zip(out.items(), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))})
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Similarities of the classes asked for, in the part that has their vectors."""
+        q, qv, ids = left["q"].to_pylist(), left["qv"].to_pylist(), left["ids"].to_pylist()
+        if not q:
+            return pa.table({"q": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float32()))})
+        vid = right["vid"].to_numpy()
+        order = np.argsort(vid)
+        x, vid, mine = _matrix(right["v"], dim)[order], vid[order], _matrix(left["qv"], dim)
+        sims = [x[np.searchsorted(vid, i)] @ m for i, m in zip(ids, mine)]
+        return pa.table({"q": pa.array(q, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())), "sims": pa.array(sims, pa.list_(pa.float32()))})
+
+    def update(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each query's best classes: `beam` of them, and all that the quantisation can't tell from its k-th."""
+        got: dict[int, list[tuple]] = {}
+        for q, ids, sims in zip(right["q"].to_pylist(), right["ids"].to_pylist(), right["sims"].to_pylist()):
+            got.setdefault(q, []).append((ids, sims))
         out: dict[str, list] = {c: [] for c in ("q", "qv", "ids", "sims", "done")}
-        for me, qv, ids, sims, done in zip(*(left[c].to_pylist() for c in out)):
-            a, b = np.searchsorted(q, me), np.searchsorted(q, me, side="right")
-            ids, sims, done = np.array(ids, dtype=np.int64), np.array(sims, dtype=np.float32), np.array(done, dtype=np.int64)
-            went = np.concatenate([done, frontier(ids, sims, done, beam)])
-            mine = np.frombuffer(qv, dtype=np.int16).astype(np.float32)
-            for c, value in zip(out, (me, qv, np.concatenate([ids, node[a:b]]), np.concatenate([sims, x[a:b] @ (mine / np.linalg.norm(mine))]), went)):
-                out[c].append(value)
-        kinds = {"q": pa.int64(), "qv": pa.binary(), "ids": pa.list_(pa.int64()), "sims": pa.list_(pa.float32()), "done": pa.list_(pa.int64())}
+        for q, qv, ids, sims, done in zip(*(left[c].to_pylist() for c in out)):
+            done = np.r_[np.ones(min(beam, len(ids)), dtype=bool), np.array(done, dtype=bool)[beam:]]
+            ids, sims = np.array(ids, dtype=np.int64), np.array(sims, dtype=np.float32)
+            for i, s in got.get(q, []):
+                ids, sims, done = np.r_[ids, np.array(i, dtype=np.int64)], np.r_[sims, np.array(s, dtype=np.float32)], np.r_[done, np.zeros(len(i), dtype=bool)]
+            if ids[0] == q and len(ids) > 1:  # a query is no candidate of its own
+                ids, sims, done = ids[1:], sims[1:], done[1:]
+            order = np.lexsort((ids, -sims))
+            order = order[: max(beam, len(leaders(ids, sims, k, rerank, 4 * off)))]
+            for c, x in zip(out, (q, qv, ids[order], sims[order], done[order])):
+                out[c].append(x)
+        kinds = {"q": pa.int64(), "qv": pa.binary(), "ids": pa.list_(pa.int64()), "sims": pa.list_(pa.float32()), "done": pa.list_(pa.bool_())}
         return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
 
     mine = F.pmod(F.xxhash64("q"), F.lit(max(parts, n // (every * 64))))
-    for h in range(1, hops + 1):
-        answers = state.mapInArrow(lead, "q long, node long").join(adjacent, "node").select("q", "nbrs")
-        new = state.groupBy(mine).cogroup(answers.groupBy(mine)).applyInArrow(fresh, "q long, node long")
-        met = new.join(v.select(F.col("vid").alias("node"), "v"), "node").select("q", "node", "v")
-        state = store.put(state.groupBy(mine).cogroup(met.groupBy(mine)).applyInArrow(scored, STATE), f"state{h}")
+    h = 0
+    while True:
+        led = store.put(state.mapInArrow(lead, "q long, node long"), f"led{h}")
+        if led.isEmpty():
+            break
+        h += 1
+        answers = led.join(adjacent, "node").select("q", "nbrs")
+        wanted = state.groupBy(mine).cogroup(answers.groupBy(mine)).applyInArrow(ask, ASKED)
+        found = wanted.groupBy("part").cogroup(v.select("part", "vid", "v").groupBy("part")).applyInArrow(score, "q long, ids array<long>, sims array<float>")
+        state = store.put(state.groupBy(mine).cogroup(found.groupBy(mine)).applyInArrow(update, STATE), f"state{h}")
         store.drop(f"state{h - 1}")
+        store.drop(f"led{h - 1}")
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [leaders(np.array(i, dtype=np.int64), np.array(s, dtype=np.float32), k, rerank, 4 * off) for i, s in zip(batch.column("ids").to_pylist(), batch.column("sims").to_pylist())]
+            found = [x[x != q] for q, x in zip(batch.column("q").to_pylist(), found)]
             q = np.repeat(batch.column("q").to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["q", "node"])
 
     dot = "aggregate(zip_with({0}, {1}, (x, y) -> cast(x as double) * cast(y as double)), 0D, (a, x) -> a + x)"
     near = state.mapInArrow(leading, "q long, node long").unionByName(asked.select(F.col("vid").alias("q"), F.col("vid").alias("node")))
     near = near.join(own.select(F.col("vid").alias("node"), F.col("vec").alias("b"), "ids"), "node").join(own.select(F.col("vid").alias("q"), F.col("vec").alias("a")), "q")
-    exact = near.selectExpr("q", "ids", f"least(1D, greatest(-1D, {dot.format('a', 'b')} / (sqrt({dot.format('a', 'a')}) * sqrt({dot.format('b', 'b')})))) as score")
+    exact = near.selectExpr("q", "ids", f"{dot.format('a', 'b')} / (sqrt({dot.format('a', 'a')}) * sqrt({dot.format('b', 'b')})) as score")
     # per query class the best k + 1 rows: one of them may be the query's own
     pairs = F.expr("transform(ids, i -> struct(-score as s, i as i))")
     listed = exact.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k + 1).alias("found"))
     # a query id past the first k + 1 of a hot class isn't in the list: nothing is to be left out then
     told = queries.join(listed, queries.vid == listed.q).withColumn("found", F.expr(f"slice(IF(array_position(transform(found, x -> x.i), query_id) > 0, concat(slice(found, 1, cast(array_position(transform(found, x -> x.i), query_id) as int) - 1), slice(found, cast(array_position(transform(found, x -> x.i), query_id) as int) + 1, {k + 1})), found), 1, {k})"))
-    return told.selectExpr("query_id", "posexplode(found) as (rank, x)").selectExpr("query_id", "cast(rank + 1 as int) as rank", f"x.i as `{id_col}`", "-x.s as score")
+    return store.only(told.selectExpr("query_id", "posexplode(found) as (rank, x)").selectExpr("query_id", "cast(rank + 1 as int) as rank", f"x.i as `{id_col}`", "-x.s as score"))

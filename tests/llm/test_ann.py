@@ -31,13 +31,25 @@ def compare(got, want):
     return hits / total
 
 
-@pytest.mark.parametrize("leaf", [2048, 150])
-def test_recall(spark, leaf):
-    x = np.random.default_rng(1).standard_normal((1500, 24)).astype(np.float32)
-    ids = list(range(0, 3000, 2))
+@pytest.mark.parametrize(("n", "dim", "options"), [(1500, 24, {"beam": 64}), (1500, 24, {"beam": 64, "leaf": 150}), (6000, 64, {"leaf": 512})])
+def test_recall(spark, n, dim, options):
+    x = np.random.default_rng(1).standard_normal((n, dim)).astype(np.float32)
+    ids = list(range(0, 2 * n, 2))
     df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in zip(ids, x)], "vec_id long, embedding array<float>, q string")
-    got = nearest(df, every=20, leaf=leaf, beam=64).collect()
-    assert compare(got, brute(ids, x, 5, 20)) >= (0.999 if leaf > 1500 else 0.9)
+    got = nearest(df, every=20, **options).collect()
+    assert compare(got, brute(ids, x, 5, 20)) >= (0.9 if "leaf" in options else 0.999)
+
+
+def test_hot_vector_asks(spark):
+    """A third of all rows hold one vector, many of them queries; ids repeat."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 16)).astype(np.float32)
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=3).collect()
+    hot = sorted((g.query_id, g["rank"], g.vec_id) for g in got if g.query_id % 3 == 0 and g.query_id < 30)
+    assert hot == sorted((q, k + 1, i) for q in range(0, 30, 3) for k, i in enumerate([i for i in range(0, 300, 3) if i != q][:5]))
+    assert {g.query_id for g in got} == {i for i in range(300) if i % 3 == 0}
 
 
 def test_copies_and_cases(spark):
