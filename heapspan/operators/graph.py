@@ -43,7 +43,7 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _inner(edges: DataFrame) -> DataFrame:
-    return edges.where("src <> dst and dst <> 0").select("src", "dst").distinct()
+    return edges.where("src <> dst and dst <> 0").select("src", "dst")
 
 
 def _settle(rounds: Rounds, pointers: DataFrame, most: int) -> DataFrame:
@@ -60,8 +60,8 @@ def _settle(rounds: Rounds, pointers: DataFrame, most: int) -> DataFrame:
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
-    """(nid, parent): a tree of edges that reaches every node that 0 reaches; also some rows that don't hang below 0. edges: src, dst,
-    distinct, no loops, none to 0.
+    """(nid, parent, several): a tree of edges that reaches every node that 0 reaches, and whether the node has several predecessors; also
+    some rows that don't hang below 0. edges: src, dst, distinct, no loops, none to 0.
 
     A round merges every node that has one predecessor, or one that is known to be reached, into that predecessor's group; chains of
     merges are followed by pointer doubling, so lists and trees of any depth take one round of log2(depth) steps. What is left are
@@ -73,7 +73,7 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
         # 0 is the smallest id: a node that the group of 0 points to has it as its smallest predecessor
         met = rounds.cut(now.groupBy("dst").agg(F.count("*").alias("n"), F.min(F.struct("src", "via")).alias("m")).select("dst", "n", "m.src", "m.via"))
         merged = met.where("n = 1 or src = 0")
-        parts.append(merged.select(F.col("dst").alias("nid"), F.col("via").alias("parent")))
+        parts.append(merged.select(F.col("dst").alias("nid"), F.col("via").alias("parent"), (F.col("n") > 1).alias("several") if not parts else F.lit(True).alias("several")))
         left = rounds.cut(now.join(met.where("n > 1 and src <> 0").select("dst"), "dst", "left_semi"))
         if left.isEmpty() or met.where("src = 0").isEmpty():
             break
@@ -87,7 +87,7 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """nid of every node that 0 reaches, and its parent in a spanning tree."""
+    """nid of every node that 0 reaches, and its parent in a spanning tree. edges: unique, as of unique_edges."""
     tree = spanning_tree(_inner(edges))
     return _settled(tree.select("nid", "parent"))
 
@@ -178,12 +178,15 @@ def dominator_lines(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool
     From a spanning tree on, each node of several predecessors moves up to where their lines part, all at once, until none moves; the
     fixed point is the dominator tree. The lines' smallest and largest part where all of them do, so a node of many predecessors is a
     min and a max, combined before the shuffle. Without a move of a node that has successors no further round is needed.
+    edges: unique, as of unique_edges.
     """
     rounds = Rounds(nodes.sparkSession)
-    inner = rounds.cut(_inner(edges))
-    several = rounds.cut(inner.join(inner.groupBy("dst").count().where("count > 1").select("dst"), "dst", "left_semi"))
+    inner = _inner(edges)
     names = nodes.select("nid", F.when(~F.col("node_type").isin(SUPER, ROOT), F.xxhash64("class_name")).alias("name"))
-    tree = rounds.cut(spanning_tree(inner).join(names, "nid"))
+    spanned = spanning_tree(inner)
+    # a node that was merged in a later round had several predecessors from the start
+    several = rounds.cut(inner.join(spanned.where("several").select(F.col("nid").alias("dst")), "dst", "left_semi"))
+    tree = rounds.cut(spanned.drop("several").join(names, "nid"))
     while True:
         now, plain = lines(tree)
         met = several.join(now.select(F.col("nid").alias("src"), "line"), "src").groupBy(F.col("dst").alias("nid")).agg(F.min("line").alias("low"), F.max("line").alias("high"))

@@ -11,6 +11,7 @@ from .analysis import HeapAnalysis
 from .functions import text
 from .operators import derive, diff, graph, waste
 from .sources import tables
+from .store import Rounds
 from .streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +23,8 @@ def heap(spark: SparkSession, sf_dir: str) -> HeapAnalysis:
     """The tables' graph, analyzed once in a session: what is kept are tables in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
-        _KEPT[key] = HeapAnalysis(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir))
+        line = Rounds(spark).cut(tables.lines(spark, sf_dir))
+        _KEPT[key] = HeapAnalysis(tables.nodes(spark, sf_dir, line), tables.edges(spark, sf_dir, line=line))
     return _KEPT[key]
 
 
@@ -167,7 +169,7 @@ def graph_idom(spark, sf_dir):
 
 @query("graph_idom_cycles")
 def graph_idom_cycles(spark, sf_dir):
-    return graph.dominators(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir, cycles=True)).select("nid", "idom", "depth", "retained_size")
+    return graph.dominators(tables.nodes(spark, sf_dir), graph.unique_edges(tables.edges(spark, sf_dir, cycles=True))).select("nid", "idom", "depth", "retained_size")
 
 
 @query("graph_retained", over("select nid, retained_size, reachable from tree"))

@@ -41,13 +41,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.groupBy("l_orderkey", "l_linenumber").agg(first.alias("r")).select("l_orderkey", "l_linenumber", "r.*")
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
+    """line: a table of lines(), if there is one."""
     t = lambda name: load(spark, sf_dir, name)
 
     def of(df: DataFrame, kind: str, key, name, size, node_type: str = graph.INSTANCE) -> DataFrame:
         return df.select(_id(kind, key).alias("nid"), F.lit(node_type).alias("node_type"), name.alias("class_name"), size.cast("long").alias("shallow_size"))
 
-    line = lines(spark, sf_dir)
+    line = lines(spark, sf_dir) if line is None else line
     lot = line.select(_lot_key().alias("lot"), "l_partkey").distinct()
     parts = [
         spark.createDataFrame([(0, graph.SUPER, "", 0)], "nid long, node_type string, class_name string, shallow_size long"),
@@ -65,11 +66,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("object_id", F.col("nid").cast("decimal(20,0)"))
 
 
-def edges(spark: SparkSession, sf_dir: str, cycles: bool = False) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, cycles: bool = False, line: DataFrame | None = None) -> DataFrame:
     """With cycles also line -> supplier -> nation."""
     t = lambda name: load(spark, sf_dir, name)
     link = lambda df, a, b, label: df.select(a.cast("long").alias("src"), b.cast("long").alias("dst"), F.lit(label).alias("label"))
-    line = lines(spark, sf_dir)
+    line = lines(spark, sf_dir) if line is None else line
     parts = [
         link(t("region"), F.lit(0), _id("region", F.col("r_regionkey")), GC_ROOT),
         link(t("nation"), _id("region", F.col("n_regionkey")), _id("nation", F.col("n_nationkey")), FIELD),
