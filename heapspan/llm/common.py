@@ -48,6 +48,11 @@ class Store:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         self.names.discard(name)
 
+    def clear(self) -> None:
+        """Delete all tables, when nothing reads any of them any more."""
+        for name in sorted(self.names):
+            self.drop(name)
+
     def only(self, df: DataFrame) -> DataFrame:
         """df as a table, the only one left of this store."""
         out = self.put(df, "result")

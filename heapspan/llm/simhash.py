@@ -82,7 +82,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = store.put(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = store.put(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     links = store.put(close_pairs(classes.select("fp")), "links")
-    return _named(marked, "fp", classes, links, store).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return store.only(_named(marked, "fp", classes, links, store).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def _hashes(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
@@ -144,12 +144,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     they aren't joined to. So a group of thousands of near copies gives about as many candidates as it has texts, not pairs, and
     no pair is lost: two texts are compared or in one component already.
     """
-    return _similar(docs, id_col, text_col, shingle, similarity).select(F.col("id").alias(id_col), "component_id")
+    store = Store(docs.sparkSession, "similar")
+    return store.only(_similar(docs, id_col, text_col, shingle, similarity, store).select(F.col("id").alias(id_col), "component_id"))
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """id, th (the text's hash), root (a node of the component) and component_id of each row."""
-    store = Store(docs.sparkSession, "similar")
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, store: Store) -> DataFrame:
+    """id, th (the text's hash), root (a node of the component) and component_id of each row; the tables on the way are in store."""
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(read, shingle, store))  # at most OFTEN times the shingles of a document
@@ -280,7 +280,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     links = similar(star, "links")
     rows = large
     for turn in range(STARS + 1):
-        roots = components(links, Store(docs.sparkSession, "stars")).select(F.col("node").alias("sig"), "root")
+        roots = store.put(components(links, store).select(F.col("node").alias("sig"), "root"), f"roots{turn}")
         rooted = rows.drop("root").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
         rows = store.put(rooted.join(mixed.hint("merge"), "cell", "left_semi").select("cell", "sig", "n", "place", "root"), f"mixed{turn}")
@@ -317,7 +317,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest text hash.
     """
     store = Store(docs.sparkSession, "kept")
-    found = store.put(_similar(docs, id_col, text_col, shingle, similarity), "found")
+    similar = Store(docs.sparkSession, "similar")
+    found = store.put(_similar(docs, id_col, text_col, shingle, similarity, similar), "found")
+    similar.clear()
     kept = store.put(found.where("id = component_id").groupBy(F.col("id").alias(id_col)).agg(F.count("*").alias("copies")), "ids")
     repeated = kept.where("copies > 1").limit(1).count()
     # the same join at every size: what is kept grows with the documents
