@@ -14,8 +14,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are similar to 0.8 or more."""
-    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
+    """One document of each group whose fingerprints link at 3 or fewer differing bits."""
+    return simhash.one_of_each_linked(docs)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ segments and for each with one more 0 bit set, so the partner whose bit is set i
 fourth budgets are checked on the pairs met, the fourth being the full Hamming distance. Work is 4 + about 36 rows a distinct
 fingerprint and the pairs that pass two budgets; copies share one fingerprint, so groups of copies of any size make no pairs.
 
+The pipeline's stage keeps one document of each component (`one_of_each_linked`). `similar_documents` and `one_of_each` link by the Jaccard
+similarity of word shingles instead, by a prefix filter and without fingerprints; no query uses them.
+
 Cases: null and empty texts have fingerprint zero; null ids take the smallest id of their component and never give it;
 repeated rows stay repeated; an empty table gives an empty result; extra columns are ignored.
 """
@@ -52,16 +55,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * total > len(shingles)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp long) of each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: str | None = None) -> DataFrame:
+    """(id, fp long) of each row; before fp the long column `keep`, if given."""
+    kept = [keep] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array([fingerprint(x, shingle) for x in texts(batch.column(1))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], fps], names=[id_col, *kept, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(id_col, text_col, *kept).mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"`{c}` long" for c in kept), "fp long"]))
 
 
 def close_pairs(fps: DataFrame) -> DataFrame:
@@ -85,6 +89,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return store.only(_named(marked, "fp", classes, links, store).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def one_of_each_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """docs without near duplicates: of each component over links of 3 or fewer bits the row with the smallest id stays.
+
+    Of rows that share that id the one with the smallest text hash stays, and one of equal ones. Rows without an id come last, so one of
+    them stays only where no row of the component has an id. Texts are read twice and dealt once; between, a row is two hashes and its id.
+    """
+    store, linked = Store(docs.sparkSession, "kept"), Store(docs.sparkSession, "linked")
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    marked = linked.put(fingerprints(read, "id", "text", shingle, "th"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "th")).alias("first")
+    classes = linked.put(marked.groupBy("fp").agg(first), "classes")
+    links = linked.put(close_pairs(classes.select("fp")), "links")
+    roots = components(links, linked).select(F.col("node").alias("fp"), "root")
+    rooted = classes.join(roots, "fp", "left").select("first.*", F.coalesce("root", "fp").alias("root"))
+    kept = store.put(rooted.groupBy("root").agg(first).select("first.id", "first.th"), "kept")
+    same = marked.groupBy("id", "th").count().where("count > 1").alias("m")
+    repeated = not same.join(kept.alias("k"), F.col("m.id").eqNullSafe(F.col("k.id")) & (F.col("m.th") == F.col("k.th")), "left_semi").isEmpty()
+    linked.clear()
+    # the same join at every size: what is kept grows with the documents
+    key = F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("k.th"))
+    out = docs.alias("d").join(kept.hint("merge").alias("k"), key, "left_semi")
+    return out.dropDuplicates([id_col, text_col]) if repeated else out
+
+
 def _hashes(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
     """A 64-bit hash of the sequence of words (0: no words) and the sorted distinct hashes of the shingles, a shorter text being one."""
     words = _WORD.findall(text.translate(_LOWER))

@@ -1,7 +1,11 @@
+import os
 import random
 
 import pytest
 
+from heapspan.llm.common import Store
+from heapspan.llm.simhash import fingerprint
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -37,3 +41,47 @@ def test_stages(spark, tmp_path):
     assert ids["benchmark_leaks"] == ids["repeated_text"] - {102}
     assert all(x.lossless and x.n_bytes == len(text[x.doc_id].encode()) for x in kept["encoding"])
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids["encoding"]
+
+
+def edited(r, n):
+    """Texts of 200 words and copies of them with up to 15 words replaced."""
+    words, texts = ["w%d" % i for i in range(2000)], []
+    for _ in range(n):
+        t = [r.choice(words) for _ in range(200)]
+        for k in (0, 1, 2, 15):
+            copy = list(t)
+            for _ in range(k):
+                copy[r.randrange(200)] = r.choice(words)
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_near_duplicates_by_fingerprints(spark):
+    """The stage's groups are those of the method: fingerprints that link at 3 or fewer differing bits."""
+    texts = edited(random.Random(41), 40)
+    fps, root = [fingerprint(t.encode()) % 2**64 for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [i for i, g in enumerate(root) if i == g]
+
+
+def test_near_duplicates_disk(spark, tmp_path, monkeypatch):
+    """All tables that the stage writes, deleted or not, are far smaller than the texts."""
+    spark.createDataFrame(list(enumerate(edited(random.Random(42), 300))), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    df, written, put = spark.read.parquet(f"{tmp_path}/documents"), {}, Store.put
+
+    def size(path):
+        return sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(path) for x in names if x.endswith(".parquet"))
+
+    def measured(self, frame, name):
+        out = put(self, frame, name)
+        written[f"{self.base}/{name}"] = size(f"{self.base}/{name}".removeprefix("file://"))
+        return out
+
+    monkeypatch.setattr(Store, "put", measured)
+    assert corpus_pipeline.near_duplicates(spark, df, "").count() > 300
+    assert 0 < sum(written.values()) < size(f"{tmp_path}/documents") / 4, written

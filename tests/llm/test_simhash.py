@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heapspan.llm.simhash import close_pairs, fingerprint, fingerprints, near_duplicates, one_of_each, similar_documents
+from heapspan.llm.simhash import close_pairs, fingerprint, fingerprints, near_duplicates, one_of_each, one_of_each_linked, similar_documents
 
 
 def test_fingerprint_by_definition(spark):
@@ -141,3 +141,48 @@ def test_similar_beside_others(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in similar_documents(df).collect()}
     assert [got[i] for i in range(len(texts))] == groups(texts)
+
+
+def linked_groups(texts):
+    """Smallest position of each text's component, by brute force over the fingerprints."""
+    fps, root = [fingerprint((t or "").encode()) % 2**64 for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+def near_copies(r, n):
+    words, texts = ["v%d" % i for i in range(3000)], []
+    for _ in range(n):
+        base = [r.choice(words) for _ in range(r.randint(80, 400))]
+        for k in range(r.choice([1, 2, 5, 12])):
+            t = list(base)
+            for _ in range(k):
+                t[r.randrange(len(t))] = r.choice(words)
+            texts.append(" ".join(t))
+    return texts
+
+
+def test_one_of_each_linked(spark):
+    texts = [*near_copies(random.Random(31), 40), None, "", " \n"]
+    want = linked_groups(texts)
+    assert want[:-3] != groups(texts[:-3])  # what the stage gave before: one document of each group by Jaccard similarity
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, th string")
+    kept = one_of_each_linked(df)
+    assert kept.columns == df.columns
+    assert sorted(x.doc_id for x in kept.collect()) == [i for i, g in enumerate(want) if i == g]
+    assert one_of_each_linked(df.limit(0)).collect() == []
+
+
+def test_one_of_each_linked_odd_ids(spark):
+    a, b, c, d = ("%s " % x * 3 + "one two three four five %s" % x for x in ("alpha", "beta", "gamma", "delta"))
+    # 3 has a copy of 1's text, a text of its own and two equal rows of another; no row of d has an id
+    rows = [(1, a), (3, a), (3, b), (3, c), (3, c), (7, c), (None, a), (None, d), (None, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(x.doc_id), x.text) for x in one_of_each_linked(df).collect())
+    assert got == sorted([("1", a), ("3", b), ("3", c), ("None", d)])
+    named = df.selectExpr("concat('n', doc_id) as name", "text as body")
+    assert sorted((str(x.name), x.body) for x in one_of_each_linked(named, "name", "body").collect()) == sorted([("n1", a), ("n3", b), ("n3", c), ("None", d)])
