@@ -7,8 +7,8 @@ original vectors, of all visited classes that the quantisation error leaves a ch
 Graph: every class starts with its nearest in the cells of `trees` random hyperplane partitions, cells of about `leaf`
 classes (larger ones are split by a hash). A round of NN-descent joins each class's neighbours, forward and reverse,
 to their vectors (8 bits a component) and compares them with one another: neighbours of neighbours that beat a class's worst neighbour
-are proposed to it. Rounds go on until one changes less than `settle` of all neighbours. The reverse neighbours of a hub are dealt into
-groups of at most `crowd` instead of being cut.
+are proposed to it. Two that a round has compared at a centre are not compared there again. Rounds go on until one changes less than `settle`
+of all neighbours. The reverse neighbours of a hub are dealt into groups of at most `crowd` instead of being cut.
 
 Search: a query starts from its own neighbours; a hop joins its `beam` best classes not yet expanded to their adjacency. What is found is
 asked for where its vectors are: the query's vector goes once to each part of the table that holds some of it, and only scores
@@ -88,6 +88,32 @@ def leaders(ids: np.ndarray, sims: np.ndarray, k: int, least: int, slack: float)
     return ids[order[: max(least, int(np.searchsorted(angle, angle[k - 1] + slack + 0.001, side="right")))]]
 
 
+def proposals(table: pa.Table, dim: int, propose: int, neighbours: int) -> pa.Table:
+    """Neighbours of one centre with one another: for each its `propose` most similar that beat its worst neighbour, of those it hasn't
+    met at this centre before. Two that met were proposed to each other then if they were near enough."""
+    table = table.combine_chunks()
+    order = np.lexsort((table["member"].to_numpy(), table["salt"].to_numpy(), table["centre"].to_numpy()))
+    table = table.take(pa.array(order))
+    centre, salt, member, worst = (table[c].to_numpy() for c in ("centre", "salt", "member", "worst"))
+    fresh = table["fresh"].to_numpy()
+    x = _matrix(table["b"], dim, np.int8)
+    cuts = np.flatnonzero(np.r_[True, (centre[1:] != centre[:-1]) | (salt[1:] != salt[:-1]), True])
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        count, new = min(propose, b - a - 1), fresh[a:b]
+        if count > 0 and new.any():
+            sims = x[a:b] @ x[a:b].T
+            np.fill_diagonal(sims, -2)
+            sims[np.ix_(~new, ~new)] = -2
+            near = np.argpartition(-sims, count - 1, axis=1)[:, :count]
+            found = np.take_along_axis(sims, near, 1)
+            r, c = np.nonzero(found > worst[a:b, None])
+            out.append((member[a:b][r], member[a:b][near[r, c]], found[r, c]))
+    if not out:
+        return _lists(*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float32)))
+    return _lists(*best(*(np.concatenate(c) for c in zip(*out)), neighbours))
+
+
 def classes(vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """vid (smallest id), vec, ids (the k + 1 smallest) and n of each distinct usable vector."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
@@ -141,15 +167,14 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         old = table.filter(table["old"])
         node, nbr, _ = _flat(old)
         mine, theirs, sim = best(*_flat(table), neighbours)
-        # of each node how many of its neighbours are new
+        # of each neighbour whether it is new
         code = lambda a, b: mix64(a.view(np.uint64)) ^ b.view(np.uint64)
-        new = ~np.isin(code(mine, theirs), code(node, nbr))
         out = _lists(mine, theirs, sim)
-        return out.append_column("fresh", pa.array(np.add.reduceat(new.astype(np.int64), np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, dtype=np.int64), pa.int64()))
+        return out.append_column("fresh", _ragged(~np.isin(code(mine, theirs), code(node, nbr)), pa.compute.list_value_length(out["nbrs"]).to_numpy(), pa.bool_()))
 
     def merged(lists: DataFrame, name: str) -> DataFrame:
         wide = max(parts, n // 4096)
-        return store.put(lists.groupBy(F.pmod(F.xxhash64("node"), F.lit(wide))).applyInArrow(merge, f"{LISTS}, fresh long"), name)
+        return store.put(lists.groupBy(F.pmod(F.xxhash64("node"), F.lit(wide))).applyInArrow(merge, f"{LISTS}, fresh array<boolean>"), name)
 
     cells = v.select("vid", "b", F.posexplode("cells").alias("tree", "cell"))
     crowds = cells.groupBy("tree", "cell").count()
@@ -157,34 +182,17 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     graph = merged(dealt.groupBy("tree", "cell", "salt").applyInArrow(block, LISTS).withColumn("old", F.lit(False)), "graph0")
 
     def compare(table: pa.Table) -> pa.Table:
-        """Neighbours of one centre with one another: for each its `propose` most similar that beat its worst neighbour."""
-        table = table.combine_chunks()
-        order = np.lexsort((table["member"].to_numpy(), table["salt"].to_numpy(), table["centre"].to_numpy()))
-        table = table.take(pa.array(order))
-        centre, salt, member, worst = (table[c].to_numpy() for c in ("centre", "salt", "member", "worst"))
-        x = _matrix(table["b"], dim, np.int8)
-        cuts = np.flatnonzero(np.r_[True, (centre[1:] != centre[:-1]) | (salt[1:] != salt[:-1]), True])
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            count = min(propose, b - a - 1)
-            if count > 0:
-                sims = x[a:b] @ x[a:b].T
-                np.fill_diagonal(sims, -2)
-                near = np.argpartition(-sims, count - 1, axis=1)[:, :count]
-                found = np.take_along_axis(sims, near, 1)
-                r, c = np.nonzero(found > worst[a:b, None])
-                out.append((member[a:b][r], member[a:b][near[r, c]], found[r, c]))
-        if not out:
-            return _lists(*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float32)))
-        return _lists(*best(*(np.concatenate(c) for c in zip(*out)), neighbours))
+        return proposals(table, dim, propose, neighbours)
 
     def around(lists: DataFrame) -> DataFrame:
-        """(centre, member) both ways, each once."""
-        out = lists.select(F.col("node").alias("centre"), F.explode("nbrs").alias("member"))
-        return out.unionByName(out.select(F.col("member").alias("centre"), F.col("centre").alias("member"))).distinct()
+        """(centre, member) both ways, each once, and whether neither way was there before."""
+        out = lists.select(F.col("node").alias("centre"), F.explode(F.arrays_zip("nbrs", "fresh")).alias("x")).select("centre", F.col("x.nbrs").alias("member"), "x.fresh")
+        return out.unionByName(out.select(F.col("member").alias("centre"), F.col("centre").alias("member"), "fresh")).groupBy("centre", "member").agg(F.bool_and("fresh").alias("fresh"))
 
     def salted(edges: DataFrame) -> DataFrame:
-        return edges.join(edges.groupBy("centre").count(), "centre").withColumn("salt", F.expr(f"pmod(xxhash64(member), cast(ceil(count / {crowd}) as bigint))")).drop("count")
+        """Groups of about `crowd`. Where there are several, or may have been, members may meet for the first time: all count as new."""
+        counted = edges.join(edges.groupBy("centre").count(), "centre")
+        return counted.withColumns({"salt": F.expr(f"pmod(xxhash64(member), cast(ceil(count / {crowd}) as bigint))"), "fresh": F.expr(f"fresh or 2 * count > {crowd}")}).drop("count")
 
     r, changed = 0, n * neighbours
     while changed > settle * n * neighbours:
@@ -195,10 +203,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         wide = max(parts, n // 512)
         proposed = edges.groupBy(F.pmod(F.xxhash64("centre", "salt"), F.lit(wide))).applyInArrow(compare, LISTS)
         graph = merged(graph.drop("fresh").withColumn("old", F.lit(True)).unionByName(proposed.withColumn("old", F.lit(False))), f"graph{r}")
-        changed = graph.agg(F.sum("fresh")).first()[0] or 0
+        changed = graph.agg(F.sum(F.expr("size(filter(fresh, x -> x))"))).first()[0] or 0
         store.drop(f"edges{r}")
         store.drop(f"graph{r - 1}")
-    graph = graph.drop("fresh")
 
     rows = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.xxhash64(vec_col).alias("h")).where(F.col("query_id") % every == 0)
     hashed = own.select(F.xxhash64("vec").alias("h"), "vid")

@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from heapspan.llm.ann import nearest
+from heapspan.llm.ann import nearest, proposals
 
 
 def brute(ids, x, k, every):
@@ -80,3 +81,23 @@ def test_near_copies(spark, noise):
     want = {q: f for q, f in brute(ids, x, 5, 25).items() if q >= 400}
     got = [g for g in nearest(df, every=25).collect() if g.query_id >= 400]
     assert compare(got, want) >= 0.9
+
+
+def test_met_pairs_are_not_proposed_again():
+    """Of two centres' neighbours those pairs are proposed in which one is new at the centre: each one's nearest of these."""
+    r, rows, want = np.random.default_rng(5), [], set()
+    for centre in (1, 2):
+        x = r.integers(-127, 128, (40, 16)).astype(np.int8)
+        unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+        sims, fresh, ids = unit @ unit.T, np.arange(40) % 5 == 0, centre * 100 + np.arange(40)
+        worst = np.where(np.arange(40) < 30, -2.0, 0.3)
+        rows += [{"centre": centre, "salt": 0, "member": int(ids[i]), "b": x[i].tobytes(), "worst": worst[i], "fresh": bool(fresh[i])} for i in range(40)]
+        for i in range(40):
+            met = sorted((j for j in range(40) if j != i and (fresh[i] or fresh[j])), key=lambda j: -sims[i, j])[:6]
+            want |= {(int(ids[i]), int(ids[j])) for j in met if sims[i, j] > worst[i]}
+    kinds = {"centre": pa.int64(), "salt": pa.int64(), "member": pa.int64(), "b": pa.binary(), "worst": pa.float32(), "fresh": pa.bool_()}
+    table = pa.table({c: pa.array([x[c] for x in rows], k) for c, k in kinds.items()})
+    found = proposals(table, 16, 6, 24)
+    assert {(n, m) for n, nbrs in zip(found["node"].to_pylist(), found["nbrs"].to_pylist()) for m in nbrs} == want
+    settled = table.set_column(5, "fresh", pa.array([False] * len(rows)))
+    assert proposals(settled, 16, 6, 24).num_rows == 0
